@@ -13,12 +13,16 @@ KEEP_TAIL = 50
 WS_CHARS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CHARS}]"
 NWS = f"[^{WS_CHARS}]"
+WS_TEXT = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Line ends as Python's str.splitlines sees them.
 LINE_ENDS = "\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_END = r"[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
 NO_LINE_END = r"[^\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
-LINE_END_NOT_LF = r"[\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
 LINE = rf"{NO_LINE_END}*+(?:\r\n|{LINE_END})|{NO_LINE_END}++"
 
 # Terminal escapes: colour and cursor codes, OSC up to BEL, charset switches.
@@ -34,8 +38,13 @@ SECRET = (
     r"|AKIA[A-Z0-9]{16}"
     r"|eyJ[A-Za-z0-9_\-]{20,}"
 )
-# Every alternative of SECRET needs a run like this; cheap to look for first.
-SECRET_RUN = r"(?iu)[A-Za-z0-9+/=_\-]{16}"
+# Every match of SECRET holds one of these in lower case, or one of the letters
+# that equal s or i when case is ignored; cheap to look for first.
+SECRET_HINTS = [
+    "api", "secret", "token", "passw", "auth", "sk-",
+    "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia", "eyj",
+    "\u017f", "\u0131", "\u0130",
+]
 
 # Command families and the lines each one folds.
 FAMILY_COMMANDS = {

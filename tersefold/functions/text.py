@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -15,10 +19,11 @@ def is_blank(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Both ends trimmed of white space, in Python's sense of it."""
-    return F.regexp_replace(
-        F.regexp_replace(text, rf"\A{fixed.WS}++", ""),
-        rf"(?<!{fixed.WS}){fixed.WS}++\z", "",
-    )
+    return F.btrim(text, F.lit(fixed.WS_TEXT))
+
+
+def contains_any(text: Column, needles: Iterable[str]) -> Column:
+    return reduce(or_, (text.contains(n) for n in needles))
 
 
 def strip_ansi(text: Column) -> Column:
@@ -26,7 +31,8 @@ def strip_ansi(text: Column) -> Column:
 
 
 def has_secret(text: Column) -> Column:
-    return F.when(text.rlike(fixed.SECRET_RUN), text.rlike(fixed.SECRET)).otherwise(F.lit(False))
+    hint = contains_any(F.lower(text), fixed.SECRET_HINTS) | contains_any(text, fixed.SECRET_HINTS[-3:])
+    return F.when(hint, text.rlike(fixed.SECRET)).otherwise(F.lit(False))
 
 
 def collapse_blank_lines(text: Column) -> Column:
@@ -44,9 +50,31 @@ def reduction_pct(original: Column, compressed: Column, digits: int = 0) -> Colu
     return F.when(original > 0, pct).otherwise(F.lit(0.0))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines with their terminators; the empty text has no lines."""
-    return F.regexp_extract_all(text, F.lit(fixed.LINE), F.lit(0))
+def other_line_ends(text: Column) -> Column:
+    """The text has line ends besides LF."""
+    return contains_any(text, (e for e in fixed.LINE_ENDS if e != "\n"))
+
+
+def with_lines(df: DataFrame, text: str, out: str, wanted: Column | None = None) -> DataFrame:
+    """Add the array of lines, terminators kept; null where `wanted` is false.
+
+    The empty text has no lines. Texts with LF ends only, the usual case, take
+    the plain split. The steps are separate selects: an array used twice in one
+    expression would be built again for every element.
+    """
+    body = F.col(text)
+    plain = F.when(~other_line_ends(body), F.split(body, "\n", -1))
+    mixed = F.when(other_line_ends(body), F.regexp_extract_all(body, F.lit(fixed.LINE), F.lit(0)))
+    if wanted is not None:
+        plain, mixed = F.when(wanted, plain), F.when(wanted, mixed)
+    cols = [c for c in df.columns if c != out]
+    df = df.select(*df.columns, plain.alias("_plain"), mixed.alias("_mixed"))
+    df = df.select(*df.columns, F.size("_plain").alias("_pieces"),
+                   (F.element_at("_plain", -1) == "").alias("_closed"))
+    pieces = F.slice("_plain", F.lit(1), F.col("_pieces") - F.col("_closed").cast("int"))
+    lines = F.transform(
+        pieces, lambda x, i: F.when(i < F.col("_pieces") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    return df.select(*cols, F.coalesce("_mixed", lines).alias(out))
 
 
 def without_line_end(line: Column) -> Column:
@@ -55,5 +83,5 @@ def without_line_end(line: Column) -> Column:
 
 def may_exceed_lines(text: Column, n: int) -> Column:
     """True for every text of more than n lines, and for few others; no split needed."""
-    ends = F.length(text) - F.length(F.translate(text, fixed.LINE_ENDS, ""))
-    return (F.length(text) > n) & (ends >= n)
+    lf = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (F.length(text) > n) & ((lf >= n) | other_line_ends(text))

@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.json_text import decode_escapes, drop_nulls_and_space, is_json
-from ..functions.text import may_exceed_lines, split_lines, strip, without_line_end
+from ..functions.text import may_exceed_lines, other_line_ends, strip, with_lines, without_line_end
 from .line_rules import (
     build_line, build_note, context_line, context_note, omitted_note,
     package_line, package_note, passed_note, repeat_key, repeat_note,
     test_marker, test_kept,
 )
 
-_LONG_CONTEXT = (
-    rf"(?:\A|{fixed.LINE_END})(?:[ \t]{fixed.NO_LINE_END}*+(?:\r\n|{fixed.LINE_END})){{3}}[ \t]")
-_THREE_EQUAL = r"(?:\A|\n)([^\n]*+)\n\1\n\1(?:\n|\z)"
+# Both are matched against the text with LF put around it.
+_LONG_CONTEXT = r"\n(?:[ \t][^\n]*+\n){3}[ \t]"
+_THREE_EQUAL = r"\n([^\n]*+)\n\1\n\1\n"
+
+
+def _between_lf(text: str) -> Column:
+    return F.concat(F.lit("\n"), F.col(text), F.lit("\n"))
 
 
 def _fold_runs(df: DataFrame, text: str, out: str, wanted: Column, key: Callable[[Column], Column],
@@ -36,7 +40,7 @@ def _fold_runs(df: DataFrame, text: str, out: str, wanted: Column, key: Callable
     """
     extra = extra or []
     cols = [c for c in df.columns if c != out]
-    df = df.select(*df.columns, F.when(wanted, split_lines(F.col(text))).alias("_lines"))
+    df = with_lines(df, text, "_lines", wanted)
     df = df.select(*df.columns, F.transform("_lines", key).alias("_keys"),
                    F.size("_lines").alias("_total"))
     starts = F.filter(
@@ -61,8 +65,7 @@ def _slice_text(lines: Column, start: Column, n: Column) -> Column:
 
 def collapse_repeats(df: DataFrame, text: str, out: str) -> DataFrame:
     """Three or more equal lines in a row become one line with a count."""
-    wanted = F.when(F.col(text).rlike(fixed.LINE_END_NOT_LF), F.lit(True)).otherwise(
-        F.col(text).rlike(_THREE_EQUAL))
+    wanted = other_line_ends(F.col(text)) | _between_lf(text).rlike(_THREE_EQUAL)
 
     def render(lines, start, n, total):
         return F.when(n >= 3, repeat_note(F.get(lines, start), n)).otherwise(
@@ -76,7 +79,7 @@ def fold_family(df: DataFrame, text: str, family: str, out: str) -> DataFrame:
     fam = F.col(family)
     body = F.col(text)
     wanted = (
-        F.when(fam == "diff", body.rlike(_LONG_CONTEXT))
+        F.when(fam == "diff", other_line_ends(body) | _between_lf(text).rlike(_LONG_CONTEXT))
         .when(fam == "build", body.contains(fixed.BUILD_PREFIX))
         .when(fam == "package", body.contains("npm WARN") | body.contains("added ")
               | body.contains("package") | body.contains("found "))
@@ -118,7 +121,7 @@ def cut_lines(df: DataFrame, text: str, out: str) -> DataFrame:
     """Texts over the line limit keep head and tail; line ends become LF, none at the end."""
     cols = [c for c in df.columns if c != out]
     wanted = may_exceed_lines(F.col(text), fixed.MAX_LINES)
-    df = df.select(*df.columns, F.when(wanted, split_lines(F.col(text))).alias("_lines"))
+    df = with_lines(df, text, "_lines", wanted)
     n = F.size("_lines")
     head = F.slice("_lines", 1, fixed.KEEP_HEAD)
     tail = F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL)
@@ -132,7 +135,7 @@ def cut_bytes(df: DataFrame, text: str, out: str) -> DataFrame:
     """Texts over the byte limit keep head and tail lines; too few lines to cut: unchanged."""
     cols = [c for c in df.columns if c != out]
     wanted = F.octet_length(text) > fixed.MAX_BYTES
-    df = df.select(*df.columns, F.when(wanted, split_lines(F.col(text))).alias("_lines"))
+    df = with_lines(df, text, "_lines", wanted)
     n = F.size("_lines")
     head = F.array_join(F.slice("_lines", 1, fixed.KEEP_HEAD), "")
     tail = F.array_join(F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL), "")

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import strip
 
 
 def _any(conditions) -> Column:
@@ -55,9 +54,8 @@ def test_marker(line: Column) -> Column:
 
 def test_kept(line: Column, failing: Column) -> Column:
     """Whether a line that is no marker stays; `failing`: a marker came before it."""
-    bare = strip(line)
     telling = _any(
-        [bare.startswith(fixed.TEST_KEEP_START), bare == ""]
+        [line.rlike(rf"\A{fixed.WS}*+(?:{fixed.TEST_KEEP_START}|\z)")]
         + [line.contains(w) for w in fixed.TEST_KEEP_CONTAINS]
         + [line.startswith(w) for w in fixed.TEST_KEEP_PREFIX])
     return ~line.startswith(fixed.TEST_PASSED) & (failing | telling)

@@ -3,10 +3,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 import models
-from tersefold.functions.text import split_lines
+from tersefold.functions.text import with_lines
 from tersefold.operators import folds_doc, folds_lines
 
 VOCAB = {
@@ -45,7 +43,7 @@ def test_split_lines_as_python(spark):
     texts = ["", "a", "a\n", "\n", "a\r\nb\rc\n\rd", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g h ",
              "\r\n\r\n", "é\n漢\n", "x\r", "a\x1fb"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r.i: r.x for r in rows.select("i", split_lines(F.col("t")).alias("x")).collect()}
+    got = {r.i: r.x for r in with_lines(rows, "t", "x").collect()}
     assert got == {i: t.splitlines(keepends=True) for i, t in enumerate(texts)}
 
 
