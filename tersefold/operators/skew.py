@@ -45,15 +45,17 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], total: int,
 
 
 def join_unique(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: str,
-                total: int, how: str = "left", limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
+                total: int, how: str = "left", limits: SkewLimits = DEFAULT_LIMITS,
+                counted: DataFrame | None = None) -> DataFrame:
     """Join rows to a lookup table that is unique by `keys`.
 
     Rows of a heavy key are spread over several parts by the hash of
     `spread_by`, and the one lookup row of that key is copied to each part.
     The list of heavy keys is bounded (see above), so it may be broadcast.
-    `rows` is read twice; pass a written table. Keys must not be null.
+    Keys must not be null. The keys are counted on `counted`, or on `rows`,
+    which is then read twice and should be a written table.
     """
-    heavy = heavy_keys(rows, keys, total, limits)
+    heavy = heavy_keys(rows if counted is None else counted, keys, total, limits)
     if heavy is None:
         return rows.join(lookup, list(keys), how)
     heavy = F.broadcast(heavy)
