@@ -14,6 +14,12 @@ STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # Raw control characters are not allowed inside a JSON string.
 STRICT_STRING = r'"[^"\\\x00-\x1f]*+(?:\\[^\x00-\x1f][^"\\\x00-\x1f]*+)*+"'
 
+# Half of a surrogate pair: no character, so the escape has to stay.
+LONE_SURROGATE = (
+    r"\\u[dD][89aAbB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])"
+    r"|(?<!\\u[dD][89aAbB][0-9a-fA-F]{2})\\u[dD][c-fC-F]"
+)
+
 
 def is_json(text: Column) -> Column:
     """Strict check of one complete document; text must start with { or [.
@@ -47,13 +53,14 @@ def drop_nulls_and_space(text: Column) -> Column:
 
 def _decode(token: Column) -> Column:
     """One string token with its \\uXXXX and \\/ escapes replaced by the characters."""
-    plain = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$")
+    value = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+    plain = F.to_json(F.array(value))
     plain = F.substring(plain, F.lit(2), F.length(plain) - 2)
     # Control characters stay escaped, in lower-case hex.
     for upper in "ABCDEF":
         plain = F.regexp_replace(
             plain, rf"((?<!\\)(?:\\\\)*+\\u00[01]){upper}", f"$1{upper.lower()}")
-    return F.coalesce(plain, token)
+    return F.when(value.isNull() | token.rlike(LONE_SURROGATE), token).otherwise(plain)
 
 
 def decode_escapes(text: Column) -> Column:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +18,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fixed.WS_TEXT))
 
 
-def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    return reduce(or_, (text.contains(n) for n in needles))
-
-
 def strip_ansi(text: Column) -> Column:
     return F.when(text.contains(fixed.ESC), F.regexp_replace(text, fixed.ANSI, "")).otherwise(text)
 
 
-def has_secret(text: Column) -> Column:
-    hint = contains_any(F.lower(text), fixed.SECRET_HINTS) | contains_any(text, fixed.SECRET_HINTS[-3:])
-    return F.when(hint, text.rlike(fixed.SECRET)).otherwise(F.lit(False))
+def with_secret(df: DataFrame, text: str, out: str = "is_secret") -> DataFrame:
+    """Add whether the text holds something that looks like a secret."""
+    df = df.withColumn("_lower", F.lower(text))
+    hints = [f"contains(_lower, {_literal(h)})" for h in fixed.SECRET_HINTS]
+    hints += [f"contains({text}, {_literal(h)})" for h in fixed.SECRET_HINTS[-3:]]
+    found = F.when(F.expr(" OR ".join(hints)), F.col(text).rlike(fixed.SECRET)).otherwise(F.lit(False))
+    return df.withColumn(out, found).drop("_lower")
 
 
 def collapse_blank_lines(text: Column) -> Column:
@@ -50,38 +46,47 @@ def reduction_pct(original: Column, compressed: Column, digits: int = 0) -> Colu
     return F.when(original > 0, pct).otherwise(F.lit(0.0))
 
 
-def other_line_ends(text: Column) -> Column:
-    """The text has line ends besides LF."""
-    return contains_any(text, (e for e in fixed.LINE_ENDS if e != "\n"))
+def other_line_ends(text: str) -> Column:
+    """The text in the column of that name has line ends besides LF."""
+    return F.expr(" OR ".join(
+        f"contains({text}, {_literal(e)})" for e in fixed.LINE_ENDS if e != "\n"))
 
 
-def with_lines(df: DataFrame, text: str, out: str, wanted: Column | None = None) -> DataFrame:
+def with_lines(df: DataFrame, text: str, out: str, wanted: Column | None = None,
+               mixed: str | None = None) -> DataFrame:
     """Add the array of lines, terminators kept; null where `wanted` is false.
 
     The empty text has no lines. Texts with LF ends only, the usual case, take
-    the plain split. The steps are separate selects: an array used twice in one
-    expression would be built again for every element.
+    the plain split; `mixed` may name a column that says which texts cannot.
+    The steps are separate columns: an array used twice in one expression would
+    be built again for every element.
     """
     body = F.col(text)
-    plain = F.when(~other_line_ends(body), F.split(body, "\n", -1))
-    mixed = F.when(other_line_ends(body), F.regexp_extract_all(body, F.lit(fixed.LINE), F.lit(0)))
-    if wanted is not None:
-        plain, mixed = F.when(wanted, plain), F.when(wanted, mixed)
-    cols = [c for c in df.columns if c != out]
-    df = df.select(*df.columns, plain.alias("_plain"), mixed.alias("_mixed"))
-    df = df.select(*df.columns, F.size("_plain").alias("_pieces"),
-                   (F.element_at("_plain", -1) == "").alias("_closed"))
-    pieces = F.slice("_plain", F.lit(1), F.col("_pieces") - F.col("_closed").cast("int"))
-    lines = F.transform(
-        pieces, lambda x, i: F.when(i < F.col("_pieces") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    return df.select(*cols, F.coalesce("_mixed", lines).alias(out))
+    wanted = F.lit(True) if wanted is None else wanted
+    if mixed is None:
+        df = df.withColumn("_ends", other_line_ends(text))
+        mixed = "_ends"
+    df = df.withColumns({
+        "_plain": F.when(wanted & ~F.col(mixed), F.split(body, "\n", -1)),
+        "_other": F.when(wanted & F.col(mixed), F.regexp_extract_all(body, F.lit(fixed.LINE), F.lit(0))),
+    })
+    df = df.withColumns({"_pieces": F.expr("size(_plain)"), "_closed": F.expr("element_at(_plain, -1) = ''")})
+    # All pieces but the last were followed by LF; an empty last piece is no line.
+    lines = F.expr("""transform(slice(_plain, 1, _pieces - int(_closed)),
+                      (x, i) -> if(i < _pieces - 1, concat(x, '\\n'), x))""")
+    return df.withColumn(out, F.coalesce("_other", lines)).drop(
+        "_ends", "_plain", "_other", "_pieces", "_closed")
 
 
 def without_line_end(line: Column) -> Column:
     return F.regexp_replace(line, rf"(?:\r\n|{fixed.LINE_END})\z", "")
 
 
-def may_exceed_lines(text: Column, n: int) -> Column:
+def may_exceed_lines(text: str, n: int, mixed: str) -> Column:
     """True for every text of more than n lines, and for few others; no split needed."""
-    lf = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return (F.length(text) > n) & ((lf >= n) | other_line_ends(text))
+    return F.expr(f"length({text}) > {n} AND ({mixed} OR length({text}) - length(replace({text}, '\\n', '')) >= {n})")
+
+
+def _literal(text: str) -> str:
+    """SQL string literal; characters outside printable ASCII as escapes."""
+    return "'" + "".join(c if " " <= c <= "~" else f"\\u{ord(c):04x}" for c in text) + "'"

@@ -27,35 +27,33 @@ _THREE_EQUAL = r"\n([^\n]*+)\n\1\n\1\n"
 
 
 def _between_lf(text: str) -> Column:
-    return F.concat(F.lit("\n"), F.col(text), F.lit("\n"))
+    return F.expr(f"concat('\\n', {text}, '\\n')")
 
 
-def _fold_runs(df: DataFrame, text: str, out: str, wanted: Column, key: Callable[[Column], Column],
-               render: Callable[[Column, Column, Column, Column], Column],
-               extra: list[str] | None = None) -> DataFrame:
+def _with_mixed(df: DataFrame, text: str, mixed: str | None) -> tuple[DataFrame, str]:
+    """The column that marks texts with line ends besides LF, added if there is none."""
+    return (df, mixed) if mixed else (df.withColumn("_ends", other_line_ends(text)), "_ends")
+
+
+def _fold_runs(df: DataFrame, text: str, out: str, wanted: Column, mixed: str,
+               key: Callable[[Column], Column],
+               render: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     """Fold runs of lines with equal non-null key.
 
     render(lines, start, n, total) gives the text of the run of n lines from
     start. Texts outside `wanted` pass unchanged.
     """
-    extra = extra or []
-    cols = [c for c in df.columns if c != out]
-    df = with_lines(df, text, "_lines", wanted)
-    df = df.select(*df.columns, F.transform("_lines", key).alias("_keys"),
-                   F.size("_lines").alias("_total"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.col("_total") - 1, F.lit(0))),
-        lambda i: (i == 0) | ~F.coalesce(
-            F.get(F.col("_keys"), i) == F.get(F.col("_keys"), i - 1), F.lit(False)),
-    )
-    df = df.select(*df.columns, F.when(F.col("_lines").isNotNull(), starts).alias("_starts"))
-    runs = F.transform("_starts", lambda a, p: F.struct(
-        a.alias("a"),
-        (F.coalesce(F.get(F.col("_starts"), p + 1), F.col("_total")) - a).alias("n")))
-    df = df.select(*df.columns, runs.alias("_runs"))
+    df = with_lines(df, text, "_lines", wanted, mixed)
+    df = df.withColumns({"_keys": F.transform("_lines", key), "_total": F.expr("size(_lines)")})
+    df = df.withColumn("_starts", F.expr("""if(_lines IS NULL, NULL, filter(
+        sequence(0, greatest(_total - 1, 0)),
+        i -> i = 0 OR NOT coalesce(get(_keys, i) = get(_keys, i - 1), false)))"""))
+    df = df.withColumn("_runs", F.expr("""transform(_starts, (a, p) -> named_struct(
+        'a', a, 'n', coalesce(get(_starts, p + 1), _total) - a))"""))
     folded = F.array_join(
         F.transform("_runs", lambda r: render(F.col("_lines"), r["a"], r["n"], F.col("_total"))), "")
-    return df.select(*cols, F.coalesce(folded, F.col(text)).alias(out))
+    return df.withColumn(out, F.coalesce(folded, F.col(text))).drop(
+        "_ends", "_lines", "_keys", "_total", "_starts", "_runs")
 
 
 def _slice_text(lines: Column, start: Column, n: Column) -> Column:
@@ -63,29 +61,28 @@ def _slice_text(lines: Column, start: Column, n: Column) -> Column:
         F.array_join(F.slice(lines, start + 1, n), ""))
 
 
-def collapse_repeats(df: DataFrame, text: str, out: str) -> DataFrame:
+def collapse_repeats(df: DataFrame, text: str, out: str, mixed: str | None = None) -> DataFrame:
     """Three or more equal lines in a row become one line with a count."""
-    wanted = other_line_ends(F.col(text)) | _between_lf(text).rlike(_THREE_EQUAL)
+    df, mixed = _with_mixed(df, text, mixed)
+    wanted = F.col(mixed) | _between_lf(text).rlike(_THREE_EQUAL)
 
     def render(lines, start, n, total):
         return F.when(n >= 3, repeat_note(F.get(lines, start), n)).otherwise(
             _slice_text(lines, start, n))
 
-    return _fold_runs(df, text, out, wanted, repeat_key, render)
+    return _fold_runs(df, text, out, wanted, mixed, repeat_key, render)
 
 
-def fold_family(df: DataFrame, text: str, family: str, out: str) -> DataFrame:
+def fold_family(df: DataFrame, text: str, family: str, out: str, mixed: str | None = None) -> DataFrame:
     """Apply the line folding of each text's command family; other families pass."""
+    df, mixed = _with_mixed(df, text, mixed)
     fam = F.col(family)
-    body = F.col(text)
-    wanted = (
-        F.when(fam == "diff", other_line_ends(body) | _between_lf(text).rlike(_LONG_CONTEXT))
-        .when(fam == "build", body.contains(fixed.BUILD_PREFIX))
-        .when(fam == "package", body.contains("npm WARN") | body.contains("added ")
-              | body.contains("package") | body.contains("found "))
-        .when(fam == "test", F.lit(True))
-        .otherwise(F.lit(False))
-    )
+    wanted = F.expr(f"""CASE {family}
+        WHEN 'build' THEN contains({text}, '{fixed.BUILD_PREFIX}')
+        WHEN 'package' THEN contains({text}, 'npm WARN') OR contains({text}, 'added ')
+            OR contains({text}, 'package') OR contains({text}, 'found ')
+        WHEN 'test' THEN true ELSE false END""")
+    wanted = F.when(fam == "diff", F.col(mixed) | _between_lf(text).rlike(_LONG_CONTEXT)).otherwise(wanted)
 
     def key(line):
         return (
@@ -99,9 +96,8 @@ def fold_family(df: DataFrame, text: str, family: str, out: str) -> DataFrame:
         first = F.get(lines, start)
         whole = _slice_text(lines, start, n)
         last = F.get(lines, start + n - 1)
-        piece = F.slice(lines, start + 1, n)
         # A stretch without markers behind the first line follows a failure.
-        kept = F.filter(piece, lambda x: test_kept(x, start > 0))
+        kept = F.filter(F.slice(lines, start + 1, n), lambda x: test_kept(x, start > 0))
         dropped = n - F.size(kept)
         counter = F.when(dropped == 0, "").when(
             start + n == total, omitted_note(dropped)).otherwise(passed_note(dropped))
@@ -114,35 +110,31 @@ def fold_family(df: DataFrame, text: str, family: str, out: str) -> DataFrame:
                 F.concat(F.array_join(kept, ""), counter)))
         )
 
-    return _fold_runs(df, text, out, wanted, key, render)
+    return _fold_runs(df, text, out, wanted, mixed, key, render)
 
 
-def cut_lines(df: DataFrame, text: str, out: str) -> DataFrame:
+def cut_lines(df: DataFrame, text: str, out: str, mixed: str | None = None) -> DataFrame:
     """Texts over the line limit keep head and tail; line ends become LF, none at the end."""
-    cols = [c for c in df.columns if c != out]
-    wanted = may_exceed_lines(F.col(text), fixed.MAX_LINES)
-    df = with_lines(df, text, "_lines", wanted)
-    n = F.size("_lines")
-    head = F.slice("_lines", 1, fixed.KEEP_HEAD)
-    tail = F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL)
-    note = F.array(_cut_note(n))
-    cut = F.array_join(F.concat(F.transform(head, without_line_end), note,
-                                F.transform(tail, without_line_end)), "\n")
-    return df.select(*cols, F.when(n > fixed.MAX_LINES, cut).otherwise(F.col(text)).alias(out))
+    df, mixed = _with_mixed(df, text, mixed)
+    df = with_lines(df, text, "_lines", may_exceed_lines(text, fixed.MAX_LINES, mixed), mixed)
+    df = df.withColumn("_n", F.expr("size(_lines)"))
+    kept = F.concat(F.slice("_lines", 1, fixed.KEEP_HEAD), F.array(_cut_note(F.col("_n"))),
+                    F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL))
+    cut = F.array_join(F.transform(kept, without_line_end), "\n")
+    return df.withColumn(out, F.when(F.col("_n") > fixed.MAX_LINES, cut).otherwise(F.col(text))).drop(
+        "_ends", "_lines", "_n")
 
 
 def cut_bytes(df: DataFrame, text: str, out: str) -> DataFrame:
     """Texts over the byte limit keep head and tail lines; too few lines to cut: unchanged."""
-    cols = [c for c in df.columns if c != out]
-    wanted = F.octet_length(text) > fixed.MAX_BYTES
-    df = with_lines(df, text, "_lines", wanted)
-    n = F.size("_lines")
-    head = F.array_join(F.slice("_lines", 1, fixed.KEEP_HEAD), "")
-    tail = F.array_join(F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL), "")
-    cut = F.concat(head, F.lit("\n"), _cut_note(n), F.lit("\n"), tail)
-    return df.select(
-        *cols,
-        F.when(n > fixed.KEEP_HEAD + fixed.KEEP_TAIL, cut).otherwise(F.col(text)).alias(out))
+    df = with_lines(df, text, "_lines", F.octet_length(text) > fixed.MAX_BYTES)
+    df = df.withColumn("_n", F.expr("size(_lines)"))
+    kept = F.concat(F.slice("_lines", 1, fixed.KEEP_HEAD),
+                    F.array(F.concat(F.lit("\n"), _cut_note(F.col("_n")), F.lit("\n"))),
+                    F.slice("_lines", -fixed.KEEP_TAIL, fixed.KEEP_TAIL))
+    return df.withColumn(
+        out, F.when(F.col("_n") > fixed.KEEP_HEAD + fixed.KEEP_TAIL, F.array_join(kept, ""))
+        .otherwise(F.col(text))).drop("_lines", "_n")
 
 
 def _cut_note(n: Column) -> Column:
@@ -152,14 +144,13 @@ def _cut_note(n: Column) -> Column:
 
 def minify_json(df: DataFrame, text: str, out: str, wanted: Column | None = None) -> DataFrame:
     """JSON documents lose nulls and white space if that saves more than a tenth."""
-    cols = [c for c in df.columns if c != out]
     candidate = F.col(text).rlike(rf"\A{fixed.WS}*+[\[{{]")
     if wanted is not None:
         candidate = wanted & candidate
-    df = df.select(*df.columns, F.when(candidate, strip(F.col(text))).alias("_body"))
-    df = df.select(*df.columns, F.when(is_json(F.col("_body")), F.col("_body")).alias("_json"))
-    df = df.select(*df.columns, drop_nulls_and_space(F.col("_json")).alias("_small"))
-    df = df.select(*df.columns, decode_escapes(F.col("_small")).alias("_min"))
-    smaller = F.length("_min") * 10 < F.length("_body") * 9
-    return df.select(*cols, F.when(smaller, F.concat("_min", F.lit("\n")))
-                     .otherwise(F.col(text)).alias(out))
+    df = df.withColumn("_body", F.when(candidate, strip(F.col(text))))
+    df = df.withColumn("_json", F.when(is_json(F.col("_body")), F.col("_body")))
+    df = df.withColumn("_small", drop_nulls_and_space(F.col("_json")))
+    df = df.withColumn("_min", decode_escapes(F.col("_small")))
+    smaller = F.expr("length(_min) * 10 < length(_body) * 9")
+    return df.withColumn(out, F.when(smaller, F.concat("_min", F.lit("\n"))).otherwise(F.col(text))).drop(
+        "_body", "_json", "_small", "_min")

@@ -6,6 +6,7 @@ order of the rows and unique in a scope; scope is not null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.commands import base_command, family
 from ..functions.text import (
-    collapse_blank_lines, has_secret, is_blank, strip_ansi, token_estimate,
+    collapse_blank_lines, is_blank, other_line_ends, strip_ansi, token_estimate, with_secret,
 )
 from ..operators import folds_doc
 from ..operators.dedup import fingerprint, first_stored, mark_refs, ref_token, short_ref
@@ -29,32 +30,45 @@ COMPACTED = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "is
 
 def prepare(outputs: DataFrame) -> DataFrame:
     """Add blank, raw_len, base_cmd, family and stripped: the text cut to size, without escapes."""
-    df = outputs.select(
-        "*", is_blank(F.col("text")).alias("blank"), F.length("text").alias("raw_len"),
-        base_command(F.coalesce("cmd", F.lit(""))).alias("base_cmd"))
+    df = outputs.withColumns({
+        "blank": is_blank(F.col("text")), "raw_len": F.length("text"),
+        "base_cmd": base_command(F.coalesce("cmd", F.lit("")))})
     df = folds_doc.cut_bytes(df, "text", "_cut")
-    return df.select(*[c for c in df.columns if c != "_cut"],
-                     family(F.col("base_cmd")).alias("family"), strip_ansi(F.col("_cut")).alias("stripped"))
+    return df.withColumns({
+        "family": family(F.col("base_cmd")), "stripped": strip_ansi(F.col("_cut"))}).drop("_cut")
 
 
 def fold(df: DataFrame, text: str, out: str) -> DataFrame:
     """All folding of one text in order: its family's rule, blank lines, repeats, length."""
-    df = folds_doc.fold_family(df, text, "family", "_f")
-    df = folds_doc.minify_json(df, "_f", "_f", F.col("family") == fixed.OTHER_FAMILY)
-    df = df.withColumn("_f", collapse_blank_lines(F.col("_f")))
-    df = folds_doc.collapse_repeats(df, "_f", "_f")
-    df = folds_doc.cut_lines(df, "_f", "_f")
-    return df.withColumnRenamed("_f", out)
+    for _, step in fold_steps(text, out):
+        df = step(df)
+    return df.drop("_mixed")
+
+
+def fold_steps(text: str, out: str) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The steps of `fold` by name. `_mixed` marks texts with line ends besides LF on the way;
+    only decoded JSON can gain some."""
+    other = F.col("family") == fixed.OTHER_FAMILY
+
+    def json(df: DataFrame) -> DataFrame:
+        df = folds_doc.minify_json(df, out, out, other)
+        return df.withColumn("_mixed", F.when(other, other_line_ends(out)).otherwise(F.col("_mixed")))
+
+    return [
+        ("family_rule", lambda df: folds_doc.fold_family(
+            df.withColumn("_mixed", other_line_ends(text)), text, "family", out, "_mixed")),
+        ("json", json),
+        ("blank_lines", lambda df: df.withColumn(out, collapse_blank_lines(F.col(out)))),
+        ("repeats", lambda df: folds_doc.collapse_repeats(df, out, out, "_mixed")),
+        ("line_cut", lambda df: folds_doc.cut_lines(df, out, out, "_mixed")),
+    ]
 
 
 def fold_guarded(df: DataFrame) -> DataFrame:
     """Add shrinks, is_secret and body: the folded text if that is shorter, else stripped."""
     df = fold(df, "stripped", "_folded")
-    df = df.withColumn("shrinks", F.length("_folded") < F.length("stripped"))
-    return df.select(
-        *[c for c in df.columns if c != "_folded"],
-        has_secret(F.col("stripped")).alias("is_secret"),
-        F.when(F.col("shrinks"), F.col("_folded")).otherwise(F.col("stripped")).alias("body"))
+    df = with_secret(df, "stripped").withColumn("shrinks", F.expr("length(_folded) < length(stripped)"))
+    return df.withColumn("body", F.expr("if(shrinks, _folded, stripped)")).drop("_folded")
 
 
 def compact_text(outputs: DataFrame) -> DataFrame:

@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work on whole texts; a table of few splits is spread over all cores."""
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _s(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -65,7 +72,7 @@ def outputs_of(documents: DataFrame) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outputs_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"))
+    return outputs_of(text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars"))
 
 
 # Control events lie between rows of the second reading.

@@ -31,8 +31,8 @@ def blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.table(spark, sf_dir, "documents").select(
-        "doc_id", T.has_secret(F.col("text")).alias("is_secret"))
+    docs = inputs.text_table(spark, sf_dir, "documents", "doc_id", "text")
+    return T.with_secret(docs, "text").drop("text")
 
 
 def blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapse_runs_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = inputs.text_table(spark, sf_dir, "documents", "doc_id", "text")
     return folds_doc.collapse_repeats(docs, "text", "folded").drop("text")
 
 

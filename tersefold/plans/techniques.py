@@ -5,30 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..functions.text import collapse_blank_lines
-from ..operators import folds_doc
-from .compact import prepare
-
-STEPS = ["escapes", "family_rule", "json", "blank_lines", "repeats", "line_cut"]
+from .compact import fold_steps, prepare
 
 
 def reduction_by_technique(outputs: DataFrame) -> DataFrame:
     """family, outputs, chars_in and one column of saved characters per step."""
     df = prepare(outputs).filter(~F.col("blank"))
-
-    def measured(df: DataFrame, text: str, name: str) -> DataFrame:
-        return df.withColumn(f"_n_{name}", F.length(text))
-
-    df = measured(df, "text", "in")
-    df = measured(df, "stripped", "escapes").select("family", "stripped", "_n_in", "_n_escapes")
-    df = measured(folds_doc.fold_family(df, "stripped", "family", "stripped"), "stripped", "family_rule")
-    df = measured(folds_doc.minify_json(df, "stripped", "stripped", F.col("family") == fixed.OTHER_FAMILY),
-                  "stripped", "json")
-    df = measured(df.withColumn("stripped", collapse_blank_lines(F.col("stripped"))), "stripped", "blank_lines")
-    df = measured(folds_doc.collapse_repeats(df, "stripped", "stripped"), "stripped", "repeats")
-    df = measured(folds_doc.cut_lines(df, "stripped", "stripped"), "stripped", "line_cut")
-    before = ["in", *STEPS[:-1]]
+    df = df.select("family", "stripped", F.length("text").alias("_n_in"), F.length("stripped").alias("_n_escapes"))
+    names = ["in", "escapes"]
+    for name, step in fold_steps("stripped", "stripped"):
+        df = step(df).withColumn(f"_n_{name}", F.length("stripped"))
+        names.append(name)
     return df.groupBy("family").agg(
         F.count(F.lit(1)).alias("outputs"), F.sum("_n_in").alias("chars_in"),
-        *[F.sum(F.col(f"_n_{a}") - F.col(f"_n_{b}")).alias(b) for a, b in zip(before, STEPS)])
+        *[F.sum(F.col(f"_n_{a}") - F.col(f"_n_{b}")).alias(b) for a, b in zip(names, names[1:])])

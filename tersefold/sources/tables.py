@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def append_log(log: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("day").parquet(path))
 
 
+def read_log(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """The compaction log, optionally from a point in time on."""
+    log = spark.read.parquet(path)
+    if since is not None:
+        since = F.lit(since)
+        log = log.filter((F.col("day") >= F.to_date(since)) & (F.col("ts") >= since))
+    return log
+
+
 def write_known(old: DataFrame, new: DataFrame, path: str) -> None:
     """New snapshot of the known paths; the old one is left as it is."""
     merge_known(old, new).write.parquet(path)
