@@ -67,5 +67,5 @@ def read_path(cmd: Column) -> Column:
     words = F.filter(F.split(cmd, f"{fixed.WS}+"), lambda w: w != "")
     reader = F.lower(F.regexp_replace(F.get(words, F.lit(0)), r"(?s)\A.*/", ""))
     last = F.get(words, F.size(words) - 1)
-    has_suffix = last.rlike(r"(?:\A|/)[^/]+\.[^/.]+(?:/\.?)*\z")
+    has_suffix = last.rlike(r"(?:\A|/)[^/]+\.[^/.]+(?:/\.?)*+\z")
     return F.when(reader.isin(fixed.FILE_READERS) & (F.size(words) > 1) & has_suffix, last)

@@ -43,7 +43,7 @@ def first_stored(rows: DataFrame, storable: DataFrame, total: int, cached: DataF
     cached: scope, fp, seq, epoch of entries stored by earlier runs.
     """
     first = rows.groupBy("scope", "fp", "family", "epoch").agg(F.min("seq").alias("seq"))
-    first = join_unique(first, storable, ["fp", "family"], "scope", total, "left_semi", limits)
+    first = join_unique(first, storable, ["fp", "family"], "seq", total, "left_semi", limits, counted=rows)
     first = first.select("scope", "fp", "epoch", "seq")
     if cached is not None:
         first = first.unionByName(cached.select("scope", "fp", "epoch", "seq"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-# Up to this many control events the intervals between them are broadcast.
-BROADCAST_EVENTS = 2_000
+# Up to this many control events the intervals between them are broadcast, and
+# a row is compared with each interval of its scope.
+BROADCAST_EVENTS = 256
 SEQ_BLOCK = 1_048_576
 
 
@@ -59,10 +60,10 @@ def _by_blocks(rows: DataFrame, control: DataFrame, seq_block: int) -> DataFrame
     """For any number of events: windows over blocks of seq, plus what earlier blocks ended with."""
     rows = stage(rows, "rows")
     both = rows.unionByName(control, allowMissingColumns=True).withColumn(
-        "_block", F.floor(F.col("seq") / seq_block))
+        "_block", F.expr(f"seq div {seq_block}"))
     upto = W.partitionBy("scope", "_block").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = (
-        control.withColumn("_block", F.floor(F.col("seq") / seq_block))
+        control.withColumn("_block", F.expr(f"seq div {seq_block}"))
         .groupBy("scope", "_block")
         .agg(_last("compact").alias("_c"), _last("resume").alias("_r"))
     )

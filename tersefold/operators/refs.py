@@ -46,6 +46,7 @@ def path_notes(texts: DataFrame, text: str, keys: Sequence[str], known: DataFram
     leading part of the word behind the mark, so the parts of all lengths that
     occur among the known paths are looked up.
     """
+    known = stage(known, "known")
     # Distinct lengths only: never more numbers than the longest path has characters.
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
     lengths = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
@@ -60,10 +61,11 @@ def path_notes(texts: DataFrame, text: str, keys: Sequence[str], known: DataFram
         fits = lambda n: (F.substring(word, n + 1, F.lit(1)) == ":") if ends_with_colon else (n <= F.length(word))
         return F.transform(F.filter(lengths, fits), lambda n: F.substring(word, F.lit(1), n))
 
-    named = words.select(*keys, F.explode(F.array_distinct(F.flatten(F.concat(
+    # The outer form, as the plain one would search every text once more to see if it has mentions.
+    named = words.select(*keys, F.explode_outer(F.array_distinct(F.flatten(F.concat(
         F.transform("_arrow", lambda w: parts(w, False)),
         F.transform("_at", lambda w: parts(w, True)))))).alias("path"))
-    named = stage(named, "mentions")
+    named = stage(named.filter(F.col("path").isNotNull()), "mentions")
     total = named.count()
     found = join_unique(named, known, ["scope", "path"], keys[-1], total, "inner", limits)
     return found.groupBy(*keys).agg(

@@ -102,7 +102,7 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     """Compact outputs with references to texts seen before and notes on known paths.
 
     control: scope, seq, kind ('compact' or 'resume'); known: scope, path,
-    added_seq; cache: entries of earlier runs (see merge_cache).
+    added_seq; cache: entries of earlier runs, merged or not (see merge_cache).
 
     Two passes read the texts. The first keeps only keys and lengths; the
     second folds every distinct (text, family) once. Everything that relates
@@ -134,7 +134,7 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     else:
         texts = folded.filter(F.col("plain").isNotNull()).select("fp", "family", "body")
         groups = full.select("scope", "fp", "family").distinct()
-        texts = join_unique(groups, texts, ["fp", "family"], "scope", total, "inner", limits)
+        texts = join_unique(groups, texts, ["fp", "family"], "scope", total, "inner", limits, counted=full)
         keys = ["scope", "family", "fp"]
         notes = path_notes(texts, "body", keys, known, limits)
         noted = join_unique(noted, notes, keys, "seq", total, "left", limits)
@@ -154,7 +154,7 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
         F.max("seq").alias("last_storable_seq"), F.max_by("family", "seq").alias("family"),
         F.max_by("ts", "seq").alias("created_at"))
     texts = folded.select("fp", "family", "body", "stripped_len")
-    entries = join_unique(last, texts, ["fp", "family"], "scope", total, "inner", limits).select(
+    entries = join_unique(last, texts, ["fp", "family"], "last_storable_seq", total, "inner", limits, counted=full).select(
         "scope", "fp", short_ref(F.col("fp")).alias("ref"), F.col("body").alias("compressed"),
         token_estimate(F.col("stripped_len")).alias("original_tokens"),
         token_estimate(F.length("body")).alias("compressed_tokens"),

@@ -27,6 +27,14 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream, spread like text_table; as a pattern the path may be a file or a folder."""
+    given = table(spark, sf_dir, name)
+    df = spark.readStream.schema(given.schema).parquet(f"{sf_dir}/{name}.parquet*")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if given.rdd.getNumPartitions() < cores else df
+
+
 def _s(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -128,14 +136,15 @@ def test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role of every line of every turn: a line table with long runs."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    lines = with_lines(turns, "text", "lines").select("conv_id", "turn", "role", F.posexplode("lines"))
-    return lines.select(
+    # The outer form, as the plain one would split every text once more to see if it has lines.
+    lines = with_lines(turns, "text", "lines").select("conv_id", "turn", "role", F.posexplode_outer("lines"))
+    return lines.filter(F.col("pos").isNotNull()).select(
         F.col("conv_id").alias("output_id"), (F.col("turn") * 1_000_000 + F.col("pos")).alias("pos"),
         _s("[", F.col("role"), "]\n").alias("line"))
 
 
 def json_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    e = text_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     return e.select(
         F.col("event_id").alias("output_id"),
         _s('{"id": ', F.col("event_id").cast("string"), ', "note": null, "tags": [null, "', F.col("event_type"),
@@ -147,7 +156,7 @@ def long_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs around the line limit, one per customer."""
     c = F.col("c_custkey")
     n = (400 + (c % 7) * 50).cast("int")
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").select(
+    return text_table(spark, sf_dir, "customer", "c_custkey", "c_name").select(
         c.alias("output_id"),
         F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _s(F.col("c_name"), " row ", i.cast("string"))),
                      "\n").alias("text"))
@@ -157,7 +166,7 @@ def wide_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs around the byte limit, one per supplier."""
     k = F.col("s_suppkey")
     width = (1500 + (k % 5) * 200).cast("int")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").select(
+    return text_table(spark, sf_dir, "supplier", "s_suppkey", "s_name").select(
         k.alias("output_id"),
         F.array_join(F.transform(
             F.sequence(F.lit(1), F.lit(300)),
@@ -198,7 +207,7 @@ def tool_events_of(events: DataFrame) -> DataFrame:
 
 
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_events_of(table(spark, sf_dir, "events").select("event_id", "ts"))
+    return tool_events_of(text_table(spark, sf_dir, "events", "event_id", "ts"))
 
 
 def ref_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,14 +169,8 @@ def compact_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_text(inputs.outputs(spark, sf_dir)).select(_STATELESS)
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The given table as a file stream; as a pattern the path may be one file or a folder."""
-    schema = inputs.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
-
-
 def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = inputs.outputs_of(_stream(spark, sf_dir, "documents"))
+    outputs = inputs.outputs_of(inputs.stream(spark, sf_dir, "documents"))
     return jobs.run_to_end(jobs.compact_stream(outputs).select(_STATELESS))
 
 
@@ -194,19 +188,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = inputs.outputs_of(_stream(spark, sf_dir, "documents"))
+    outputs = inputs.outputs_of(inputs.stream(spark, sf_dir, "documents"))
     return jobs.run_to_end(jobs.keep_first_stream(outputs, "100 days")).select("scope", "fp")
 
 
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = inputs.compaction_log_of(_stream(spark, sf_dir, "documents"))
+    log = inputs.compaction_log_of(inputs.stream(spark, sf_dir, "documents"))
     done = jobs.run_to_end(jobs.rolling_savings(log), "complete")
     return done.select(F.unix_seconds("window_start").alias("window_start_s"), "compressions", "original_tokens",
                        "compressed_tokens", "tokens_saved", "reduction_pct")
 
 
 def stream_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = inputs.tool_events_of(_stream(spark, sf_dir, "events"))
+    stream = inputs.tool_events_of(inputs.stream(spark, sf_dir, "events"))
     return jobs.run_to_end(jobs.classify_stream(stream)).select(
         "event_id", "reject_reason", "base_cmd", "skip_reason")
 

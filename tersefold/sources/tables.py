@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import merge_cache
 from ..operators.folds_lines import number_lines
 from ..operators.refs import merge_known
 
@@ -17,6 +18,13 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def stream_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Files arriving in a folder, one output each: path, ts of the file, and text."""
+    return spark.readStream.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("text"))
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line table of large LF text logs: path, pos and line, of files that Spark may split."""
     lines = spark.read.text(path, lineSep="\n").select(
@@ -43,6 +51,11 @@ def read_log(spark: SparkSession, path: str, since: datetime | None = None) -> D
     return log
 
 
+def write_cache(old: DataFrame | None, new: DataFrame, path: str) -> None:
+    """New snapshot of the cache; the old one is left as it is."""
+    merge_cache(old, new).write.parquet(path)
+
+
 def write_known(old: DataFrame, new: DataFrame, path: str) -> None:
     """New snapshot of the known paths; the old one is left as it is."""
     merge_known(old, new).write.parquet(path)

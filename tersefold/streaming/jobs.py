@@ -68,11 +68,12 @@ def dedup_batches(state_dir: str, out_dir: str, control: DataFrame | None = None
 
 
 def _cache_before(spark: SparkSession, state_dir: str, batch_id: int, merge_every: int) -> DataFrame | None:
+    """All entries of the batches before: the last merged cache and what came after it."""
     if batch_id == 0:
         return None
     base = (batch_id - 1) // merge_every * merge_every
     paths = [f"{state_dir}/merged/{base}"] + [f"{state_dir}/entries/{i}" for i in range(base + 1, batch_id)]
-    return merge_cache(None, spark.read.schema(CACHE_SCHEMA).parquet(*paths))
+    return spark.read.schema(CACHE_SCHEMA).parquet(*paths)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:

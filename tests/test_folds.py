@@ -25,6 +25,11 @@ LINE_FORM = {
 }
 
 
+def to_text(lines):
+    parts = F.array_sort(F.collect_list(F.struct("pos", "part", "line")))
+    return lines.groupBy("output_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("text"))
+
+
 def random_docs(kind, n, seed, longest=24):
     rng = random.Random(seed)
     docs = []
@@ -74,7 +79,7 @@ def test_line_form_any_block_size(spark, kind, block_rows):
             pos += 1 if rng.random() < 0.7 else rng.randrange(2, 6)  # gaps in pos are allowed
     rng.shuffle(rows)
     lines = spark.createDataFrame(rows, "output_id long, pos long, line string")
-    out = folds_lines.to_text(LINE_FORM[kind](lines, block_rows=block_rows))
+    out = to_text(LINE_FORM[kind](lines, block_rows=block_rows))
     got = {r.output_id: r.text for r in out.collect()}
     want = {i: "".join(MODEL[kind](ls)) for i, ls in docs if ls}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}

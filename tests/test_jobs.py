@@ -9,7 +9,9 @@ import __spark_entry__ as entry
 from check_oracle import compare, connect
 from tersefold.operators import events, metrics
 from tersefold.sources import tables
+from tersefold.plans.compact import compact_text
 from tersefold.session import new_dir
+from tersefold.streaming.jobs import CACHE_SCHEMA, run_to_end
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -82,6 +84,23 @@ def test_text_sources(spark, tmp_path):
     assert whole["b.log"] == "x\r\n\ny\n" and len(whole) == 2
 
 
+def test_outputs_arriving_as_files(spark, tmp_path):
+    (tmp_path / "a.out").write_text("same\n" * 3)
+    stream = tables.stream_outputs(spark, str(tmp_path)).withColumn("cmd", F.lit("ls"))
+    got = run_to_end(compact_text(stream)).collect()
+    assert [(r.result, r.outcome) for r in got] == [("same (×3)\n", "compressed")]
+
+
+def test_cache_sink_last_write_wins(spark):
+    path = new_dir(spark, "cache")
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    old = spark.createDataFrame([("s", "f", "r", "old", 9, 2, 1, at(1)), ("s", "g", "q", "kept", 9, 2, 2, at(2))], CACHE_SCHEMA)
+    new = spark.createDataFrame([("s", "f", "r", "new", 9, 3, 7, at(5)), ("t", "f", "r", "else", 9, 3, 8, at(5))], CACHE_SCHEMA)
+    tables.write_cache(old, new, path)
+    got = sorted((r.scope, r.fp, r.compressed) for r in spark.read.parquet(path).collect())
+    assert got == [("s", "f", "new"), ("s", "g", "kept"), ("t", "f", "else")]
+
+
 def test_known_sink_first_add_wins(spark):
     path = new_dir(spark, "known")
     schema = "scope string, path string, added_seq long"

@@ -206,6 +206,36 @@ def test_stateless_and_deterministic(spark):
             assert got[oid][0] == (folded if len(folded) < len(stripped) else stripped)
 
 
+def test_published_samples(spark):
+    """The four samples that come with published reductions."""
+    error = ("error[E0308]: mismatched types\n  --> src/main.rs:42:5\n42 |     do_thing(42u32);\n"
+             "   |              ^^^^^ expected &str, found u32\n")
+    response = """{
+  "status": "ok",
+  "user": { "id": 42, "name": "someone", "avatar": null,
+            "bio": null, "location": null,
+            "preferences": { "theme": "dark", "notifications": null,
+                             "language": "en", "timezone": null } },
+  "metadata": null, "errors": null, "warnings": null
+}
+"""
+    log = "WARNING: deprecated API call\n" * 20 + "Build completed: 1 error\n"
+    rows = [
+        (1, 1, 1, "s", "make", log),
+        (2, 2, 2, "s", "cargo build", "".join(f"   Compiling serde v1.0.{i}\n" for i in range(16)) + error),
+        (3, 3, 3, "s", "curl -s api", response),
+        (4, 4, 4, "s", "make", log),
+    ]
+    got = {k: v for k, (v, _) in results(compact(table(spark, rows)).compacted).items()}
+    assert got[1] == "WARNING: deprecated API call (×20)\nBuild completed: 1 error\n"
+    assert 1 - len(got[1]) / len(log) > 0.89
+    assert got[2] == "   Compiling ... (16 crates)\n" + error
+    assert got[3] == ('{"status":"ok","user":{"id":42,"name":"someone","preferences":'
+                      '{"theme":"dark","language":"en"}}}\n')
+    assert len(got[3]) <= 96 and 1 - len(got[3]) / len(response) > 0.69
+    assert len(got[4]) == 22 and got[4].startswith("§ref:")
+
+
 def test_stream_dedup_batches_and_retry(spark):
     """Batches in order equal one run; a batch run twice changes nothing; merged caches are used."""
     events, rows, control = random_history(240, seed=16, n_control=6)
