@@ -1 +1,12 @@
 """Compaction of command output and log text as Spark DataFrame jobs."""
+
+from .operators.events import classify, parse_events, skip_report
+from .operators.metrics import lookback_stats, stats_by
+from .operators.refs import annotate, known_paths
+from .plans.compact import Compaction, compact, compact_text
+from .plans.techniques import reduction_by_technique
+
+__all__ = [
+    "Compaction", "annotate", "classify", "compact", "compact_text", "known_paths", "lookback_stats",
+    "parse_events", "reduction_by_technique", "skip_report", "stats_by",
+]

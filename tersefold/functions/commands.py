@@ -68,4 +68,5 @@ def read_path(cmd: Column) -> Column:
     reader = F.lower(F.regexp_replace(F.get(words, F.lit(0)), r"(?s)\A.*/", ""))
     last = F.get(words, F.size(words) - 1)
     has_suffix = last.rlike(r"(?:\A|/)[^/]+\.[^/.]+(?:/\.?)*+\z")
-    return F.when(reader.isin(fixed.FILE_READERS) & (F.size(words) > 1) & has_suffix, last)
+    found = reader.isin(fixed.FILE_READERS) & (F.size(words) > 1) & has_suffix
+    return F.when(cmd.contains(".") & F.lower(cmd).rlike("|".join(fixed.FILE_READERS)), F.when(found, last))

@@ -7,7 +7,7 @@ possessive quantifiers only, so long strings need no regex stack.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -56,15 +56,22 @@ def _decode(token: Column) -> Column:
     value = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
     plain = F.to_json(F.array(value))
     plain = F.substring(plain, F.lit(2), F.length(plain) - 2)
-    # Control characters stay escaped, in lower-case hex.
-    for upper in "ABCDEF":
-        plain = F.regexp_replace(
-            plain, rf"((?<!\\)(?:\\\\)*+\\u00[01]){upper}", f"$1{upper.lower()}")
     return F.when(value.isNull() | token.rlike(LONE_SURROGATE), token).otherwise(plain)
 
 
-def decode_escapes(text: Column) -> Column:
-    tokens = F.regexp_extract_all(text, F.lit(rf'({STRING}|[^"]++)'), F.lit(1))
+def _lower_control_escapes(text: Column) -> Column:
+    """Control characters stay escaped; their hex digits become lower case."""
+    out = text
+    for upper in "ABCDEF":
+        out = F.regexp_replace(out, rf"((?<!\\)(?:\\\\)*+\\u00[01]){upper}", f"$1{upper.lower()}")
+    return out
+
+
+def decode_escapes(df: DataFrame, text: str) -> DataFrame:
+    """Replace \\uXXXX and \\/ escapes in the JSON column of that name by their characters."""
+    body = F.col(text)
+    tokens = F.regexp_extract_all(body, F.lit(rf'({STRING}|[^"]++)'), F.lit(1))
     decoded = F.array_join(
         F.transform(tokens, lambda t: F.when(t.rlike(r"\A\"(?s).*\\[u/]"), _decode(t)).otherwise(t)), "")
-    return F.when(text.rlike(r"\\[u/]"), decoded).otherwise(text)
+    df = df.withColumn(text, F.when(body.rlike(r"\\[u/]"), decoded).otherwise(body))
+    return df.withColumn(text, F.when(body.contains("\\u00"), _lower_control_escapes(body)).otherwise(body))

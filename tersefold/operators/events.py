@@ -18,10 +18,9 @@ EVENT = "struct<tool_name:string,tool_input:struct<command:string>>"
 def parse_events(events: DataFrame, value: str = "value") -> DataFrame:
     """Add tool_name, command and reject_reason; rejected events stay in the table."""
     raw = F.col(value)
-    event = F.from_json(raw, EVENT)
-    parsed = events.select(
-        *events.columns, event["tool_name"].alias("tool_name"),
-        event["tool_input"]["command"].alias("command"))
+    # A column of its own, so that every event is parsed once.
+    parsed = events.withColumn("_event", F.from_json(raw, EVENT)).withColumns({
+        "tool_name": F.col("_event.tool_name"), "command": F.col("_event.tool_input.command")})
     braces = raw.rlike(r"\A\s*\{")
     reject = (
         F.when(F.when(braces, ~is_json(raw)).otherwise(F.try_parse_json(raw).isNull()), "invalid-json")
@@ -29,7 +28,7 @@ def parse_events(events: DataFrame, value: str = "value") -> DataFrame:
         .when(~F.coalesce(F.lower("tool_name").isin(fixed.SHELL_TOOLS), F.lit(False)), "other-tool")
         .when(F.coalesce(is_blank(F.col("command")), F.lit(True)), "no-command")
     )
-    return parsed.withColumn("reject_reason", reject)
+    return parsed.withColumn("reject_reason", reject).drop("_event")
 
 
 def classify(commands: DataFrame, wrap_marker: str | None = None,

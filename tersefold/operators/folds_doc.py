@@ -149,8 +149,7 @@ def minify_json(df: DataFrame, text: str, out: str, wanted: Column | None = None
         candidate = wanted & candidate
     df = df.withColumn("_body", F.when(candidate, strip(F.col(text))))
     df = df.withColumn("_json", F.when(is_json(F.col("_body")), F.col("_body")))
-    df = df.withColumn("_small", drop_nulls_and_space(F.col("_json")))
-    df = df.withColumn("_min", decode_escapes(F.col("_small")))
+    df = decode_escapes(df.withColumn("_min", drop_nulls_and_space(F.col("_json"))), "_min")
     smaller = F.expr("length(_min) * 10 < length(_body) * 9")
     return df.withColumn(out, F.when(smaller, F.concat("_min", F.lit("\n"))).otherwise(F.col(text))).drop(
-        "_body", "_json", "_small", "_min")
+        "_body", "_json", "_min")

@@ -53,8 +53,8 @@ def path_notes(texts: DataFrame, text: str, keys: Sequence[str], known: DataFram
     body = F.col(text)
     words = texts.filter(mentions_path(body)).select(
         *keys,
-        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?<=--> ){fixed.NWS}+"), F.lit(0))).alias("_arrow"),
-        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?<=at ){fixed.NWS}+:"), F.lit(0))).alias("_at"),
+        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"--> (?=({fixed.NWS}++))"), F.lit(1))).alias("_arrow"),
+        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"at (?=({fixed.NWS}+:))"), F.lit(1))).alias("_at"),
     )
 
     def parts(word: Column, ends_with_colon: bool) -> Column:

@@ -213,7 +213,7 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ref_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File reads and texts that mention files."""
     e, kind = F.col("event_id"), F.col("event_type")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").select(
+    return text_table(spark, sf_dir, "events", "event_id", "user_id", "event_type").select(
         e.alias("output_id"), e.alias("seq"), F.lit("all").alias("scope"),
         F.when(kind == "view", _s("cat src/f", (F.col("user_id") % 10).cast("string"), ".py")).otherwise("cargo build")
         .alias("cmd"),

@@ -26,7 +26,10 @@ def stream_outputs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line table of large LF text logs: path, pos and line, of files that Spark may split."""
+    """Line table of large LF text logs: path, pos and line, of files that Spark may split.
+
+    A last line that was not closed is closed.
+    """
     lines = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),

@@ -255,3 +255,28 @@ def test_staged_tables_stay_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     path = new_dir(spark, "x")
     assert path.startswith(shared or spark.conf.get("tersefold.local.dir"))
+
+
+def test_odd_texts_never_fail_and_no_row_is_lost(spark):
+    long_json = '{"k": "' + "\\n\\\"" * 60_000 + '", "n": null}'
+    texts = [
+        None, "\x00", "\x00\n\x00\n\x00\n\x00\n", "x" * 2_000_000, "y\n" * 300_000, "'" * 1000, '"' * 999, "[" * 5000,
+        "{" * 5000, "\\" * 4001, long_json, "\x1b" * 3000, "\x1b]" + "z" * 10_000, " \n" * 50_000 + "a", "\r\n" * 700,
+        "a.py" + "/" * 20_000, "at " + "p" * 50_000 + ":", "--> " * 3000, "𝕏" * 1001, " " * 501 + "end", "﻿{}",
+        "PASSED \n" * 5000, "=====\n" * 600, "§ref:0000000000000000§",
+    ]
+    rows = []
+    for i, (text, cmd) in enumerate((t, c) for t in texts for c in ("git", "cargo", "pytest", "npm", "cat a.py", None)):
+        rows.append((i, i, i, "s", cmd, text))
+    rows.append((len(rows), len(rows), len(rows), None, "ls", "no scope"))
+    outputs = table(spark, rows)
+    got = {r.output_id: r for r in compact(outputs, None, refs.known_paths(outputs)).compacted.collect()}
+    assert sorted(got) == list(range(len(rows)))
+    for oid, _, _, _, _, text in rows:
+        if text is None:
+            assert (got[oid].result, got[oid].outcome) == (None, "empty")
+        elif got[oid].outcome != "ref":
+            assert got[oid].result is not None and len(got[oid].result) <= len(text)
+    cut = next(got[r[0]] for r in rows if r[5] == "y\n" * 300_000)
+    assert cut.result == "y (×200)\n\n[... 299750 lines truncated]\ny (×50)\n"
+    assert compact_text(outputs).count() == len(rows)
