@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import op2_chat_format
+from .decontamination import op1_decontamination
 from .mixing import op6_mixing
+from .near_dup import op4_near_dup
 from .quality_rules import op10_quality_rules
 from .secret_scan import op7_secret_scan
 from .sharding import op5_sharding
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_format, op5_sharding, op6_mixing, op7_secret_scan, op10_quality_rules)}
+    op1_decontamination, op2_chat_format, op4_near_dup, op5_sharding, op6_mixing, op7_secret_scan, op10_quality_rules)}
 
 SQL: dict[str, str] = {}
