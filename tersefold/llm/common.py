@@ -18,8 +18,6 @@ from ..session import stage
 # Functions that run on executors are sent whole, so these need no copy of the package.
 cloudpickle.register_pickle_by_value(llm)
 
-SPACES = " \t\n\x0b\f\r"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Stretches of characters other than space and U+0009 to U+000D; none of a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
 
 
 def n_words(text: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table, words
+from .common import let, table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -18,6 +21,8 @@ MAX_SYMBOL_PCT = 15
 MIN_RULE_WORDS = 12
 MIN_DISTINCT_PCT = 15
 BOILERPLATE_CHARS = 300
+# Up to this many different repeated windows are looked up one by one.
+LOOK_UP = 24
 # What marks a short line as boilerplate.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "click here", "cookie policy", "follow us", "licensed under",
@@ -26,22 +31,24 @@ BOILERPLATE = (
 )
 
 
-def _chars(text: Column) -> Column:
+def _chars(w: Column) -> Column:
     """Code points in words."""
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(F.array_join(w, ""))
 
 
 def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word is navigation, boilerplate, symbols or unpunctuated or repeating words."""
     def rules(w: Column) -> Column:
-        n, chars, bars = F.size(w), _chars(line), F.length(line) - F.length(F.translate(line, "|>»•", ""))
-        nav = (bars >= NAV_SEPARATORS) & (n <= bars * NAV_WORDS_EACH)
-        symbols = _symbols(line) * 100 > chars * MAX_SYMBOL_PCT
-        boiler = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
+        n = F.size(w)
+        nav = let(F.regexp_count(line, F.lit("[|>»•]")), lambda bars: (
+            bars >= NAV_SEPARATORS) & (n <= bars * NAV_WORDS_EACH))
+        symbols = _symbols(line) * 100 > _chars(w) * MAX_SYMBOL_PCT
+        boiler = (F.length(line) <= BOILERPLATE_CHARS) & let(F.lower(line), lambda x: reduce(
+            or_, [x.contains(b) for b in BOILERPLATE]))
         bare = (n >= MIN_RULE_WORDS) & ~line.rlike(r"[.,;:!?…。！？।؟]")
         same = (n >= MIN_RULE_WORDS) & (F.size(F.array_distinct(w)) * 100 < n * MIN_DISTINCT_PCT)
         return nav | symbols | boiler | bare | same
@@ -60,15 +67,28 @@ def repeated_words(w: Column) -> Column:
         lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(
         F.array().cast("array<long>"))
 
-    def covered(ordered: Column) -> Column:
-        hash_at = lambda k: F.get(ordered, k)["h"]
-        again = F.filter(ordered, lambda x, k: F.coalesce(x["h"] == hash_at(k - 1), F.lit(False))
-                         | F.coalesce(x["h"] == hash_at(k + 1), F.lit(False)))
+    def hash_at(ordered: Column, k: Column) -> Column:
+        return F.get(ordered, k)["h"]
+
+    def places_by_sort(ordered: Column) -> Column:
+        return F.transform(F.filter(ordered, lambda x, k: (x["h"] == hash_at(ordered, k - 1)).eqNullSafe(True)
+                                    | (x["h"] == hash_at(ordered, k + 1)).eqNullSafe(True)), lambda x: x["i"])
+
+    def places(h: Column, again: Column) -> Column:
+        # A few different windows are looked up; many are found by sorting with their places.
+        numbered = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        looked_up = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)), lambda i: i.isNotNull())
+        return F.when(F.size(again) <= LOOK_UP, looked_up).otherwise(let(F.array_sort(numbered), places_by_sort))
+
+    def covered(h: Column, again: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(
-            again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+            places(h, again), lambda i: F.array(i, i + 1, i + 2)))))
+
+    def repeats(ordered: Column) -> Column:
+        return F.array_distinct(F.filter(ordered, lambda x, k: x == F.get(ordered, k - 1)))
 
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-        let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)))
+    return let(windows, lambda h: let(let(F.sort_array(h), repeats), lambda again: F.when(
+        F.size(again) == 0, F.lit(0)).otherwise(covered(h, again))))
 
 
 def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,15 +101,15 @@ def clean_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.select("doc_id", "_text", words(F.col("_text")).alias("_words"), F.filter(
-        F.split("_text", "\n", -1), lambda x: F.translate(x, SPACES, "") != "").alias("_lines"))
+        F.split("_text", "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("_lines"))
     rows = rows.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"),
-        _chars(F.col("_text")).cast("long").alias("word_chars"),
+        _chars(F.col("_words")).cast("long").alias("word_chars"),
         _symbols(F.col("_text")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
         F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n").alias("cleaned"))
-    rows = rows.withColumn("left_chars", _chars(F.col("cleaned")).cast("long"))
+    rows = rows.withColumn("left_chars", _chars(words(F.col("cleaned"))).cast("long"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
     return rows.withColumn("base_failed", base_failed).withColumn(
