@@ -18,7 +18,7 @@ FACTORS = 8
 SAMPLE_DOCS = 5_000
 HELD_OUT_OF = 5
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.08, 1e-5
+STEPS, BATCH, RATE, DECAY = 500, 128, 0.08, 1e-5
 # Structure statistics: shares of these bytes, then word shapes; metadata: sizes of text and lines.
 BYTE_CLASSES = ("#*$%&<>@^~", "|", "0123456789", ".,;:!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\n", "()[]{}\"'/\\=_-+")
 SHAPES = ("word_bytes", "distinct_words", "same_as_before", "log_words", "log_bytes", "log_lines")
@@ -104,7 +104,7 @@ class Machine:
 
 
 def fit(x: Sparse, y: np.ndarray, seed: int = 1) -> Machine:
-    """Logistic loss, minibatches with per-weight rates. Without rows the score is 1/2 everywhere."""
+    """Logistic loss, minibatches with per-weight rates. With one kind of label all scores are its share."""
     rng = np.random.default_rng(seed)
     share = (y.sum() + 1) / (len(y) + 2)
     m = Machine(float(np.log(share / (1 - share))), np.zeros(N_FEATURES, dtype=np.float32),
@@ -113,8 +113,12 @@ def fit(x: Sparse, y: np.ndarray, seed: int = 1) -> Machine:
     if len(y):
         m.scale = np.maximum(x.dense.std(axis=0), 1e-3)
     seen_w, seen_v = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, FACTORS), 1e-6)
-    for _ in range(EPOCHS if 0 < y.sum() < len(y) else 0):
-        for pick in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+    if not 0 < y.sum() < len(y):
+        m.factors[:] = 0
+        return m
+    batches = max(1, len(y) // min(BATCH, max(16, len(y) // 20)))
+    for _ in range(-(-STEPS // batches)):
+        for pick in np.array_split(rng.permutation(len(y)), batches):
             row, feature, value = m.rows(x, pick)
             margin, sums = m.margin(row, feature, value, len(pick))
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[pick]) / len(pick)
