@@ -55,7 +55,7 @@ FAMILY_COMMANDS = {
 }
 OTHER_FAMILY = "other"
 BUILD_PREFIX = "   Compiling "
-PACKAGE_LINE = r"\A(npm WARN|added \d|packages? are|found \d)"
+PACKAGE_LINE = r"\A(npm WARN|added \p{Nd}|packages? are|found \p{Nd})"
 TEST_MARKERS = ["FAILED ", "ERROR ", "=====", "_____", "short test summary"]
 TEST_PASSED = "PASSED "
 TEST_KEEP_START = "collected"

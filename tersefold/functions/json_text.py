@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # Raw control characters are not allowed inside a JSON string.
 STRICT_STRING = r'"[^"\\\x00-\x1f]*+(?:\\[^\x00-\x1f][^"\\\x00-\x1f]*+)*+"'
@@ -30,25 +32,24 @@ def is_json(text: Column) -> Column:
     standard, single quotes and raw control characters, is caught by looking
     at what remains when all proper strings are taken out.
     """
-    mark = F.md5(text)
-    probe = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
-    complete = F.coalesce(F.get_json_object(probe, "$[1]") == mark, F.lit(False))
+    def complete(mark: Column) -> Column:
+        probe = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+        return F.coalesce(F.get_json_object(probe, "$[1]") == mark, F.lit(False))
+
     rest = F.regexp_replace(text, STRICT_STRING, "")
-    return complete & ~rest.rlike("[\"']")
+    return let(F.md5(text), complete) & ~rest.rlike("[\"']")
 
 
 def drop_nulls_and_space(text: Column) -> Column:
     """For valid JSON: no white space, null members or null elements outside strings."""
-    out = F.regexp_replace(text, rf"({STRING})|\s++", "$1")
-    out = F.when(
-        out.contains("null"),
-        F.regexp_replace(
-            F.regexp_replace(
-                F.regexp_replace(out, rf"{STRING}:null(?:,|(?=\}}))|({STRING})", "$1"),
-                rf"(?<=[\[,])null(?:,|(?=\]))|({STRING})", "$1"),
-            rf"({STRING})|,(?=[}}\]])", "$1"),
-    ).otherwise(out)
-    return out
+    def drop(out: Column) -> Column:
+        for pattern in (rf"{STRING}:null(?:,|(?=\}}))|({STRING})", rf"(?<=[\[,])null(?:,|(?=\]))|({STRING})",
+                        rf"({STRING})|,(?=[}}\]])"):
+            out = F.regexp_replace(out, pattern, "$1")
+        return out
+
+    return let(F.regexp_replace(text, rf"({STRING})|\s++", "$1"),
+               lambda out: F.when(out.contains("null"), drop(out)).otherwise(out))
 
 
 def _decode(token: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +20,14 @@ def parse_events(events: DataFrame, value: str = "value") -> DataFrame:
     # A column of its own, so that every event is parsed once.
     parsed = events.withColumn("_event", F.from_json(raw, EVENT)).withColumns({
         "tool_name": F.col("_event.tool_name"), "command": F.col("_event.tool_input.command")})
+    # from_json turns any value into text, so the command's own type is looked at; null is dealt with below.
+    given = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.tool_input.command", "variant"))
     braces = raw.rlike(r"\A\s*\{")
     reject = (
         F.when(F.when(braces, ~is_json(raw)).otherwise(F.try_parse_json(raw).isNull()), "invalid-json")
         .when(~braces, "not-an-object")
         .when(~F.coalesce(F.lower("tool_name").isin(fixed.SHELL_TOOLS), F.lit(False)), "other-tool")
+        .when(~F.coalesce(given.isin("STRING", "VOID"), F.lit(True)), "not-a-string")
         .when(F.coalesce(is_blank(F.col("command")), F.lit(True)), "no-command")
     )
     return parsed.withColumn("reject_reason", reject).drop("_event")

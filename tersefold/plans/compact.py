@@ -31,7 +31,7 @@ COMPACTED = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "is
 def prepare(outputs: DataFrame) -> DataFrame:
     """Add blank, raw_len, base_cmd, family and stripped: the text cut to size, without escapes."""
     df = outputs.withColumns({
-        "blank": is_blank(F.col("text")), "raw_len": F.length("text"),
+        "blank": F.coalesce(is_blank(F.col("text")), F.lit(True)), "raw_len": F.coalesce(F.length("text"), F.lit(0)),
         "base_cmd": base_command(F.coalesce("cmd", F.lit("")))})
     df = folds_doc.cut_bytes(df, "text", "_cut")
     return df.withColumns({
@@ -80,7 +80,7 @@ def compact_text(outputs: DataFrame) -> DataFrame:
         *[c for c in outputs.columns if c != "text"], "base_cmd", "family",
         (F.col("is_secret") & ~F.col("blank")).alias("is_secret"), "result", outcome.alias("outcome"),
         token_estimate(F.col("raw_len")).alias("orig_tokens"),
-        token_estimate(F.length("result")).alias("comp_tokens"))
+        token_estimate(F.coalesce(F.length("result"), F.lit(0))).alias("comp_tokens"))
 
 
 @dataclass(frozen=True)
@@ -189,4 +189,4 @@ def _finish(rows: DataFrame, result, is_secret, outcome) -> DataFrame:
     return rows.select(
         *COMPACTED[:7], is_secret.alias("is_secret"), "fp", result.alias("result"),
         outcome.alias("outcome"), token_estimate(F.col("raw_len")).alias("orig_tokens"),
-    ).withColumn("comp_tokens", token_estimate(F.length("result")))
+    ).withColumn("comp_tokens", token_estimate(F.coalesce(F.length("result"), F.lit(0))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_lines
+from ..operators.folds_lines import number_lines
 
 START = 1_704_067_200
 PASS = 1_000_000_000_000
@@ -43,6 +44,12 @@ def _repeat(text: str, n: Column) -> Column:
     return F.repeat(F.lit(text), n.cast("int"))
 
 
+def _json_string(text: Column) -> Column:
+    """The text as a JSON string, one accented letter of it escaped."""
+    array = F.to_json(F.array(text))
+    return F.replace(F.substring(array, F.lit(2), F.length(array) - 2), F.lit("\u00e9"), F.lit("\\u00e9"))
+
+
 def outputs_of(documents: DataFrame) -> DataFrame:
     """Each document as command output, read twice; six commands, every third one coloured."""
     d, text = F.col("doc_id"), F.col("text")
@@ -61,7 +68,8 @@ def outputs_of(documents: DataFrame) -> DataFrame:
         .when(kind == 3, _s(_repeat("npm WARN deprecated\n", d % 4), text,
                             "\nadded 3 packages\nfound 0 vulnerabilities\n"))
         .when(d % 12 == 4, _s('{"id": ', d.cast("string"), ', "note": null, "tags": [null, "', F.col("lang"),
-                              '", null], "user": {"n": ', F.col("n_chars").cast("string"), ', "bio": null}}'))
+                              '", null], "user": {"n": ', F.col("n_chars").cast("string"), ', "bio": null}, "text": ',
+                              _json_string(text), "}"))
         .when(kind == 4, _s(text, _repeat("\nWARNING: deprecated call", d % 20)))
         .otherwise(F.replace(text, F.lit(" "), F.lit("\n")))
     )
@@ -134,13 +142,14 @@ def test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Role of every line of every turn: a line table with long runs."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """Every conversation as one log: a line for the role and the lines of the text, turn after turn."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("output_id"), "turn", _s("[", F.col("role"), "]\n", F.col("text")).alias("text"))
     # The outer form, as the plain one would split every text once more to see if it has lines.
-    lines = with_lines(turns, "text", "lines").select("conv_id", "turn", "role", F.posexplode_outer("lines"))
-    return lines.filter(F.col("pos").isNotNull()).select(
-        F.col("conv_id").alias("output_id"), (F.col("turn") * 1_000_000 + F.col("pos")).alias("pos"),
-        _s("[", F.col("role"), "]\n").alias("line"))
+    lines = with_lines(turns, "text", "lines").select("output_id", "turn", F.posexplode_outer("lines").alias("row", "line"))
+    closed = F.when(F.col("line").endswith("\n"), F.col("line")).otherwise(_s(F.col("line"), "\n"))
+    lines = lines.filter(F.col("row").isNotNull()).withColumn("line", closed)
+    return number_lines(lines, "output_id", "turn", "row").select("output_id", "pos", "line")
 
 
 def json_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

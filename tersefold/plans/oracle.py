@@ -30,7 +30,7 @@ FROM (
          CASE doc_id % 6 WHEN 0 THEN 'diff' WHEN 1 THEN 'build' WHEN 2 THEN 'test'
               WHEN 3 THEN 'package' ELSE 'other' END AS family,
          CASE WHEN doc_id % 12 = 4 THEN '{{"id":' || doc_id || ',"tags":["' || lang || '"],"user":{{"n":'
-              || n_chars || '}}}}' || {NL} END AS expected_json,
+              || n_chars || '}},"text":' || to_json(text)::VARCHAR || '}}' || {NL} END AS expected_json,
          CASE WHEN doc_id % 6 = 0 THEN 'diff --git a/f b/f' || {NL} || replace(text, '. ', '.' || {NL} || ' ')
               WHEN doc_id % 6 = 1 THEN repeat('   Compiling dep v1.0' || {NL}, CAST(doc_id % 7 AS INT)) || text || {NL}
                 || '   Compiling app v2.0' || {NL} || ' --> src/f' || (doc_id % 10) || '.py:3:1' || {NL}
@@ -41,7 +41,8 @@ FROM (
               WHEN doc_id % 6 = 3 THEN repeat('npm WARN deprecated' || {NL}, CAST(doc_id % 4 AS INT)) || text || {NL}
                 || 'added 3 packages' || {NL} || 'found 0 vulnerabilities' || {NL}
               WHEN doc_id % 12 = 4 THEN '{{"id": ' || doc_id || ', "note": null, "tags": [null, "' || lang
-                || '", null], "user": {{"n": ' || n_chars || ', "bio": null}}}}'
+                || '", null], "user": {{"n": ' || n_chars || ', "bio": null}}, "text": '
+                || replace(to_json(text)::VARCHAR, 'é', '\\u00e9') || '}}'
               WHEN doc_id % 6 = 4 THEN text || repeat({NL} || 'WARNING: deprecated call', CAST(doc_id % 20 AS INT))
               ELSE replace(text, ' ', {NL}) END AS body
   FROM documents)
@@ -72,9 +73,9 @@ TEST_LINES = _event_lines(
     "WHEN 'purchase' THEN event_id || ' passed so far' "
     "ELSE CASE WHEN event_id % 5 = 0 THEN 'FAILED tests/t.py::t' || event_id ELSE 'E   assert ' || event_id END END")
 CONVERSATION_LINES = f"""
-SELECT conv_id AS output_id, turn * 1000000 + i - 1 AS pos, '[' || role || ']' || {NL} AS line
-FROM (SELECT conv_id, turn, role, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n
-      FROM (SELECT *, string_split(text, {NL}) AS p FROM conversations))
+SELECT output_id, row_number() OVER (PARTITION BY output_id ORDER BY turn, i) - 1 AS pos, piece || {NL} AS line
+FROM (SELECT conv_id AS output_id, turn, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n
+      FROM (SELECT *, string_split('[' || role || ']' || {NL} || text, {NL}) AS p FROM conversations))
 WHERE i < n OR piece <> ''
 """
 
