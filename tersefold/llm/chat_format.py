@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from ..functions.text import let
+from .common import table
 
 # Template: "### " role ": " text "</turn>\n". Escaped texts hold neither "###" nor "</turn>".
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"

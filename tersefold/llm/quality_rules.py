@@ -8,7 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, words
+from ..functions.text import let
+from .common import table, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
