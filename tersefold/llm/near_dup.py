@@ -4,10 +4,11 @@ A tree branches on one coordinate of the documents' minwise signatures at a
 time: documents with the same value go to the same child. The coordinate of a
 node follows from a hash of the path to it, and some nodes branch on a second
 one, so similar sets are expected to meet in about one child per node. Nodes
-with few documents are compared exhaustively; large ones branch again. Trees
-are independent, and their number sets the recall. Nodes that stay large (all
-their documents alike) are joined through leaders until nothing is left to
-compare. Every link is confirmed on the full sets.
+with few documents are compared exhaustively by sketch; large ones branch
+again, until a child keeps most of its parent: those documents are taken as
+alike. Trees are independent, and their number sets the recall. What the trees
+bring together makes candidate clusters, inside which all pairs are compared on
+the full sets.
 """
 
 from __future__ import annotations
@@ -32,14 +33,20 @@ _MULTIPLIERS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E
 
 @dataclass(frozen=True)
 class JoinPlan:
-    """Similarity in percent, and what sets recall and cost of the trees."""
+    """Similarity in percent, what sets recall and cost of the trees, and how much one task compares.
+
+    Clusters with more than block_shingles shingles are cut into blocks that are
+    compared two by two. Up to broadcast_rows documents are looked up in the
+    texts through a broadcast, more by a shuffle.
+    """
 
     percent: int = 85
     trees: int = 20
-    depth: int = 4
+    depth: int = 8
     node_limit: int = 24
     second_branch_pct: int = 18
-    first_leaders: int = 8
+    alike_pct: int = 60
+    block_shingles: int = 200_000
     broadcast_rows: int = 1_000_000
 
     @property
@@ -111,26 +118,29 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInArrow(run, f"doc_id {kind}, {_PRINTS}")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the wanted representatives (node, first_id, fp1, fp2)."""
+def _with_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int, key: str, text: str) -> DataFrame:
+    """(node, cluster, block, blocks, shingles) of the wanted representatives."""
     wanted = F.broadcast(wanted) if n_wanted <= plan.broadcast_rows else wanted
+    own = ["node", "cluster", "block", "blocks"]
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        wanted, F.expr("_id <=> first_id")).select("node", "fp1", "fp2", "text")
+        wanted, F.expr("_id <=> first_id")).select(*own, "fp1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(3)):
+            for at, texts in chunks(batch.column(5)):
                 h, bounds = shingle_sets(texts)
                 sets = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(h.view(np.int64)))
-                sizes = np.diff(bounds)
-                own = np.zeros(len(texts), dtype=np.uint64)
-                own[sizes > 0] = np.add.reduceat(mix(h), bounds[:-1][sizes > 0]) if len(h) else 0
+                some = np.diff(bounds) > 0
+                print_ = np.zeros(len(texts), dtype=np.uint64)
+                if some.any():
+                    print_[some] = np.add.reduceat(mix(h), bounds[:-1][some])
                 # Another text under the same id is not the representative.
-                same = own.view(np.int64) == batch.column(1).slice(at, len(texts)).to_numpy()
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), sets], ["node", "shingles"])
-                yield out.filter(pa.array(same))
+                same = print_.view(np.int64) == batch.column(4).slice(at, len(texts)).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).slice(at, len(texts)) for k in range(4)], sets],
+                    [*own, "shingles"]).filter(pa.array(same))
 
-    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return rows.mapInArrow(run, "node bigint, cluster bigint, block int, blocks int, shingles array<bigint>")
 
 
 # Trees. --------------------------------------------------------------------
@@ -170,111 +180,111 @@ def _branch(rows: DataFrame, reps: DataFrame, plan: JoinPlan) -> DataFrame:
     twice = F.pmod(F.xxhash64("path", F.lit(0)), F.lit(100)) < plan.second_branch_pct
     children = F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))
     return rows.join(reps.select("node", "sig"), "node").select(
-        F.explode(children).alias("path"), "node", "n", "s1", "s2")
+        F.explode(children).alias("path"), "node", "n", "s1", "s2", F.col("members").alias("parent"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Every document of a node with the node's first."""
+    centres = rows.groupBy("path").agg(F.min("node").alias("a"))
+    return rows.join(centres, "path").filter("a != node").select("a", F.col("node").alias("b"))
+
 
+def _candidates(reps: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Edges (a, b): alike pairs of small nodes, and stars of nodes whose documents are taken as alike.
 
-def _candidates(reps: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
-    """Pairs of small nodes, and the rows of nodes that stay large at full depth."""
+    Alike are the documents of a large node that holds most of its parent, or is
+    as deep as trees go.
+    """
     roots = F.array(*[F.xxhash64(F.lit(t), _coordinate("sig", F.lit(t * 6 % SIGNATURE + t // 21)))
                       for t in range(plan.trees)])
-    rows = reps.select(F.explode(roots).alias("path"), "node", "n", "s1", "s2")
-    pairs = []
+    rows = reps.select(F.explode(roots).alias("path"), "node", "n", "s1", "s2", F.lit(None).cast("long").alias("parent"))
+    edges = []
     for level in range(plan.depth):
         rows = _counted(rows)
-        pairs.append(_pairs_of_small(rows, plan))
+        edges.append(_pairs_of_small(rows, plan))
         rows = rows.filter(F.col("members") > plan.node_limit)
-        if level + 1 < plan.depth:
-            if rows.isEmpty():
-                break
-            rows = _branch(rows, reps, plan)
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return stage(out.distinct(), "pairs"), rows
+        if rows.isEmpty():
+            break
+        alike = F.coalesce(F.col("members") * 100 >= F.col("parent") * plan.alike_pct, F.lit(False))
+        last = level + 1 == plan.depth
+        edges.append(_stars(rows if last else rows.filter(alike)))
+        rows = _branch(rows.filter(~alike), reps, plan)
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return stage(out.distinct(), "candidates")
 
 
 # Links. --------------------------------------------------------------------
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("_both", both).filter(
-        F.col("_both") * 100 >= (F.size("_sa") + F.size("_sb") - F.col("_both")) * plan.percent).select("a", "b")
-
-
-class _Links:
-    """Confirmed edges so far and the components they make."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, plan: JoinPlan, key: str, text: str) -> None:
-        self.docs, self.reps, self.plan, self.key, self.text = docs, reps, plan, key, text
-        self.edges: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm pairs: first one per document, then those that still join two components."""
-        pairs = stage(self._apart(pairs), "pairs")
-        if pairs.isEmpty():
-            return
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = stage(self.reps.join(ends, "node").select("node", "first_id", "fp1", "fp2"), "wanted")
-        sets = stage(_full_sets(self.docs, wanted, self.plan, wanted.count(), self.key, self.text), "sets")
-        nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        self._join(_confirmed(nearest, sets, self.plan))
-        rest = stage(self._apart(pairs).join(nearest, ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            self._join(_confirmed(rest, sets, self.plan))
-
-    def _join(self, edges: DataFrame) -> None:
-        self.edges = stage(edges if self.edges is None else self.edges.unionByName(edges), "links")
-        self.labels = None if self.edges.isEmpty() else components(self.edges)
-
-    def labelled(self, rows: DataFrame, column: str, label: str) -> DataFrame:
-        """Rows with the component of a node column; a node without links is its own."""
-        if self.labels is None:
-            return rows.withColumn(label, F.col(column))
-        found = self.labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
-        return rows.join(found, column, "left").withColumn(label, F.coalesce("_label", column)).drop("_label")
-
-    def _apart(self, pairs: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return pairs
-        return self.labelled(self.labelled(pairs, "a", "_la"), "b", "_lb").filter("_la != _lb").select("a", "b")
-
-
-def _join_large(rows: DataFrame, links: _Links, plan: JoinPlan) -> None:
-    """Compare the documents of large nodes through leaders, until no pair of two components is left.
-
-    A leader is compared with all documents of its node. Only documents outside
-    the node's largest component need to lead: its own members are joined
-    already. Leaders are drawn by hash, eight times more each round, and in the
-    last round everyone left leads, so no pair is passed over.
+def similar_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sorted sets that join everything similar, fewest possible, by exact comparison.
+
+    If there are two sides, only pairs across them count. By size, each set is
+    compared with the smaller ones that share one of its rarest shingles:
+    similar sets must. Pairs that are joined already are not compared again.
     """
-    rows = stage(rows.select("path", "node", "n", "s1", "s2"), "large")
-    leaders = plan.first_leaders
-    while True:
-        labelled = stage(links.labelled(rows, "node", "label"), "large")
-        by_label = labelled.groupBy("path", "label").agg(F.count(F.lit(1)).alias("_n"))
-        by_path = stage(by_label.groupBy("path").agg(
-            F.max(F.struct("_n", "label")).alias("_most"), F.sum("_n").alias("_all")).select(
-            "path", F.col("_most.label").alias("main"), (F.col("_all") - F.col("_most._n")).alias("outside")).filter(
-            "outside > 0"), "outside")
-        most = by_path.agg(F.max("outside")).first()[0]
-        if most is None:
-            return
-        draw = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(1 << 30)) * F.col("outside") < F.lit(
-            leaders * (1 << 30))
-        member = F.struct("node", "n", "s1", "s2")
-        leading = labelled.join(by_path, "path").filter((F.col("label") != F.col("main")) & draw).select(
-            "path", member.alias("_a"), F.col("label").alias("_la"))
-        met = labelled.select("path", member.alias("_b"), "label").join(leading, "path").filter(
-            (F.col("label") != F.col("_la")) & _alike(plan, F.col("_a"), F.col("_b")))
-        links.add(met.select(F.least("_a.node", "_b.node").alias("a"),
-                             F.greatest("_a.node", "_b.node").alias("b")).distinct())
-        if leaders >= most:
-            return
-        leaders *= 8
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    across = len(np.unique(side)) > 1
+    _, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(x) for x in sets])
+    holders: dict[int, list[int]] = {}
+    links = []
+    for i in sorted(range(len(sets)), key=lambda k: (len(sets[k]), k)):
+        mine, n = sets[i], len(sets[i])
+        place = places[ends[i] - n: ends[i]]
+        rare = place[np.lexsort((place, counts[place]))[: n - -(-percent * n // 100) + 1]]
+        seen = set()
+        for p in rare.tolist():
+            seen.update(holders.get(p, ()))
+            holders.setdefault(p, []).append(i)
+        for j in sorted(seen):
+            m = len(sets[j])
+            if 100 * m < percent * n or (across and side[i] == side[j]) or root(i) == root(j):
+                continue
+            at = np.searchsorted(mine, sets[j])
+            both = int(np.count_nonzero(mine[np.minimum(at, n - 1)] == sets[j]))
+            if 100 * both >= percent * (n + m - both):
+                parent[root(i)] = root(j)
+                links.append((i, j))
+    return links
+
+
+def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, plan: JoinPlan, key: str, text: str) -> DataFrame:
+    """Confirmed links (a, b) inside the clusters (node, label)."""
+    members = clusters.join(reps.select("node", "n", "first_id", "fp1"), "node")
+    sizes = members.groupBy("label").agg(F.sum("n").alias("_shingles"))
+    blocks = F.ceil(F.col("_shingles") / plan.block_shingles).cast("int")
+    wanted = stage(members.join(sizes, "label").select(
+        "node", F.col("label").alias("cluster"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
+        blocks.alias("blocks"), "first_id", "fp1"), "wanted")
+    sets = _with_sets(docs, wanted, plan, wanted.count(), key, text)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    # Two blocks at most meet in one row.
+    groups = sets.select("cluster", F.explode(meets).alias("meet"), F.struct("node", "block", "shingles").alias("_d"))
+    groups = groups.groupBy("cluster", "meet").agg(F.collect_list("_d").alias("_d")).filter(F.size("_d") > 1).select(
+        F.col("_d.node").alias("nodes"), F.col("_d.block").alias("sides"), F.col("_d.shingles").alias("sets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, sides, sets in zip(*batch.columns, strict=True):
+                nodes, sides = nodes.values.to_numpy(), sides.values.to_numpy()
+                order = np.argsort(nodes)
+                lists = sets.values
+                each = [lists[int(k)].values.to_numpy().view(np.uint64) for k in order]
+                found = similar_links(each, sides[order], plan.percent)
+                pairs = nodes[order][np.array(found, dtype=np.int64).reshape(-1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return stage(groups.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,12 +302,13 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "do
         F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig"), F.any_value("s1").alias("s1"),
         F.any_value("s2").alias("s2"))
     reps = stage(own.withColumn("node", F.monotonically_increasing_id()), "reps")
-    pairs, large = _candidates(reps, plan)
-    links = _Links(docs, reps, plan, key, text)
-    links.add(pairs)
-    if not large.isEmpty():
-        _join_large(large, links, plan)
-    labelled = links.labelled(reps.select("node", "fp1", "fp2", "first_id"), "node", "label")
+    candidates = _candidates(reps, plan)
+    own = reps.select("node", "fp1", "fp2", "first_id")
+    if candidates.isEmpty():
+        labelled = own.withColumn("label", F.col("node"))
+    else:
+        links = _links(docs, reps, components(candidates), plan, key, text)
+        labelled = own.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = stage(labelled.join(smallest, "label").select("fp1", "fp2", "component_id"), "classes")
     # Copies are many rows of one class; the class table has one row each.
