@@ -1,12 +1,21 @@
 """Compaction of command output and log text as Spark DataFrame jobs."""
 
+from .operators.dedup import merge_cache, resolve_refs
 from .operators.events import classify, parse_events, skip_report
 from .operators.metrics import lookback_stats, stats_by
-from .operators.refs import annotate, known_paths
+from .operators.refs import annotate, known_paths, merge_known
 from .plans.compact import Compaction, compact, compact_text
 from .plans.techniques import reduction_by_technique
+from .sources.tables import (
+    append_log, read_log, read_log_lines, read_outputs, stream_outputs, write_cache, write_known,
+)
+from .streaming.jobs import (
+    classify_stream, compact_stream, dedup_batches, keep_first_stream, read_cache, rolling_savings,
+)
 
 __all__ = [
-    "Compaction", "annotate", "classify", "compact", "compact_text", "known_paths", "lookback_stats",
-    "parse_events", "reduction_by_technique", "skip_report", "stats_by",
+    "Compaction", "annotate", "append_log", "classify", "classify_stream", "compact", "compact_stream", "compact_text",
+    "dedup_batches", "keep_first_stream", "known_paths", "lookback_stats", "merge_cache", "merge_known",
+    "parse_events", "read_cache", "read_log", "read_log_lines", "read_outputs", "reduction_by_technique",
+    "resolve_refs", "rolling_savings", "skip_report", "stats_by", "stream_outputs", "write_cache", "write_known",
 ]

@@ -18,6 +18,8 @@ from ..session import stage
 from .skew import DEFAULT_LIMITS, SkewLimits, join_unique
 
 NOTE = " [in context]"
+# Up to this many known paths are broadcast.
+FEW_PATHS = 100_000
 
 
 def known_paths(outputs: DataFrame) -> DataFrame:
@@ -38,34 +40,45 @@ def mentions_path(text: Column) -> Column:
     return text.contains("--> ") | text.rlike(rf"at {fixed.NWS}+:")
 
 
-def path_notes(texts: DataFrame, text: str, keys: Sequence[str], known: DataFrame,
+def mention_words(text: Column) -> Column:
+    """(word, colon) of every place that could name a path; colon: the path must end in front of one.
+
+    Words that look like secrets are left out: these are written to tables.
+    """
+    arrow = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"--> (?=({fixed.NWS}++))"), F.lit(1)))
+    at = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"at (?=({fixed.NWS}+:))"), F.lit(1)))
+    pair = lambda colon: lambda w: F.struct(w.alias("word"), F.lit(colon).alias("colon"))
+    return F.filter(F.concat(F.transform(arrow, pair(False)), F.transform(at, pair(True))),
+                    lambda p: ~p["word"].rlike(fixed.SECRET))
+
+
+def path_notes(texts: DataFrame, keys: Sequence[str], known: DataFrame,
                limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
     """keys and `notes`: the known paths a text may name, by path, with the seq that read them.
 
-    `texts` is unique by keys, which include scope. A known path may be any
-    leading part of the word behind the mark, so the parts of all lengths that
-    occur among the known paths are looked up.
+    `texts` has keys, which include scope, and `words` of mention_words; it is
+    unique by keys. A known path may be any leading part of a word, so the parts
+    of all lengths that occur among the known paths are looked up; where the
+    known paths are few, parts that are none of them go before anything is
+    written.
     """
     known = stage(known, "known")
     # Distinct lengths only: never more numbers than the longest path has characters.
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
     lengths = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-    body = F.col(text)
-    words = texts.filter(mentions_path(body)).select(
-        *keys,
-        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"--> (?=({fixed.NWS}++))"), F.lit(1))).alias("_arrow"),
-        F.array_distinct(F.regexp_extract_all(body, F.lit(rf"at (?=({fixed.NWS}+:))"), F.lit(1))).alias("_at"),
-    )
 
-    def parts(word: Column, ends_with_colon: bool) -> Column:
-        fits = lambda n: (F.substring(word, n + 1, F.lit(1)) == ":") if ends_with_colon else (n <= F.length(word))
+    def parts(p: Column) -> Column:
+        word = p["word"]
+        fits = lambda n: F.when(p["colon"], F.substring(word, n + 1, F.lit(1)) == ":").otherwise(
+            n <= F.length(word))
         return F.transform(F.filter(lengths, fits), lambda n: F.substring(word, F.lit(1), n))
 
     # The outer form, as the plain one would search every text once more to see if it has mentions.
-    named = words.select(*keys, F.explode_outer(F.array_distinct(F.flatten(F.concat(
-        F.transform("_arrow", lambda w: parts(w, False)),
-        F.transform("_at", lambda w: parts(w, True)))))).alias("path"))
-    named = stage(named.filter(F.col("path").isNotNull()), "mentions")
+    named = texts.select(*keys, F.explode_outer(F.array_distinct(F.flatten(F.transform("words", parts)))).alias("path"))
+    named = named.filter(F.col("path").isNotNull())
+    if known.count() <= FEW_PATHS:
+        named = named.join(F.broadcast(known.select("scope", "path")), ["scope", "path"], "left_semi")
+    named = stage(named.select(*keys, "path"), "mentions")
     total = named.count()
     found = join_unique(named, known, ["scope", "path"], keys[-1], total, "inner", limits)
     return found.groupBy(*keys).agg(
@@ -88,7 +101,8 @@ def annotate(outputs: DataFrame, known: DataFrame, text: str = "text",
              limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
     """Outputs (scope, output_id, seq, text) with known paths marked as read."""
     keys = ["scope", "output_id"]
-    notes = path_notes(outputs.select(*keys, text), text, keys, known, limits)
+    words = outputs.filter(mentions_path(F.col(text))).select(*keys, mention_words(F.col(text)).alias("words"))
+    notes = path_notes(words, keys, known, limits)
     return outputs.join(notes, keys, "left").select(
         *[c for c in outputs.columns if c != text],
         apply_notes(F.col(text), F.col("notes"), F.col("seq")).alias(text))

@@ -7,9 +7,9 @@ order of the rows and unique in a scope; scope is not null.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -20,9 +20,9 @@ from ..functions.text import (
 from ..operators import folds_doc
 from ..operators.dedup import fingerprint, first_stored, mark_refs, ref_token, short_ref
 from ..operators.epochs import with_epoch
-from ..operators.refs import apply_notes, mentions_path, path_notes
+from ..operators.refs import apply_notes, mention_words, mentions_path, path_notes
 from ..operators.skew import DEFAULT_LIMITS, SkewLimits, heavy_keys, join_unique
-from ..session import stage
+from ..session import collected, remove, stage
 
 COMPACTED = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "is_secret", "fp",
              "result", "outcome", "orig_tokens", "comp_tokens"]
@@ -85,10 +85,18 @@ def compact_text(outputs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Compaction:
-    """compacted: one row per output; cache_entries: what a cache gains, to be merged into it."""
+    """compacted: one row per output; cache_entries: what a cache gains, to be merged into it.
+
+    Both read tables that were staged for them; `close` removes those, when
+    what was wanted has been written. A text with a secret is in none of them.
+    """
 
     compacted: DataFrame
     cache_entries: DataFrame
+    staged: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        remove(self.compacted.sparkSession, self.staged)
 
     @property
     def log(self) -> DataFrame:
@@ -108,6 +116,13 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     second folds every distinct (text, family) once. Everything that relates
     rows to each other runs on the keys.
     """
+    with collected() as staged:
+        done, entries = _compact(outputs, control, known, cache, limits)
+    return Compaction(done, entries, staged)
+
+
+def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | None, cache: DataFrame | None,
+             limits: SkewLimits) -> tuple[DataFrame, DataFrame]:
     prepared = prepare(outputs)
     key_cols = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "raw_len"]
     rows = stage(with_epoch(prepared.select(
@@ -122,8 +137,11 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     storable = folded.filter(F.col("shrinks") & ~F.col("is_secret")).select("fp", "family")
     cached = None
     if cache is not None:
+        # Only texts that occur here matter, however large the cache is.
+        here = rows.select("scope", "fp").distinct()
         cached = with_epoch(
-            cache.select("scope", "fp", F.col("last_storable_seq").alias("seq")), control)
+            cache.select("scope", "fp", F.col("last_storable_seq").alias("seq")).join(
+                here, ["scope", "fp"], "left_semi"), control)
     stored = first_stored(rows, storable, total, cached, limits)
     marked = stage(mark_refs(rows, stored, total, limits).drop("blank_text"), "marked")
     full = marked.filter(~F.col("is_ref"))
@@ -132,14 +150,20 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     if known is None:
         noted = noted.withColumn("notes", F.lit(None).cast("array<struct<path:string,added_seq:bigint>>"))
     else:
-        texts = folded.filter(F.col("plain").isNotNull()).select("fp", "family", "body")
+        words = folded.filter(F.size("words") > 0).select("fp", "family", "words")
         groups = full.select("scope", "fp", "family").distinct()
-        texts = join_unique(groups, texts, ["fp", "family"], "scope", total, "inner", limits, counted=full)
+        words = join_unique(groups, words, ["fp", "family"], "scope", total, "inner", limits, counted=full)
         keys = ["scope", "family", "fp"]
-        notes = path_notes(texts, "body", keys, known, limits)
-        noted = join_unique(noted, notes, keys, "seq", total, "left", limits)
-    texts = folded.select("fp", "family", "is_secret", "shrinks", "body", "plain")
+        noted = join_unique(noted, path_notes(words, keys, known, limits), keys, "seq", total, "left", limits)
+    texts = folded.filter(~F.col("is_secret")).select("fp", "family", "is_secret", "shrinks", "body", "plain")
     done = join_unique(noted, texts, ["fp", "family"], "seq", total, "inner", limits, counted=full)
+    if not folded.filter("is_secret").isEmpty():
+        # Texts with secrets are staged nowhere; they are read and folded again where they are needed.
+        secret = folded.filter("is_secret").select("fp", "family")
+        secret = join_unique(noted, secret, ["fp", "family"], "seq", total, "left_semi", limits, counted=full)
+        again = fold_guarded(prepared.join(secret.select("output_id"), "output_id", "left_semi"))
+        again = again.select("output_id", "is_secret", "shrinks", "body", _plain().alias("plain"))
+        done = done.unionByName(secret.join(again, "output_id"))
     done = done.withColumn("_noted", apply_notes(F.col("body"), F.col("notes"), F.col("seq")))
     # Notes may make a text longer than it was; then it stays as it was.
     outgrown = F.col("notes").isNotNull() & (F.length("_noted") >= F.length("plain"))
@@ -159,7 +183,7 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
         token_estimate(F.col("stripped_len")).alias("original_tokens"),
         token_estimate(F.length("body")).alias("compressed_tokens"),
         "last_storable_seq", "created_at")
-    return Compaction(done.unionByName(refs).unionByName(empty), entries)
+    return done.unionByName(refs).unionByName(empty), entries
 
 
 def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int, limits: SkewLimits) -> DataFrame:
@@ -179,10 +203,16 @@ def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int, limits: Ske
         texts = texts.join(F.broadcast(keep), ["fp", "family"], "left").filter(
             F.col("_keep").isNull() | (F.col("_keep") == F.col("output_id")))
     distinct = texts.groupBy("fp", "family").agg(F.any_value("stripped").alias("stripped"))
-    # `plain` is what a text falls back to if notes on paths make it too long.
+    told = ~F.col("is_secret")
     return fold_guarded(distinct).select(
-        "fp", "family", "is_secret", "shrinks", "body", F.length("stripped").alias("stripped_len"),
-        F.when(F.col("shrinks") & mentions_path(F.col("body")), F.col("stripped")).alias("plain"))
+        "fp", "family", "is_secret", "shrinks", F.length("stripped").alias("stripped_len"),
+        F.when(told, F.col("body")).alias("body"), F.when(told, _plain()).alias("plain"),
+        F.when(F.col("shrinks") & mentions_path(F.col("body")), mention_words(F.col("body"))).alias("words"))
+
+
+def _plain() -> Column:
+    """What a text falls back to if notes on paths make it too long."""
+    return F.when(F.col("shrinks") & mentions_path(F.col("body")), F.col("stripped"))
 
 
 def _finish(rows: DataFrame, result, is_secret, outcome) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import with_lines
 from ..operators.folds_lines import number_lines
+from ..session import new_dir
 
 START = 1_704_067_200
 PASS = 1_000_000_000_000
@@ -36,6 +37,22 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if given.rdd.getNumPartitions() < cores else df
 
 
+def arriving(rows: DataFrame, parts: list[Column]) -> DataFrame:
+    """The rows as a stream that brings one part after another, each as a batch of its own."""
+    spark = rows.sparkSession
+    landing = new_dir(spark, "landing")
+    for part in parts:
+        rows.filter(part).coalesce(1).write.mode("append").parquet(landing)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+def quarters(column: str, rows: DataFrame) -> list[Column]:
+    """Four parts by a numeric column, of about the same range each."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    quarter = F.least(F.expr(f"({column} - {low or 0}) * 4 div {(high or 0) - (low or 0) + 1}"), F.lit(3))
+    return [quarter == k for k in range(4)]
+
+
 def _s(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -100,6 +117,13 @@ def control(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "scope string, seq long, kind string")
 
 
+def many_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control events of every user: a compact for each error, a resume for each purchase."""
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "purchase")).select(
+        F.col("user_id").cast("string").alias("scope"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", "compact").otherwise("resume").alias("kind"))
+
+
 def _event_lines(events: DataFrame, line: Column) -> DataFrame:
     """One line per event; every LINES_PER_OUTPUT ids in a row are one output."""
     e = F.col("event_id")
@@ -192,6 +216,8 @@ COMMANDS = [
     ("Bash", "sort < f"), ("Bash", "make 2> f"), ("Bash", "make &> f"), ("Bash", "cd /tmp; ls"),
     ("Bash", "sleep 10 &"), ("Read", "a|b"), ("Bash", "  "),
 ]
+# Two of the commands count as wrapped already, one as the tool itself.
+WRAP_MARKER, OWN_NAMES = "/tmp", ("sort",)
 
 
 def _command(event_id: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .inputs import COMMANDS, CONTROL, LINES_PER_OUTPUT, PASS, START
+from .inputs import COMMANDS, CONTROL, LINES_PER_OUTPUT, OWN_NAMES, PASS, START, WRAP_MARKER
 
 NL = "chr(10)"
 
@@ -285,6 +285,8 @@ SKIP = (
 CLASSIFIED = f"""
 SELECT event_id, command, base_cmd, {SKIP} AS skip_reason
 FROM (SELECT event_id, command, trim(command) AS cmd, {BASE} AS base_cmd FROM ({COMMANDS_SQL}))"""
+GUARDED = SKIP.replace("CASE WHEN", f"CASE WHEN contains(cmd, {_q(WRAP_MARKER)}) THEN 'already-compressed' "
+                       f"WHEN base_cmd IN ({_list(OWN_NAMES)}) THEN 'self' WHEN", 1)
 PARSED = f"""
 SELECT event_id, CASE WHEN NOT broken THEN tool_name END AS tool_name, CASE WHEN NOT broken THEN command END AS command,
        CASE WHEN broken THEN 'invalid-json' WHEN tool_name = 'Read' THEN 'other-tool'
@@ -385,4 +387,21 @@ SELECT output_id, seq, fp, outcome, md5(result) AS result_md5 FROM compacted""",
 FROM (SELECT *, unnest(range(ts_s // 3600 - 23, ts_s // 3600 + 1)) AS w FROM ({LOG})) GROUP BY w""",
     "stream_skip": f"""SELECT p.event_id, p.reject_reason, CASE WHEN p.command IS NOT NULL THEN c.base_cmd END AS base_cmd,
 CASE WHEN p.command IS NOT NULL THEN c.skip_reason END AS skip_reason FROM ({PARSED}) p JOIN ({CLASSIFIED}) c ON p.event_id = c.event_id""",
+    "skip_guarded": f"""SELECT event_id, command, base_cmd, {GUARDED} AS skip_reason
+FROM (SELECT event_id, command, trim(command) AS cmd, {BASE} AS base_cmd FROM ({COMMANDS_SQL}))""",
+    "log_roundtrip": f"""WITH {DEDUP}
+SELECT cmd, {SAVINGS} FROM (
+  SELECT cmd, {_tokens('length(text)')} AS original_tokens,
+         {_tokens(f"length(CASE WHEN is_ref THEN {TOKEN} WHEN shrinks THEN folded ELSE stripped END)")} AS compressed_tokens
+  FROM marked WHERE ts_s >= {START + 2_592_000}) GROUP BY cmd""",
+    "cache_snapshot": f"WITH {DEDUP}, {CACHE} SELECT scope, fp, ref, last_storable_seq FROM cache",
+    "known_merge": f"SELECT scope, path, CAST(min(seq) AS BIGINT) AS added_seq FROM ({REF_OUTPUTS}) WHERE path IS NOT NULL GROUP BY 1, 2",
+    "text_source": f"""SELECT conv_id || '-' || turn AS id, regexp_matches(text, {SECRET}) AS is_secret, 'unchanged' AS outcome,
+{_tokens('length(text) + 1')} AS orig_tokens, {_tokens('length(text) + 1')} AS comp_tokens, md5(text || {NL}) AS result_md5 FROM conversations""",
+    "control_epochs": """SELECT event_id, coalesce(c, -1) AS epoch, coalesce(c IS NOT NULL AND (r IS NULL OR c > r), false) AS stale
+FROM (SELECT event_id, event_type,
+             max(CASE WHEN event_type = 'error' THEN event_id END) OVER w AS c,
+             max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER w AS r
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+WHERE event_type NOT IN ('error', 'purchase')""",
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.commands import base_command
 from ..operators import dedup, events, folds_doc, folds_lines, metrics, refs
+from ..operators.epochs import with_epoch
 from ..session import new_dir, stage
+from ..sources import tables
 from ..streaming import jobs
 from . import inputs
 from .compact import Compaction, compact, compact_text
@@ -175,30 +179,90 @@ def stream_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each reading arrives as one batch; the second finds the cache of the first."""
+    """Four batches; control events arrive between them, known paths and cache come from the batches before."""
     outputs = inputs.outputs(spark, sf_dir)
     landing, progress = new_dir(spark, "landing"), new_dir(spark, "progress")
-    state, out = new_dir(spark, "state"), new_dir(spark, "stream")
-    run = jobs.dedup_batches(state, out, inputs.control(spark), refs.known_paths(outputs))
-    second = F.col("seq") >= 2 * inputs.PASS
-    for arriving in (outputs.filter(~second), outputs.filter(second)):
-        arriving.write.mode("append").parquet(landing)
+    state, out, events = new_dir(spark, "state"), new_dir(spark, "stream"), new_dir(spark, "control")
+    run = jobs.dedup_batches(state, out, events)
+    ends = [0, *[2 * (inputs.PASS + k) for k in (0, 150, 200)], 4 * inputs.PASS]
+    for begin, end in zip(ends, ends[1:]):
+        part = (F.col("seq") >= begin) & (F.col("seq") < end)
+        inputs.control(spark).filter(part).coalesce(1).write.mode("append").parquet(events)
+        outputs.filter(part).write.mode("append").parquet(landing)
         jobs.run_batches(spark.readStream.schema(outputs.schema).parquet(landing), progress, run)
     return spark.read.parquet(out).select("output_id", "seq", "fp", "outcome", F.md5("result").alias("result_md5"))
 
 
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = inputs.outputs_of(inputs.stream(spark, sf_dir, "documents"))
-    return jobs.run_to_end(jobs.keep_first_stream(outputs, "100 days")).select("scope", "fp")
+    """Half a reading after the other: copies are found in batches before."""
+    outputs = inputs.outputs(spark, sf_dir).drop("ts_s")
+    middle = outputs.agg(F.max("output_id")).first()[0] or 0
+    early, first = F.col("output_id") <= middle // 2, F.col("seq") < 2 * inputs.PASS
+    parts = [first & early, first & ~early, ~first & early, ~first & ~early]
+    return jobs.run_to_end(jobs.keep_first_stream(inputs.arriving(outputs, parts), "100 days")).select("scope", "fp")
 
 
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = inputs.compaction_log_of(inputs.stream(spark, sf_dir, "documents"))
-    done = jobs.run_to_end(jobs.rolling_savings(log), "complete")
+    """Four batches in the order of time; windows behind the watermark are done with."""
+    log = inputs.compaction_log(spark, sf_dir).withColumn("_s", F.unix_seconds("ts"))
+    stream = inputs.arriving(log, inputs.quarters("_s", log))
+    done = jobs.run_updates(jobs.rolling_savings(stream), "window_start", "window_end")
     return done.select(F.unix_seconds("window_start").alias("window_start_s"), "compressions", "original_tokens",
                        "compressed_tokens", "tokens_saved", "reduction_pct")
 
 
+def skip_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that are wrapped already or are the tool itself."""
+    return events.classify(inputs.commands(spark, sf_dir), inputs.WRAP_MARKER, inputs.OWN_NAMES)
+
+
+def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a compaction, appended to a table and read back from a day on."""
+    path = new_dir(spark, "log")
+    done = compact(inputs.outputs(spark, sf_dir), inputs.control(spark))
+    tables.append_log(done.log, path)
+    done.close()
+    since = datetime.fromtimestamp(inputs.START + 2_592_000, timezone.utc)
+    return metrics.stats_by(tables.read_log(spark, path, since), "cmd")
+
+
+def cache_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache as the second of two snapshots, each written from the one before."""
+    outputs, control, paths = inputs.outputs(spark, sf_dir), inputs.control(spark), []
+    for part in (F.col("seq") < 2 * inputs.PASS, F.col("seq") >= 2 * inputs.PASS):
+        old = spark.read.parquet(paths[-1]) if paths else None
+        done = compact(outputs.filter(part), control, cache=old)
+        paths.append(new_dir(spark, "cache"))
+        tables.write_cache(old, done.cache_entries, paths[-1])
+        done.close()
+    return spark.read.parquet(paths[-1]).select("scope", "fp", "ref", "last_storable_seq")
+
+
+def known_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known paths as a snapshot of the later half merged with the earlier."""
+    outputs, path = inputs.ref_outputs(spark, sf_dir), new_dir(spark, "known")
+    early = F.col("output_id") % 2 == 0
+    tables.write_known(refs.known_paths(outputs.filter(~early)), refs.known_paths(outputs.filter(early)), path)
+    return spark.read.parquet(path)
+
+
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as text files, one folder each, read back as outputs and compacted."""
+    turns = inputs.text_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    path = new_dir(spark, "texts")
+    turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("value")).write.partitionBy("id").text(path)
+    read = tables.read_outputs(spark, f"{path}/*/*.txt").select(
+        F.regexp_extract("path", r"id=([0-9-]+)/", 1).alias("id"), F.lit("cat x").alias("cmd"), "text")
+    return compact_text(read).select("id", "is_secret", "outcome", "orig_tokens", "comp_tokens", F.md5("result").alias("result_md5"))
+
+
+def control_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs of every event under more control events than are broadcast."""
+    rows = inputs.table(spark, sf_dir, "events").filter(~F.col("event_type").isin("error", "purchase")).select(
+        "event_id", F.col("user_id").cast("string").alias("scope"), F.col("event_id").alias("seq"))
+    return with_epoch(rows, inputs.many_control(spark, sf_dir)).select("event_id", "epoch", "stale")
+
+
 def stream_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = inputs.tool_events_of(inputs.stream(spark, sf_dir, "events"))
     return jobs.run_to_end(jobs.classify_stream(stream)).select(
@@ -241,4 +305,10 @@ QUERIES = {
     "stream_first": stream_first,
     "stream_stats": stream_stats,
     "stream_skip": stream_skip,
+    "skip_guarded": skip_guarded,
+    "log_roundtrip": log_roundtrip,
+    "cache_snapshot": cache_snapshot,
+    "known_merge": known_merge,
+    "text_source": text_source,
+    "control_epochs": control_epochs,
 }

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from spark.checkpoint.dir.
@@ -20,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="tersefold-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("tersefold.local.dir", path)
     return path
 
@@ -32,8 +40,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and lets later readers take
-    single columns. The folder is left to the retention of the checkpoint dir.
+    single columns. The folder stays until whoever collects it (`collected`)
+    removes it, or else to the retention of the checkpoint dir.
     """
     path = new_dir(df.sparkSession, label)
+    for paths in _collecting.get():
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders of all tables that are staged inside the block."""
+    paths: list[str] = []
+    token = _collecting.set((*_collecting.get(), paths))
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, wherever Spark can reach them; those that are gone already are passed over."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)

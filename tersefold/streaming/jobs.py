@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..operators.dedup import fingerprint, merge_cache
 from ..operators.events import classify, parse_events
 from ..operators.metrics import savings
+from ..operators.refs import known_paths
 from ..plans.compact import compact, compact_text, prepare
-from ..session import new_dir
+from ..session import new_dir, remove
 
 CACHE_SCHEMA = (
     "scope string, fp string, ref string, compressed string, original_tokens long, "
     "compressed_tokens long, last_storable_seq long, created_at timestamp"
 )
+CONTROL_SCHEMA = "scope string, seq long, kind string"
 
 
 def compact_stream(outputs: DataFrame) -> DataFrame:
@@ -24,8 +26,8 @@ def compact_stream(outputs: DataFrame) -> DataFrame:
     return compact_text(outputs)
 
 
-def classify_stream(events: DataFrame) -> DataFrame:
-    return classify(parse_events(events))
+def classify_stream(events: DataFrame, wrap_marker: str | None = None, own_names: Sequence[str] = ()) -> DataFrame:
+    return classify(parse_events(events), wrap_marker, own_names)
 
 
 def keep_first_stream(outputs: DataFrame, delay: str) -> DataFrame:
@@ -45,55 +47,107 @@ def rolling_savings(log: DataFrame, length: str = "24 hours", slide: str = "1 ho
     )
 
 
-def dedup_batches(state_dir: str, out_dir: str, control: DataFrame | None = None,
-                  known: DataFrame | None = None, merge_every: int = 16) -> Callable[[DataFrame, int], None]:
+class _History:
+    """What batches leave for later ones: one table per batch, merged into one every `every` batches.
+
+    A batch that runs again replaces what it wrote and finds the same history as
+    before. What a merged table holds is removed when the next batch begins, as
+    its own batch cannot run again from then on.
+    """
+
+    def __init__(self, folder: str, schema: str, merge: Callable[[DataFrame], DataFrame], every: int) -> None:
+        self.folder, self.schema, self.merge, self.every = folder, schema, merge, every
+
+    def _base(self, batch_id: int) -> int:
+        return (batch_id - 1) // self.every * self.every
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        base = self._base(batch_id)
+        paths = [f"{self.folder}/merged/{base}"] + [f"{self.folder}/batch/{i}" for i in range(base + 1, batch_id)]
+        if batch_id == base + 1:
+            remove(spark, [f"{self.folder}/batch/{i}" for i in range(max(0, base - self.every), base + 1)]
+                   + [f"{self.folder}/merged/{base - self.every}"])
+        return spark.read.schema(self.schema).parquet(*paths)
+
+    def add(self, table: DataFrame, batch_id: int) -> DataFrame:
+        """Write the batch's own rows; returns all up to and with them."""
+        spark, path = table.sparkSession, f"{self.folder}/batch/{batch_id}"
+        earlier = self.before(spark, batch_id)
+        table.write.mode("overwrite").parquet(path)
+        own = spark.read.schema(self.schema).parquet(path)
+        every = self.merge(own if earlier is None else earlier.unionByName(own))
+        if batch_id % self.every == 0:
+            every.write.mode("overwrite").parquet(f"{self.folder}/merged/{batch_id}")
+        return every
+
+
+def _newest(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("scope", "fp").agg(F.max("last_storable_seq").alias("last_storable_seq"))
+
+
+def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
+                  merge_every: int = 16) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: compact each batch against the cache of all batches before.
 
-    A batch writes its rows and its new cache entries under its own id, and
-    every merge_every batches a merged cache, so a batch that is run again
-    replaces what it wrote and finds the same cache as before. Input must come
-    in seq order; late rows are compacted with the cache as they find it.
+    Known paths are those read in the batches so far. control_dir may hold
+    control events (scope, seq, kind) as they arrive; it is read for every
+    batch. Texts of the cache are only added to; the keys that a batch is
+    compared with are kept apart from them. Input must come in seq order; late
+    rows are compacted with the cache as they find it.
     """
+    keys = _History(f"{state_dir}/keys", "scope string, fp string, last_storable_seq long", _newest, merge_every)
+    paths = _History(f"{state_dir}/known", "scope string, path string, added_seq long",
+                     lambda known: known.groupBy("scope", "path").agg(F.min("added_seq").alias("added_seq")), merge_every)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cache = _cache_before(spark, state_dir, batch_id, merge_every)
-        done = compact(batch, control, known, cache)
+        batch = batch.persist()
+        known = paths.add(known_paths(batch), batch_id)
+        control = None if control_dir is None else spark.read.schema(CONTROL_SCHEMA).parquet(control_dir)
+        done = compact(batch, control, known, keys.before(spark, batch_id))
         done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/{batch_id}")
-        if batch_id % merge_every == 0:
-            entries = spark.read.schema(CACHE_SCHEMA).parquet(f"{state_dir}/entries/{batch_id}")
-            merge_cache(cache, entries).write.mode("overwrite").parquet(f"{state_dir}/merged/{batch_id}")
+        entries = f"{state_dir}/entries/batch={batch_id}"
+        done.cache_entries.write.mode("overwrite").parquet(entries)
+        keys.add(spark.read.schema(CACHE_SCHEMA).parquet(entries).select("scope", "fp", "last_storable_seq"), batch_id)
+        done.close()
+        batch.unpersist()
 
     return run
 
 
-def _cache_before(spark: SparkSession, state_dir: str, batch_id: int, merge_every: int) -> DataFrame | None:
-    """All entries of the batches before: the last merged cache and what came after it."""
-    if batch_id == 0:
-        return None
-    base = (batch_id - 1) // merge_every * merge_every
-    paths = [f"{state_dir}/merged/{base}"] + [f"{state_dir}/entries/{i}" for i in range(base + 1, batch_id)]
-    return spark.read.schema(CACHE_SCHEMA).parquet(*paths)
-
+def read_cache(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The cache that the batches so far have filled."""
+    return merge_cache(None, spark.read.schema(CACHE_SCHEMA).parquet(f"{state_dir}/entries/batch=*"))
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there, into files, and return what was written.
 
-    In complete mode the result is what the last batch wrote.
-    """
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Process all that is there, into files, and return what was written."""
     spark = stream.sparkSession
     out, checkpoint = new_dir(spark, "stream"), new_dir(spark, "progress")
-    if mode == "append":
-        query = (stream.writeStream.format("parquet").option("path", out)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    else:
-        query = (stream.writeStream.outputMode(mode)
-                 .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query = (stream.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None]) -> None:
-    (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+def run_updates(stream: DataFrame, *keys: str) -> DataFrame:
+    """Process all that is there in update mode; returns the last row of every key.
+
+    Each batch writes what it changed under its own id, so state behind the
+    watermark can be dropped and a batch that runs again replaces its rows.
+    """
+    spark = stream.sparkSession
+    out = new_dir(spark, "updates")
+    run_batches(stream, new_dir(spark, "progress"),
+                lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), "update")
+    changes = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    rest = [c for c in stream.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def run_batches(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None],
+                mode: str = "append") -> None:
+    (stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

@@ -9,9 +9,13 @@ import __spark_entry__ as entry
 from check_oracle import compare, connect
 from tersefold.operators import events, metrics
 from tersefold.sources import tables
+from tersefold.plans import oracle, registry
 from tersefold.plans.compact import compact_text
+from tersefold.plans.inputs import arriving
 from tersefold.session import new_dir
-from tersefold.streaming.jobs import CACHE_SCHEMA, run_to_end
+from tersefold.streaming.jobs import (
+    CACHE_SCHEMA, classify_stream, keep_first_stream, rolling_savings, run_to_end, run_updates,
+)
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,7 +32,9 @@ def test_parse_events(spark):
         ('{"tool_name": "Bash", "tool_input": "text"}', None, "no-command"),
         ('{"tool_name": "Bash"}', None, "no-command"),
         ('{"tool_input": {"command": "x"}}', "x", "other-tool"),
-        ("null", None, "not-an-object"), ("[1]", None, "not-an-object"), ("not json at all", None, "invalid-json"),
+        ("null", None, "not-an-object"), ("[1]", None, "not-an-object"), ("no object", None, "invalid-json"),
+        ('{"tool_name": "Bash", "tool_input": {"command": {"a": 1}}}', None, "not-a-string"),
+        ('{"tool_name": "Bash", "tool_input": {"command": 5}}', None, "not-a-string"),
         ("", None, "invalid-json"), ('{"tool_name": "Bash"', None, "invalid-json"),
     ]
     df = spark.createDataFrame([(i, v) for i, (v, _, _) in enumerate(cases)], "i int, value string")
@@ -110,13 +116,38 @@ def test_known_sink_first_add_wins(spark):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("s", "a.py", 5), ("s", "b.py", 7)]
 
 
+def test_late_rows_meet_the_watermark(spark):
+    """Rows behind the watermark are dropped, and state behind it is forgotten."""
+    # What is late in a batch is judged by the watermark that the batch before it began with.
+    log = log_rows(spark, [(3600 * h, "s", str(b), 10, 5) for b, h in enumerate([1, 50, 51, 1, 52])])
+    parts = [F.col("cmd") == str(b) for b in range(5)]
+    got = {r.window_start.timestamp() // 3600: r.compressions for r in run_updates(
+        rolling_savings(arriving(log, parts), "1 hour", "1 hour"), "window_start", "window_end").collect()}
+    assert got == {1: 1, 50: 1, 51: 1, 52: 1}
+    rows = [(0, 5, "x"), (1, 100, "y"), (2, 101, "w"), (3, 6, "z"), (4, 102, "x")]
+    outputs = spark.createDataFrame(
+        [(i, 3600 * h, i, "s", "ls", t) for i, h, t in rows], "output_id long, ts_s long, seq long, scope string, cmd string, text string"
+    ).withColumn("ts", F.timestamp_seconds("ts_s"))
+    stream = arriving(outputs, [F.col("output_id") == i for i in range(5)])
+    # Row 3 is late; row 4 repeats a text whose state is gone.
+    assert sorted(r.output_id for r in run_to_end(keep_first_stream(stream, "10 hours")).collect()) == [0, 1, 2, 4]
+
+
+def test_streams_take_the_guards(spark):
+    events_ = spark.createDataFrame([('{"tool_name": "Bash", "tool_input": {"command": "wrap ls"}}',),
+                                     ('{"tool_name": "Bash", "tool_input": {"command": "me x"}}',)], "value string")
+    got = run_to_end(classify_stream(arriving(events_, [F.lit(True)]), "wrap ", ["me"]))
+    assert sorted(r.skip_reason for r in got.collect()) == ["already-compressed", "self"]
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(oracle.SQL)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_sql(spark, name):
-    assert compare(spark, connect(SMALL), name, entry.queries()[name], entry.oracle_sql()[name], SMALL)
+    assert compare(spark, connect(SMALL), name, registry.QUERIES[name], oracle.SQL[name], SMALL)
 
 
 def test_entry(spark):

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,18 +240,63 @@ def test_published_samples(spark):
 
 
 def test_stream_dedup_batches_and_retry(spark):
-    """Batches in order equal one run; a batch run twice changes nothing; merged caches are used."""
+    """Batches in order equal one run; a batch run twice changes nothing; control events arrive on the way."""
     events, rows, control = random_history(240, seed=16, n_control=6)
-    known = refs.known_paths(table(spark, rows))
-    control = spark.createDataFrame(control, "scope string, seq long, kind string")
-    state, out = new_dir(spark, "state"), new_dir(spark, "out")
-    run = jobs.dedup_batches(state, out, control, known, merge_every=2)
+    state, out, arrived = new_dir(spark, "state"), new_dir(spark, "out"), new_dir(spark, "control")
+    run = jobs.dedup_batches(state, out, arrived, merge_every=2)
     for batch in range(4):
-        part = table(spark, [r for r in rows if batch * 600 <= r[2] < (batch + 1) * 600])
+        inside = lambda seq: batch * 600 <= seq < (batch + 1) * 600
+        part = [c for c in control if inside(c[1])]
+        spark.createDataFrame(part, jobs.CONTROL_SCHEMA).write.mode("append").parquet(arrived)
+        part = table(spark, [r for r in rows if inside(r[2])])
         run(part, batch)
         if batch in (1, 2):
             run(part, batch)
-    assert results(spark.read.parquet(out)) == model(events)
+    done = spark.read.parquet(out)
+    assert results(done) == model(events)
+    resolved = dedup.resolve_refs(done, jobs.read_cache(spark, state)).filter("outcome = 'ref'").collect()
+    assert resolved and all(r.content is not None for r in resolved)
+
+
+def strings_in(folders):
+    """All strings in the tables of some local folders."""
+    files = [f for d in folders for f in Path(urlparse(str(d)).path).rglob("*.parquet")]
+    return "\n".join(str(pq.read_table(f).to_pylist()) for f in files)
+
+
+def test_secrets_are_staged_nowhere_and_staged_tables_go(spark, tmp_path):
+    secret = "password = 'ABCDEFGHIJKLMNOPQRST'"
+    rows = [(i, i, 10 * i, "s", "cat src/a.py" if i % 2 else "ls", f"{secret}\n--> src/a.py:1\n" + "same\n" * (5 + i % 3))
+            for i in range(12)]
+    rows += [(20 + i, i, 1000 + i, "s", "ls", "plain\n" * 9) for i in range(3)]
+    outputs = table(spark, rows)
+    run = compact(outputs, None, refs.known_paths(outputs))
+    got = run.compacted.collect()
+    assert sum(r.is_secret for r in got) == 12
+    assert all(r.result.startswith(secret) and "(×" in r.result for r in got if r.is_secret)
+    assert "[in context]" in next(r.result for r in got if r.output_id == 3)
+    staged = list(run.staged)
+    assert "plain" in strings_in(staged) and "ABCDEFGHIJKLMNOPQRST" not in strings_in(staged)
+    run.close()
+    assert strings_in(staged) == "" and run.staged == []
+    shared = Path(urlparse(new_dir(spark, "x")).path).parent
+    before = set(shared.glob("*"))
+    step = jobs.dedup_batches(str(tmp_path / "state"), str(tmp_path / "out"))
+    for batch in range(3):
+        step(table(spark, [r for r in rows if r[0] % 3 == batch]), batch)
+    assert set(shared.glob("*")) == before
+    assert "ABCDEFGHIJKLMNOPQRST" not in strings_in([tmp_path / "state"])
+
+
+def test_cache_is_cut_to_the_batch(spark):
+    """A large cache of other texts changes nothing."""
+    rows = [(i, i, i, "s", "ls", "same\n" * 5) for i in range(3)]
+    first = compact(table(spark, rows[:1])).cache_entries
+    other = spark.range(5000).select(F.lit("s").alias("scope"), F.sha2(F.col("id").cast("string"), 256).alias("fp"),
+                                     F.lit(0).cast("long").alias("last_storable_seq"))
+    cache = first.select("scope", "fp", "last_storable_seq").unionByName(other)
+    got = {r.output_id: r.outcome for r in compact(table(spark, rows[1:]), cache=cache).compacted.collect()}
+    assert got == {1: "ref", 2: "ref"}
 
 
 def test_staged_tables_stay_in_the_shared_folder(spark):
@@ -279,4 +327,6 @@ def test_odd_texts_never_fail_and_no_row_is_lost(spark):
             assert got[oid].result is not None and len(got[oid].result) <= len(text)
     cut = next(got[r[0]] for r in rows if r[5] == "y\n" * 300_000)
     assert cut.result == "y (×200)\n\n[... 299750 lines truncated]\ny (×50)\n"
-    assert compact_text(outputs).count() == len(rows)
+    each = {r.output_id: r for r in compact_text(outputs).collect()}
+    assert sorted(each) == sorted(got)
+    assert all((each[k].result, each[k].outcome) == (None, "empty") for k, r in enumerate(rows) if r[5] is None)
