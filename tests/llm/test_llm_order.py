@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from check_oracle import compare, connect
 from llm_cases import documents, frame
 from tersefold.llm.common import prefix_sums
 from tersefold.llm.mixing import mix, mixed_documents
@@ -122,6 +123,12 @@ def test_pipeline_stages(spark):
     assert whole.count() == n[5] and whole.columns == kept[-1].columns
 
 
+@pytest.mark.parametrize("name", list(registry.SQL))
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    assert compare(spark, connect(folder), name, registry.QUERIES[name], registry.SQL[name], folder)
+
+
 def test_every_query_has_its_number():
     assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 11))
     assert set(registry.SQL) <= set(registry.QUERIES)
