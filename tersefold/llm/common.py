@@ -70,7 +70,7 @@ def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str)
 
 # Texts as bytes, for work on Arrow batches in numpy. -----------------------
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
