@@ -5,6 +5,7 @@ from .operators.events import classify, parse_events, skip_report
 from .operators.metrics import lookback_stats, stats_by
 from .operators.refs import annotate, known_paths, merge_known
 from .plans.compact import Compaction, compact, compact_text
+from .plans.compact_lines import compact_lines
 from .plans.techniques import reduction_by_technique
 from .sources.tables import (
     append_log, read_log, read_log_lines, read_outputs, stream_outputs, write_cache, write_known,
@@ -14,7 +15,7 @@ from .streaming.jobs import (
 )
 
 __all__ = [
-    "Compaction", "annotate", "append_log", "classify", "classify_stream", "compact", "compact_stream", "compact_text",
+    "Compaction", "annotate", "append_log", "classify", "classify_stream", "compact", "compact_lines", "compact_stream", "compact_text",
     "dedup_batches", "keep_first_stream", "known_paths", "lookback_stats", "merge_cache", "merge_known",
     "parse_events", "read_cache", "read_log", "read_log_lines", "read_outputs", "reduction_by_technique",
     "resolve_refs", "rolling_savings", "skip_report", "stats_by", "stream_outputs", "write_cache", "write_known",

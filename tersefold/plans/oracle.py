@@ -404,4 +404,7 @@ FROM (SELECT event_id, event_type,
              max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER w AS r
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 WHERE event_type NOT IN ('error', 'purchase')""",
+    "compact_lines": f"""WITH {FOLD}
+SELECT output_id, md5(CASE WHEN shrinks THEN f.result ELSE k.stripped END) AS result_md5
+FROM keyed k JOIN folded f ON k.fp = f.fp AND k.family = f.family""",
 }

@@ -16,6 +16,7 @@ from ..sources import tables
 from ..streaming import jobs
 from . import inputs
 from .compact import Compaction, compact, compact_text
+from .compact_lines import compact_lines
 from .techniques import reduction_by_technique as technique_savings
 
 
@@ -256,6 +257,16 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_text(read).select("id", "is_secret", "outcome", "orig_tokens", "comp_tokens", F.md5("result").alias("result_md5"))
 
 
+def compact_line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs as line tables, compacted in line form and joined to texts again."""
+    outputs = stage(inputs.outputs(spark, sf_dir).select("output_id", "cmd", "text"), "outputs")
+    lines = T.with_lines(outputs, "text", "lines").select("output_id", F.posexplode_outer("lines").alias("pos", "line"))
+    lines = lines.filter(F.col("pos").isNotNull()).select("output_id", F.col("pos").cast("long").alias("pos"), "line")
+    done = compact_lines(lines, outputs.select("output_id", "cmd"))
+    texts = done.groupBy("output_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    return texts.select("output_id", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("result_md5"))
+
+
 def control_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs of every event under more control events than are broadcast."""
     rows = inputs.table(spark, sf_dir, "events").filter(~F.col("event_type").isin("error", "purchase")).select(
@@ -311,4 +322,5 @@ QUERIES = {
     "known_merge": known_merge,
     "text_source": text_source,
     "control_epochs": control_epochs,
+    "compact_lines": compact_line_tables,
 }

@@ -13,7 +13,9 @@ import models
 from tersefold.operators import dedup, refs
 from tersefold.operators.epochs import with_epoch
 from tersefold.operators.skew import DEFAULT_LIMITS, SkewLimits, heavy_keys, join_unique
+from tersefold.functions.text import with_lines
 from tersefold.plans.compact import compact, compact_text
+from tersefold.plans.compact_lines import compact_lines
 from tersefold.session import new_dir, stage
 from tersefold.streaming import jobs
 
@@ -288,6 +290,25 @@ def test_secrets_are_staged_nowhere_and_staged_tables_go(spark, tmp_path):
     assert "ABCDEFGHIJKLMNOPQRST" not in strings_in([tmp_path / "state"])
 
 
+def test_line_form_equals_text_form(spark):
+    """Outputs in blocks of a few lines, among them blank, long, wide, JSON and open-ended ones."""
+    rng = random.Random(3)
+    pieces = ["x\n", "x\n", "\n", "\n", " c\n", "   Compiling a\n", "PASSED t\n", "FAILED t\n", "npm WARN d\n", "added 1\n",
+              "\x1b[32mg\x1b[0m\n", "passed\n", "===== s\n", "y\r\n", "end"]
+    texts = ["".join(rng.choices(pieces[:-1], k=rng.randint(0, 40))) + rng.choice(["", "end"]) for _ in range(60)]
+    texts += ["a\n" * 700, "".join(f"{i}\n" for i in range(900)), "".join(f"{i} {'w' * 3000}\n" for i in range(251)),
+              '{"a": null, "b": [1, null], "c": "long enough to count"}', "\n\n\n\nz\n", " \n\t\n", "\n"]
+    rows = [(k, k, k, "s", rng.choice(["git", "cargo", "pytest", "npm", "ls", None]), t) for k, t in enumerate(texts)]
+    outputs = table(spark, rows)
+    lines = with_lines(outputs, "text", "lines").select("output_id", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.withColumn("pos", F.col("pos").cast("long") * 3 + 5)
+    got = {}
+    for r in compact_lines(lines, outputs.select("output_id", "cmd"), block_rows=7).orderBy("output_id", "pos").collect():
+        got[r.output_id] = got.get(r.output_id, "") + r.line
+    want = {r.output_id: r.result for r in compact_text(outputs).collect() if r.result}
+    assert got == want
+
+
 def test_cache_is_cut_to_the_batch(spark):
     """A large cache of other texts changes nothing."""
     rows = [(i, i, i, "s", "ls", "same\n" * 5) for i in range(3)]
