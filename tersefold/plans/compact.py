@@ -129,7 +129,7 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         *key_cols,
         F.when(F.col("blank"), F.col("text")).alias("blank_text"),
         F.when(~F.col("blank"), fingerprint(F.col("stripped"))).alias("fp")), control), "rows")
-    total = rows.count()
+    total, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("raw_len"), F.lit(0))).first()
     blank = rows.filter(F.col("fp").isNull())
     rows = rows.filter(F.col("fp").isNotNull())
 
@@ -156,7 +156,8 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         keys = ["scope", "family", "fp"]
         noted = join_unique(noted, path_notes(words, keys, known, limits), keys, "seq", total, "left", limits)
     texts = folded.filter(~F.col("is_secret")).select("fp", "family", "is_secret", "shrinks", "body", "plain")
-    done = join_unique(noted, texts, ["fp", "family"], "seq", total, "inner", limits, counted=full)
+    # Every row gets its text here, so a key weighs what its texts do.
+    done = join_unique(noted, texts, ["fp", "family"], "seq", chars, "inner", limits, counted=full, chars="raw_len")
     if not folded.filter("is_secret").isEmpty():
         # Texts with secrets are staged nowhere; they are read and folded again where they are needed.
         secret = folded.filter("is_secret").select("fp", "family")

@@ -19,7 +19,7 @@ from tersefold.plans.compact_lines import compact_lines
 from tersefold.session import new_dir, stage
 from tersefold.streaming import jobs
 
-TIGHT = SkewLimits(heavy_rows=5, heavy_keys_max=3)
+TIGHT = SkewLimits(heavy_rows=5, heavy_keys_max=3, heavy_chars=100)
 OUTPUT = "output_id long, ts_s long, seq long, scope string, cmd string, text string"
 TEXTS = [
     "x\nx\nx\nx\n", "\x1b[32mx\nx\nx\nx\n\x1b[0m", "plain\n", "   Compiling a\n   Compiling b\nerr\n",
@@ -181,6 +181,18 @@ def test_heavy_keys_are_split(spark):
     assert sorted(plain.collect()) == sorted(split.select(plain.columns).collect())
 
 
+def test_few_long_texts_are_heavy(spark):
+    rows = spark.createDataFrame([(1, 400)] * 3 + [(2, 1)] * 50, "k int, n int")
+    limits = SkewLimits(heavy_rows=1000, heavy_chars=500)
+    assert heavy_keys(rows, ["k"], 53, limits) is None
+    assert [tuple(r) for r in heavy_keys(rows, ["k"], 1250, limits, "n").collect()] == [(1, 3)]
+    # A text that never shrinks is no reference: each of its copies gets it again.
+    outputs = table(spark, [(i, i, i, "s", "ls", "".join(map(chr, range(97, 123))) * 20) for i in range(30)])
+    done = compact(outputs, limits=SkewLimits(heavy_rows=1000, heavy_chars=500)).compacted
+    assert "_parts" in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.outcome, len(r.result)) for r in done.collect()} == {("unchanged", 520)}
+
+
 def test_notes(spark):
     known = spark.createDataFrame([("s", "a.p", 1), ("s", "a.py", 1), ("s", "late.py", 50), ("t", "other.py", 1)],
                                   "scope string, path string, added_seq long")
