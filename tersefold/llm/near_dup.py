@@ -36,8 +36,9 @@ class JoinPlan:
     """Similarity in percent, what sets recall and cost of the trees, and how much one task compares.
 
     Clusters with more than block_shingles shingles are cut into blocks that are
-    compared two by two. Up to broadcast_rows documents are looked up in the
-    texts through a broadcast, more by a shuffle.
+    compared two by two; with more than pair_blocks blocks, all documents are
+    compared with about `leaders` of them first. Up to broadcast_rows documents
+    are looked up in the texts through a broadcast, more by a shuffle.
     """
 
     percent: int = 85
@@ -47,6 +48,8 @@ class JoinPlan:
     second_branch_pct: int = 18
     alike_pct: int = 60
     block_shingles: int = 200_000
+    pair_blocks: int = 8
+    leaders: int = 64
     broadcast_rows: int = 1_000_000
 
     @property
@@ -119,15 +122,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int, key: str, text: str) -> DataFrame:
-    """(node, cluster, block, blocks, shingles) of the wanted representatives."""
+    """(node, cluster, block, blocks, leads, shingles) of the wanted representatives."""
     wanted = F.broadcast(wanted) if n_wanted <= plan.broadcast_rows else wanted
-    own = ["node", "cluster", "block", "blocks"]
+    own = ["node", "cluster", "block", "blocks", "leads"]
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
         wanted, F.expr("_id <=> first_id")).select(*own, "fp1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(5)):
+            for at, texts in chunks(batch.column(6)):
                 h, bounds = shingle_sets(texts)
                 sets = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(h.view(np.int64)))
                 some = np.diff(bounds) > 0
@@ -135,12 +138,12 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int
                 if some.any():
                     print_[some] = np.add.reduceat(mix(h), bounds[:-1][some])
                 # Another text under the same id is not the representative.
-                same = print_.view(np.int64) == batch.column(4).slice(at, len(texts)).to_numpy()
+                same = print_.view(np.int64) == batch.column(5).slice(at, len(texts)).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(at, len(texts)) for k in range(4)], sets],
+                    [*[batch.column(k).slice(at, len(texts)) for k in range(5)], sets],
                     [*own, "shingles"]).filter(pa.array(same))
 
-    return rows.mapInArrow(run, "node bigint, cluster bigint, block int, blocks int, shingles array<bigint>")
+    return rows.mapInArrow(run, "node bigint, cluster bigint, block int, blocks int, leads boolean, shingles array<bigint>")
 
 
 # Trees. --------------------------------------------------------------------
@@ -257,34 +260,90 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> lis
     return links
 
 
-def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, plan: JoinPlan, key: str, text: str) -> DataFrame:
-    """Confirmed links (a, b) inside the clusters (node, label)."""
-    members = clusters.join(reps.select("node", "n", "first_id", "fp1"), "node")
-    sizes = members.groupBy("label").agg(F.sum("n").alias("_shingles"))
-    blocks = F.ceil(F.col("_shingles") / plan.block_shingles).cast("int")
-    wanted = stage(members.join(sizes, "label").select(
-        "node", F.col("label").alias("cluster"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
-        blocks.alias("blocks"), "first_id", "fp1"), "wanted")
-    sets = _with_sets(docs, wanted, plan, wanted.count(), key, text)
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    # Two blocks at most meet in one row.
-    groups = sets.select("cluster", F.explode(meets).alias("meet"), F.struct("node", "block", "shingles").alias("_d"))
-    groups = groups.groupBy("cluster", "meet").agg(F.collect_list("_d").alias("_d")).filter(F.size("_d") > 1).select(
-        F.col("_d.node").alias("nodes"), F.col("_d.block").alias("sides"), F.col("_d.shingles").alias("sets"))
-
+def _compared(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside the groups: arrays of nodes, sides and sets, each of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for nodes, sides, sets in zip(*batch.columns, strict=True):
                 nodes, sides = nodes.values.to_numpy(), sides.values.to_numpy()
-                order = np.argsort(nodes)
+                order = np.lexsort((sides, nodes))
                 lists = sets.values
                 each = [lists[int(k)].values.to_numpy().view(np.uint64) for k in order]
-                found = similar_links(each, sides[order], plan.percent)
+                found = similar_links(each, sides[order], percent)
                 pairs = nodes[order][np.array(found, dtype=np.int64).reshape(-1, 2)]
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return stage(groups.mapInArrow(run, "a bigint, b bigint"), "links")
+    members = groups.agg(F.collect_list(F.struct("node", "side", "shingles")).alias("_d"))
+    return members.filter(F.size("_d") > 1).select(
+        F.col("_d.node").alias("nodes"), F.col("_d.side").alias("sides"), F.col("_d.shingles").alias("sets")).mapInArrow(
+        run, "a bigint, b bigint")
+
+
+def _blocks_of(shingles: Column, plan: JoinPlan) -> Column:
+    return F.ceil(shingles / plan.block_shingles).cast("int")
+
+
+def _all_blocks(column: str) -> Column:
+    return F.sequence(F.lit(0), F.col(column) - 1)
+
+
+def _pairwise(sets: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Every block of a cluster with every other and with itself."""
+    meets = F.transform(_all_blocks("blocks"), lambda j: F.struct(
+        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return _compared(sets.select("cluster", F.explode(meets).alias("_meet"), "node", F.col("block").alias("side"),
+                                 "shingles").groupBy("cluster", "_meet"), plan.percent)
+
+
+def _against(some: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Some documents (with block `part` of `parts`) against all of their cluster, block by block."""
+    ours = some.select("cluster", "part", F.explode(_all_blocks("blocks")).alias("block"), "node", F.lit(1).alias("side"),
+                       "shingles")
+    parts = some.select("cluster", "part").distinct()
+    theirs = sets.join(parts, "cluster").select("cluster", "part", "block", "node", F.lit(0).alias("side"), "shingles")
+    return _compared(ours.unionByName(theirs).groupBy("cluster", "part", "block"), plan.percent)
+
+
+def _led(sets: DataFrame, plan: JoinPlan) -> DataFrame:
+    """Links inside clusters of many blocks: through leaders, then what these have not joined with all.
+
+    Members of a cluster's largest component need not be compared with each
+    other any more; each other document is, with every document of the cluster.
+    """
+    led = stage(_against(sets.filter("leads").withColumn("part", F.lit(0)), sets, plan), "links")
+    joined = sets.select("node", "cluster", F.size("shingles").alias("n"))
+    if led.isEmpty():
+        joined = joined.withColumn("label", F.col("node"))
+    else:
+        joined = joined.join(components(led), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = stage(joined, "joined")
+    main = joined.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("cluster").agg(
+        F.max(F.struct("_n", "label"))["label"].alias("main"))
+    outside = joined.join(main, "cluster").filter("label != main")
+    size = outside.groupBy("cluster").agg(F.sum("n").alias("_shingles"))
+    outside = stage(outside.join(size, "cluster").select("node", F.pmod(
+        F.xxhash64("node"), _blocks_of(F.col("_shingles"), plan)).cast("int").alias("part")), "outside")
+    if outside.isEmpty():
+        return led
+    return led.unionByName(_against(sets.join(outside, "node"), sets, plan))
+
+
+def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, plan: JoinPlan, key: str, text: str) -> DataFrame:
+    """Confirmed links (a, b) inside the clusters (node, label)."""
+    members = clusters.join(reps.select("node", "n", "first_id", "fp1"), "node")
+    sizes = members.groupBy("label").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_members"))
+    blocks = _blocks_of(F.col("_shingles"), plan)
+    drawn = F.pmod(F.xxhash64("node", F.lit("leads")), F.lit(1 << 20)) * F.col("_members") < F.lit(plan.leaders << 20)
+    wanted = stage(members.join(sizes, "label").select(
+        "node", F.col("label").alias("cluster"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
+        blocks.alias("blocks"), drawn.alias("leads"), "first_id", "fp1"), "wanted")
+    large = F.col("blocks") > plan.pair_blocks
+    links = _pairwise(_with_sets(docs, wanted.filter(~large), plan, wanted.count(), key, text), plan)
+    if not wanted.filter(large).isEmpty():
+        sets = stage(_with_sets(docs, wanted.filter(large), plan, wanted.count(), key, text), "sets")
+        links = links.unionByName(_led(sets, plan))
+    return stage(links, "links")
 
 
 def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -61,7 +61,8 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,plan", [
-    (1, JoinPlan()), (2, JoinPlan(percent=80)), (3, JoinPlan(node_limit=4, block_shingles=1500, broadcast_rows=0))])
+    (1, JoinPlan()), (2, JoinPlan(percent=80)), (3, JoinPlan(node_limit=4, block_shingles=1500, broadcast_rows=0)),
+    (4, JoinPlan(percent=80, node_limit=4, block_shingles=700, pair_blocks=2, leaders=3))])
 def test_components_equal_brute_force(spark, seed, plan):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
