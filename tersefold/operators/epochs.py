@@ -15,21 +15,21 @@ from ..session import stage
 # Up to this many control events the intervals between them are broadcast, and
 # a row is compared with each interval of its scope.
 BROADCAST_EVENTS = 256
-SEQ_BLOCK = 1_048_576
 
 
 def with_epoch(rows: DataFrame, control: DataFrame | None,
-               broadcast_events: int = BROADCAST_EVENTS, seq_block: int = SEQ_BLOCK) -> DataFrame:
+               broadcast_events: int = BROADCAST_EVENTS, ranges: int | None = None) -> DataFrame:
     """Add `epoch` (seq of the last compact event so far, -1 if none) and `stale`.
 
     stale: entries from before the epoch do not count, as no resume followed.
-    Rows need scope and seq; seq is unique in a scope.
+    Rows need scope and seq; seq is unique in a scope. `ranges` is the number
+    of parts for many control events, by default that of a shuffle.
     """
     if control is None:
         return rows.withColumn("epoch", F.lit(-1).cast("long")).withColumn("stale", F.lit(False))
     control = control.select("scope", F.col("seq").cast("long").alias("seq"), "kind")
     few = control.limit(broadcast_events + 1).count() <= broadcast_events
-    marked = _by_interval(rows, control) if few else _by_blocks(rows, control, seq_block)
+    marked = _by_interval(rows, control) if few else _by_ranges(rows, control, ranges)
     compact, resume = F.col("_compact"), F.col("_resume")
     return marked.select(
         *rows.columns,
@@ -56,28 +56,21 @@ def _by_interval(rows: DataFrame, control: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(spans), inside, "left")
 
 
-def _by_blocks(rows: DataFrame, control: DataFrame, seq_block: int) -> DataFrame:
-    """For any number of events: windows over blocks of seq, plus what earlier blocks ended with."""
-    rows = stage(rows, "rows")
-    both = rows.unionByName(control, allowMissingColumns=True).withColumn(
-        "_block", F.expr(f"seq div {seq_block}"))
-    upto = W.partitionBy("scope", "_block").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = (
-        control.withColumn("_block", F.expr(f"seq div {seq_block}"))
-        .groupBy("scope", "_block")
-        .agg(_last("compact").alias("_c"), _last("resume").alias("_r"))
-    )
-    # Every block of rows takes over from the last block before it that had events.
-    before = W.partitionBy("scope").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        both.select("scope", "_block").distinct()
-        .join(ends, ["scope", "_block"], "left")
-        .select("scope", "_block", F.max("_c").over(before).alias("_c"), F.max("_r").over(before).alias("_r"))
-    )
+def _by_ranges(rows: DataFrame, control: DataFrame, ranges: int | None) -> DataFrame:
+    """For any number of events and any spread of seq: windows over ranges of (scope, seq), plus what
+    earlier ranges ended with. The ranges are written, so they are drawn once."""
+    both = rows.unionByName(control, allowMissingColumns=True)
+    parts = both.repartitionByRange("scope", "seq") if ranges is None else both.repartitionByRange(ranges, "scope", "seq")
+    both = stage(parts.withColumn("_range", F.spark_partition_id()), "rows")
+    upto = W.partitionBy("scope", "_range").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # One row per range and scope, which takes over from the ranges before it.
+    before = W.partitionBy("scope").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carry = both.groupBy("scope", "_range").agg(_last("compact").alias("_c"), _last("resume").alias("_r")).select(
+        "scope", "_range", F.max("_c").over(before).alias("_c"), F.max("_r").over(before).alias("_r"))
     marked = both.select(
         "*", _last("compact").over(upto).alias("_compact"), _last("resume").over(upto).alias("_resume"))
     return (
-        marked.filter(F.col("kind").isNull()).join(carry, ["scope", "_block"], "left")
+        marked.filter(F.col("kind").isNull()).join(carry, ["scope", "_range"], "left")
         .withColumn("_compact", F.coalesce("_compact", "_c"))
         .withColumn("_resume", F.coalesce("_resume", "_r"))
     )

@@ -158,13 +158,13 @@ def test_references_resolve(spark):
     assert dedup.resolve_refs(row, twins).first()[3:] == (None, 2)
 
 
-@pytest.mark.parametrize("seq_block", [3, 50, 10**6])
-def test_epochs_by_blocks_equal_intervals(spark, seq_block):
+@pytest.mark.parametrize("ranges", [1, 4, 60])
+def test_epochs_by_ranges_equal_intervals(spark, ranges):
     _, rows, control = random_history(300, seed=14, n_control=25)
     rows = table(spark, rows).select("scope", "seq")
     control = spark.createDataFrame(control, "scope string, seq long, kind string")
     a = with_epoch(rows, control).collect()
-    b = with_epoch(rows, control, broadcast_events=0, seq_block=seq_block).collect()
+    b = with_epoch(rows, control, broadcast_events=0, ranges=ranges).collect()
     assert sorted(a) == sorted(b)
     assert any(r.stale for r in a) and any(r.epoch >= 0 and not r.stale for r in a)
 
