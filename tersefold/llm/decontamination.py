@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import ALNUM, Tokens, chunks, mix, table, text_bytes, tokenize
 
-# Token positions that count in a window of 12; the others may hold any word.
-MASKS = ("110101011011", "111001100111", "101101101011", "110011110011")
-SPAN = 12
-# Items shorter than a window are looked for as a whole; below MIN_ITEM words they say nothing.
-MIN_ITEM = 5
 # A leak has this many words on one alignment, of which this share is equal.
 MIN_OVERLAP, MIN_EQUAL_PCT = 13, 80
+# Below MIN_ITEM words items say nothing, below MIN_EDITED they are looked for as a whole.
+MIN_ITEM, MIN_EDITED = 5, 7
+# Token positions that count; the others may hold any word. In a stretch of MIN_OVERLAP words (a whole item
+# of the length, if that is shorter) with as many substitutions as MIN_EQUAL_PCT lets pass, wherever they
+# are, one mask at least meets none of them at some place.
+MASKS = {
+    13: ("111110111", "1101011111", "11111001011", "111001100111", "110111111"),
+    12: ("11110111", "1100101111", "11011001011", "111111001", "1111111"),
+    11: ("1111011", "110001111", "1101100011"),
+    10: ("111011", "11010011", "11111"),
+    9: ("1111011", "11011101"),
+    8: ("1111101", "1110111", "1011111"),
+    7: ("111101", "110111", "11111"),
+}
 CONTEXT = 20
 # The filter of test hashes has this many 64-bit words at most, whatever the benchmark's size.
 FILTER_WORD_BITS = 20
@@ -35,9 +44,11 @@ class Seeds:
     salt: int
 
 
-def _seeds(short: list[int]) -> list[Seeds]:
-    masks = [Seeds(tuple(i for i, c in enumerate(m) if c == "1"), len(m), k) for k, m in enumerate(MASKS)]
-    return masks + [Seeds(tuple(range(n)), n, 100 + n) for n in short]
+def _seeds(n: int) -> list[Seeds]:
+    """The seeds of items of n words."""
+    n = min(n, MIN_OVERLAP)
+    masks = MASKS[n] if n >= MIN_EDITED else ("1" * n,)
+    return [Seeds(tuple(i for i, c in enumerate(m) if c == "1"), len(m), 100 * n + k) for k, m in enumerate(masks)]
 
 
 def _tokens(texts: pa.Array) -> Tokens:
@@ -76,7 +87,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 h = np.array(words.as_py(), dtype=np.int64).view(np.uint64)
                 none = np.zeros(0, dtype=np.int64)
                 tokens = Tokens(none, none, none, none, np.zeros(len(h), dtype=np.int64), none, h)
-                for seed in _seeds([len(h)] if len(h) < SPAN else []):
+                for seed in _seeds(len(h)):
                     at, hashes = _hashes(tokens, seed)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashes.view(np.int64)), pa.array([item] * len(at), type=pa.int64()), pa.array(at)],
@@ -109,18 +120,18 @@ def _in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 _REGIONS = "start bigint, words array<bigint>, hashes array<bigint>, at array<bigint>"
 
 
-def _regions(docs: DataFrame, filter_words: np.ndarray, short: list[int], key: str, text: str) -> DataFrame:
+def _regions(docs: DataFrame, filter_words: np.ndarray, lengths: list[int], key: str, text: str) -> DataFrame:
     """Stretches of each text around windows that may be in the benchmark, with those windows.
 
     Only these leave the scan; near stretches of one text are joined.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seeds = _seeds(short)
+    seeds = [seed for n in lengths for seed in _seeds(n)]
     shared = docs.sparkSession.sparkContext.broadcast(filter_words)
 
     def regions(texts: pa.Array) -> dict[str, list]:
         tokens = _tokens(texts)
-        found = []
+        found = [(np.zeros(0, dtype=np.int64),) * 3]
         for seed in seeds:
             at, hashes = _hashes(tokens, seed)
             hit = _in_filter(shared.value, hashes)
@@ -188,15 +199,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id and equal_words of each document and benchmark item that it holds a passage of.
 
     A passage is MIN_OVERLAP words (a whole item, if that is shorter) of which
-    MIN_EQUAL_PCT percent are equal at equal distances. Case, punctuation and
-    white space do not count. Items under MIN_ITEM words and null or empty texts
-    on either side give nothing; equal items count once, under the smallest id;
-    rows that repeat an id count as one document. Other columns are not read.
+    MIN_EQUAL_PCT percent are equal at equal distances; none is missed, wherever
+    the others are. Items under MIN_EDITED words must be equal as a whole. Case,
+    punctuation and white space do not count. Items under MIN_ITEM words and null
+    or empty texts on either side give nothing; equal items count once, under the
+    smallest id; rows that repeat an id count as one document. Other columns are
+    not read.
     """
     items = stage(_items(benchmark, item_key, item_text).withColumn("item", F.monotonically_increasing_id()), "items")
     seeds = stage(_item_seeds(items), "seeds")
-    short = [r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]
-    regions = _regions(docs, _filter_words(seeds), sorted(short), key, text)
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(MIN_OVERLAP))).distinct().collect()]
+    regions = _regions(docs, _filter_words(seeds), sorted(lengths), key, text)
     regions = stage(regions.withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "at")).alias("_h")).select(
         "region", F.col("_h.hashes").alias("hash"), F.col("_h.at").alias("at"))

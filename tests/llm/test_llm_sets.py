@@ -1,5 +1,6 @@
 """Operators on pairs: near-duplicates and decontamination, against brute force."""
 
+import itertools
 import random
 import re
 
@@ -160,3 +161,22 @@ def test_leaks_of_the_table_equal_whole_items(spark):
     items = [(r.item_id, plain(r.text)) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in plain(r.text)}
     assert want <= {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+
+
+def test_every_place_of_the_substitutions_is_covered(spark):
+    """Items of 5 to 13 words with 1 and 2 words replaced anywhere, and longer ones with more, by the rule itself."""
+    rng = random.Random(3)
+    items = {n: [f"q{n}x{k}" for k in range(n)] for n in [*range(5, 14), 16, 20]}
+    texts = [(n, w, c) for n, w in items.items() if n <= 13 for e in (0, 1, 2) for c in itertools.combinations(range(n), e)]
+    texts += [(n, items[n], tuple(rng.sample(range(n), e))) for n, e in ((16, 3), (20, 5)) for _ in range(150)]
+    docs, want = [], set()
+    for d, (n, w, changed) in enumerate(texts):
+        put = [f"new{d}" if k in changed else word for k, word in enumerate(w)]
+        docs.append((d, f"{prose(d, 30)} {' '.join(put)} {prose(-d, 30)}"))
+        width = min(13, n)
+        equal = max(sum(k not in changed for k in range(at, at + width)) for at in range(n - width + 1))
+        if equal * 100 >= width * 80 if n >= 7 else not changed:
+            want.add((d, n))
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                  spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
