@@ -195,12 +195,17 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a reading after the other: copies are found in batches before."""
-    outputs = inputs.outputs(spark, sf_dir).drop("ts_s")
-    middle = outputs.agg(F.max("output_id")).first()[0] or 0
+    """Half a reading after the other: copies are found in batches before, however long the readings are.
+
+    No row is behind the watermark, as the SQL knows none: the delay is the time from first to last row.
+    """
+    outputs = inputs.outputs(spark, sf_dir)
+    middle, begin, end = outputs.agg(F.max("output_id"), F.min("ts_s"), F.max("ts_s")).first()
+    middle, delay = middle or 0, max(8_640_000, (end or 0) - (begin or 0) + 1)
+    outputs = outputs.drop("ts_s")
     early, first = F.col("output_id") <= middle // 2, F.col("seq") < 2 * inputs.PASS
     parts = [first & early, first & ~early, ~first & early, ~first & ~early]
-    return jobs.run_to_end(jobs.keep_first_stream(inputs.arriving(outputs, parts), "100 days")).select("scope", "fp")
+    return jobs.run_to_end(jobs.keep_first_stream(inputs.arriving(outputs, parts), f"{delay} seconds")).select("scope", "fp")
 
 
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

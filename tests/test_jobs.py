@@ -133,6 +133,16 @@ def test_late_rows_meet_the_watermark(spark):
     assert sorted(r.output_id for r in run_to_end(keep_first_stream(stream, "10 hours")).collect()) == [0, 1, 2, 4]
 
 
+def test_stream_first_over_long_times(spark, tmp_path):
+    """One text at both ends of readings that last longer than 200 days."""
+    docs = [(5, "same old text"), (299_945, "early"), (600_005, "same old text"), (600_065, "late")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["stream_first"](spark, str(tmp_path)).collect()
+    assert len(got) == len(set(got)) == 3
+
+
 def test_streams_take_the_guards(spark):
     events_ = spark.createDataFrame([('{"tool_name": "Bash", "tool_input": {"command": "wrap ls"}}',),
                                      ('{"tool_name": "Bash", "tool_input": {"command": "me x"}}',)], "value string")
