@@ -32,6 +32,11 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that tell texts apart; null of a null text."""
+    return F.unhex(F.md5(text))
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import ALNUM, Tokens, chunks, mix, table, text_bytes, tokenize
+from .common import ALNUM, Tokens, chunks, mix, table, text_bytes, text_id, tokenize
 
 # A leak has this many words on one alignment, of which this share is equal.
 MIN_OVERLAP, MIN_EQUAL_PCT = 13, 80
@@ -221,9 +221,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, columns unchanged."""
-    leaked = stage(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.expr("doc_id <=> _leaked"), "left_anti")
+    """The rows that hold no benchmark passage, columns unchanged.
+
+    Rows go by id and text: other texts under the id of a leak, or without an id
+    as it, stay. A row without text goes with its id.
+    """
+    own = docs.select(F.struct("doc_id", text_id(F.col("text")).alias("text_id")).alias("row"), "text")
+    leaked = leaks(own, benchmark, key="row").select(
+        F.col("doc_id.doc_id").alias("_leaked"), F.explode(F.array("doc_id.text_id", F.lit(b""))).alias("_leaked_text"))
+    leaked = stage(leaked.distinct(), "leaked")
+    # No hash is empty: that stands for the row without text.
+    return docs.withColumn("_text_id", F.coalesce(text_id(F.col("text")), F.lit(b""))).join(
+        leaked, F.expr("doc_id <=> _leaked AND _text_id = _leaked_text"), "left_anti").drop("_text_id")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import LOWER, WORD, chunks, mix, table, text_bytes, tokenize
+from .common import LOWER, WORD, chunks, mix, table, text_bytes, text_id, tokenize
 from .components import components
 
 SHINGLE = 5
@@ -103,9 +103,10 @@ def _prints(texts: pa.Array) -> dict[str, np.ndarray]:
 _PRINTS = "n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, s1 bigint, s2 bigint"
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set, signature and sketch of each row."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text_id: bool = False) -> DataFrame:
+    """doc_id, set size, 128-bit fingerprint of the set, signature and sketch of each row; on request text_id."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       *[text_id(F.col(text)).alias("text_id")] * with_text_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,12 +114,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 p = _prints(texts)
                 sig = pa.Array.from_buffers(
                     pa.binary(2 * SIGNATURE), len(texts), [None, pa.py_buffer(p["sig"].tobytes())]).cast(pa.binary())
+                own = [c.slice(at, len(texts)) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *[sig if k == "sig" else pa.array(v) for k, v in p.items()]],
-                    ["doc_id", *p])
+                    [batch.column(0).slice(at, len(texts)), *[sig if k == "sig" else pa.array(v) for k, v in p.items()],
+                     *own], ["doc_id", *p, *["text_id"] * len(own)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {_PRINTS}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {_PRINTS}" + ", text_id binary" * with_text_id)
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int, key: str, text: str) -> DataFrame:
@@ -356,7 +358,12 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "do
     no shingles and are linked with nothing. Rows that repeat an id share its
     component; a null id counts as no id. Other columns are not read.
     """
-    prints = stage(fingerprints(docs, key, text), "prints")
+    return _marked(docs, plan, key, text, False)
+
+
+def _marked(docs: DataFrame, plan: JoinPlan, key: str, text: str, with_text_id: bool) -> DataFrame:
+    """What near_duplicates returns, on request with text_id."""
+    prints = stage(fingerprints(docs, key, text, with_text_id), "prints")
     own = prints.filter("n_shingles > 0").groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig"), F.any_value("s1").alias("s1"),
         F.any_value("s2").alias("s2"))
@@ -371,17 +378,22 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "do
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = stage(labelled.join(smallest, "label").select("fp1", "fp2", "component_id"), "classes")
     # Copies are many rows of one class; the class table has one row each.
-    rows = prints.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
+    more = ["text_id"] * with_text_id
+    rows = prints.select("doc_id", "n_shingles", "fp1", "fp2", *more).join(classes, ["fp1", "fp2"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"),
-                       component.eqNullSafe(F.col("doc_id")).alias("kept"))
+                       component.eqNullSafe(F.col("doc_id")).alias("kept"), *more)
 
 
 def keep_one(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
-    """The rows of one document (by id) of each component, columns unchanged."""
-    found = near_duplicates(docs, plan).filter(~F.col("kept"))
-    copies = stage(found.select(F.col("doc_id").alias("_copy_id")).distinct(), "copies")
-    return docs.join(copies, F.expr("doc_id <=> _copy_id"), "left_anti")
+    """The rows of one document of each component, columns unchanged.
+
+    Rows go by id and text: other texts under the id of a copy, or without an id as it, stay.
+    """
+    found = _marked(docs, plan, "doc_id", "text", True).filter(~F.col("kept"))
+    copies = stage(found.select(F.col("doc_id").alias("_copy_id"), F.col("text_id").alias("_copy_text")).distinct(), "copies")
+    return docs.withColumn("_text_id", text_id(F.col("text"))).join(
+        copies, F.expr("doc_id <=> _copy_id AND _text_id <=> _copy_text"), "left_anti").drop("_text_id")
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,18 @@ def test_every_place_of_the_substitutions_is_covered(spark):
     found = leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
                   spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_clean_rows_stay_beside_copies_and_leaks_of_their_id(spark):
+    """Rows without an id, and texts that share one, are judged by themselves."""
+    rows = [(1, prose(1)), (None, prose(1)), (None, prose("clean")), (None, ""), (7, prose(1)), (7, prose("other")),
+            (None, prose("leak")), (8, prose("leak")), (8, prose("fine"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_id", F.lit("clash"))
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found), key=str)
+    want = [rows[k] for k in (0, 2, 3, 5, 7, 8)]
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    assert order(got.collect()) == sorted(want, key=str)
+    got = without_leaks(docs, spark.createDataFrame([(1, prose("leak", 40))], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert order(got.collect()) == sorted((r for k, r in enumerate(rows) if k not in (6, 7)), key=str)
