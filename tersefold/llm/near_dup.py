@@ -45,13 +45,17 @@ class JoinPlan:
     trees: int = 20
     depth: int = 8
     node_limit: int = 24
-    second_branch_pct: int = 18
     alike_pct: int = 60
     block_shingles: int = 200_000
     pair_blocks: int = 8
     leaders: int = 64
     broadcast_rows: int = 1_000_000
 
+    @property
+    def second_branch_pct(self) -> int:
+        """Nodes that branch twice: as many as bring pairs of just this similarity together in one child a node."""
+        return -(-10_000 // self.percent) - 100
+
     @property
     def most_bits(self) -> int:
         """Different sketch bits that a similar pair exceeds with a chance below 1e-6."""

@@ -195,3 +195,10 @@ def test_clean_rows_stay_beside_copies_and_leaks_of_their_id(spark):
     got = without_leaks(docs, spark.createDataFrame([(1, prose("leak", 40))], "item_id long, text string"))
     assert got.columns == docs.columns
     assert order(got.collect()) == sorted((r for k, r in enumerate(rows) if k not in (6, 7)), key=str)
+
+
+@pytest.mark.parametrize("percent,pct", [(50, 100), (70, 43), (80, 25), (85, 18), (95, 6)])
+def test_similar_pairs_meet_in_one_child_a_node(percent, pct):
+    plan = JoinPlan(percent=percent)
+    assert plan.second_branch_pct == pct
+    assert (100 + plan.second_branch_pct) * percent >= 10_000
