@@ -24,6 +24,7 @@ SCOPES = frozenset(["ul", "ol", "dl", "table", "select", "body", "article", "sec
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+(?:>|\Z)"
+    r"|<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"  # closed by itself, holds nothing
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*+(?:>(?:.*?</(?P=raw)\s*+>|.*\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)", re.IGNORECASE | re.DOTALL)

@@ -187,6 +187,12 @@ def test_blocks_decode_and_fold():
     assert got == ["A & B", "one two three", "four", "x", "y", "z"]
 
 
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg class='a>b' />", '<SVG width="1"\n/>'])
+def test_self_closed_svg_holds_nothing(icon):
+    assert [b.text for b in blocks(f"<p>one {icon}two<p>three<svg><g/>no</svg> four")] == ["one two", "three four"]
+    assert [b.text for b in blocks(f"<p>one</p>{icon}<p>two</p>")] == ["one", "two"]
+
+
 # Classifier.
 
 def test_quality_on_held_out_documents(spark):
