@@ -129,6 +129,48 @@ SELECT *, NOT base_failed AND left_chars * 100 >= word_chars * {rules.MIN_LEFT_P
 """
 
 
+OP11 = rf"""
+WITH RECURSIVE bits(byte, k, x) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL
+  SELECT byte, k + 1, xor(x >> 1, (x & 1) * 3988292384) FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY byte) AS crc FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS o,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'),
+      lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc),
+n AS (SELECT doc_id, o, len(o) AS n, h // 10 AS g, h % 10 = 0 AND len(o) > 0 AS plants FROM d),
+p AS (
+  SELECT doc_id, o, n, CASE WHEN plants THEN g % n ELSE n END AS a,
+    CASE WHEN plants THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM n),
+w AS (
+  SELECT doc_id, n, i, o[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+again AS (
+  SELECT u.doc_id, u.i, v.i - u.i AS q FROM w u JOIN w v ON u.doc_id = v.doc_id AND u.x = v.x AND u.i < v.i
+  WHERE 4 * (v.i - u.i) <= u.n),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM again)
+  GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+by_doc AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max({{'s': start, 'l': length, 'p': period}}, [length, -start, -period]) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY doc_id),
+dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM w ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period,
+  1000 * best.l // best.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 SQL = {
     "op2_chat_format": OP2, "op4_near_dup": OP4, "op5_sharding": OP5, "op6_mixing": OP6, "op10_quality_rules": _op10(),
+    "op11_periodic_runs": OP11,
 }

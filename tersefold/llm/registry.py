@@ -9,6 +9,7 @@ from .language_id import op3_language_id
 from .mixing import op6_mixing
 from .near_dup import op4_near_dup
 from .oracle import SQL
+from .periodic_runs import op11_periodic_runs
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secret_scan import op7_secret_scan
@@ -16,6 +17,6 @@ from .sharding import op5_sharding
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_chat_format, op3_language_id, op4_near_dup, op5_sharding, op6_mixing,
-    op7_secret_scan, op8_html_extraction, op9_quality_classifier, op10_quality_rules)}
+    op7_secret_scan, op8_html_extraction, op9_quality_classifier, op10_quality_rules, op11_periodic_runs)}
 
 __all__ = ["QUERIES", "SQL"]
