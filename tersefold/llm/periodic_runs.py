@@ -222,8 +222,10 @@ def planted_text(doc_id: Column, text: Column) -> Column:
     n = F.size(w).cast("long")
     a = g % n
     p = F.floor((n - a) / (3 + g % 8)) + 1
-    periodic = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(
-        w, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+    # The words from a on are the first p of them again and again.
+    block = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+    again = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    periodic = F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int")))
     return F.when((h % 10 == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(text)
 
 
