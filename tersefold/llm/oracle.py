@@ -169,8 +169,51 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
 FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), {TERM}) AS t FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, c GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS again FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), {TERM})) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (
+  SELECT item_id, doc_id, sum(again * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT
+    AS score FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+m AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM numbered GROUP BY doc_id, k),
+ends AS (SELECT doc_id, b, e FROM spans UNION ALL SELECT doc_id, n, n FROM d),
+pieces AS (
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b, e), 0) AS a FROM ends),
+r AS (
+  SELECT doc_id, any_value(n) AS n, sum(e - b)::BIGINT AS n_removed, count(*) FILTER (e > b) AS n_spans,
+    string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY b, e) AS kept
+  FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM r
+"""
+
 
 SQL = {
     "op2_chat_format": OP2, "op4_near_dup": OP4, "op5_sharding": OP5, "op6_mixing": OP6, "op10_quality_rules": _op10(),
-    "op11_periodic_runs": OP11,
+    "op11_periodic_runs": OP11, "op12_lexical_search": OP12,
+    "op13_suffix_dedup": OP13,
 }
