@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Kinds of HTML elements.
@@ -21,6 +22,11 @@ CLOSED_BY = {  # an open element of the key is closed by the start of one of the
     "option": frozenset(["option", "optgroup"]),
 }
 SCOPES = frozenset(["ul", "ol", "dl", "table", "select", "body", "article", "section", "div", "td", "th"])
+SECTIONS = frozenset("article aside footer form header main nav section td".split())
+CLOSES: dict[str, list[str]] = {}
+for _open, _starts in CLOSED_BY.items():
+    for _start in _starts:
+        CLOSES.setdefault(_start, []).append(_open)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+(?:>|\Z)"
@@ -32,13 +38,94 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+@dataclass(slots=True, eq=False)
+class Place:
+    """An open block-level element: what it adds to those around it, so deep nesting costs no more than its elements.
+
+    words: of class, id and role. fresh_tag, fresh_words: what no element around it has.
+    sections: the last two sections, itself included. nearest: words of the innermost
+    element that has any. score is for the reader's use.
+    """
+
+    tag: str
+    words: tuple[str, ...]
+    parent: Place | None
+    fresh_tag: bool
+    fresh_words: tuple[str, ...]
+    sections: tuple[str, ...]
+    nearest: tuple[str, ...]
+    score: tuple[float, float] | None = None
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple  # of (tag, words of class, id and role), outermost first
+    place: Place | None  # of the innermost block-level element
     link_chars: int
 
 
+class _Stack:
+    """Open elements, outermost first, with the places of each tag; every question takes constant time."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.places: list[Place] = []
+        self.at: dict[str, list[int]] = {}     # of each tag
+        self.blocks: list[int] = []            # of block-level elements
+        self.scopes: list[int] = []
+        self.tag_count: Counter[str] = Counter()
+        self.word_count: Counter[str] = Counter()
+        self.links = 0
+
+    @property
+    def place(self) -> Place | None:
+        return self.places[-1] if self.places else None
+
+    def push(self, tag: str, attrs: str) -> None:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.at.setdefault(tag, []).append(k)
+        self.links += tag == "a"
+        if tag in SCOPES:
+            self.scopes.append(k)
+        if tag in INLINE:
+            return
+        self.blocks.append(k)
+        around, words = self.place, _attr_words(attrs)
+        sections, nearest = (around.sections, around.nearest) if around else ((), ())
+        self.places.append(Place(
+            tag, words, around, not self.tag_count[tag], tuple(w for w in words if not self.word_count[w]),
+            (*sections[-1:], tag) if tag in SECTIONS else sections, words or nearest))
+        self.tag_count[tag] += 1
+        self.word_count.update(words)
+
+    def cut(self, k: int) -> None:
+        """Close the element at k and those inside it."""
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                place = self.places.pop()
+                self.tag_count[tag] -= 1
+                self.word_count.subtract(place.words)
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its tag; an inline one none beyond a block."""
+        k = self.at[tag][-1] if self.at.get(tag) else -1
+        if k >= 0 and (tag not in INLINE or not self.blocks or k > self.blocks[-1]):
+            self.cut(k)
+
+    def make_room(self, tag: str) -> None:
+        """Close the innermost element that a start of `tag` closes, if no scope is inside it."""
+        k = max((self.at[t][-1] for t in CLOSES.get(tag, ()) if self.at.get(t)), default=-1)
+        if k >= 0 and (not self.scopes or k >= self.scopes[-1]):
+            self.cut(k)
+
+
 def _attr_words(attrs: str) -> tuple[str, ...]:
     return tuple(sorted({w.lower() for m in _NAMED.finditer(attrs) for w in _PARTS.findall(m[1] or m[2] or m[3] or "")}))
 
@@ -50,29 +137,28 @@ def blocks(page: str) -> list[Block]:
     Comments, scripts, styles, titles and the like hold no text.
     """
     out: list[Block] = []
-    stack: list[tuple] = []
+    stack = _Stack()
     text: list[str] = []
-    linked = links = 0
-    path: tuple = ()
+    linked, said_some = 0, False
+    place: Place | None = None
 
     def flush() -> None:
-        nonlocal linked
-        if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                out.append(Block(joined, path, linked))
-            text.clear()
-        linked = 0
+        nonlocal linked, said_some
+        if said_some:
+            out.append(Block(" ".join("".join(text).split()), place, linked))
+        text.clear()
+        linked, said_some = 0, False
 
     def say(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, place, said_some
         if raw:
             said = html.unescape(raw) if "&" in raw else raw
-            if not path or not text or not "".join(text).strip():
-                path = tuple(e for e in stack if e[0] not in INLINE)
             text.append(said)
-            if links:
-                linked += len(said.strip())
+            visible = said.strip()
+            if visible and not said_some:
+                place, said_some = stack.place, True
+            if stack.links:
+                linked += len(visible)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -83,30 +169,16 @@ def blocks(page: str) -> list[Block]:
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
-        inline = tag in INLINE
-        if not inline:
+        if tag not in INLINE:
             flush()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(e[0] == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            stack.end(tag)
             continue
         if tag == "br":
             text.append(" ")
-        for k in range(len(stack) - 1, -1, -1):
-            if tag in CLOSED_BY.get(stack[k][0], ()):
-                links -= sum(e[0] == "a" for e in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPES or inline:
-                break
+        stack.make_room(tag)
         if tag not in VOID:
-            stack.append((tag, _attr_words(m["attrs"] or m["attrs2"] or "")))
-            links += tag == "a"
+            stack.push(tag, m["attrs"] or m["attrs2"] or "")
     say(page[at:])
     flush()
     return out

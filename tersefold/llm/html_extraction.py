@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Place, blocks
 from .html_training import MARK, labelled_pages
 
 # Number of labelled pages, drawn anew from a seed; features seen less often are left out.
 TRAINING_PAGES, SEED, MIN_SEEN = 900, 11, 3
 STEPS, RATE, DECAY = 160, 0.15, 1e-3
-SECTIONS = frozenset("article aside body footer form header main nav section td".split())
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 _LEGAL = re.compile(r"©|\(c\)|all rights reserved|cookie|privacy policy|terms of|newsletter|advertis|sponsor", re.IGNORECASE)
 
 
-def _path_features(path: tuple) -> list[str]:
+def _fresh_features(place: Place) -> list[str]:
+    """What an element adds to the tags and names around a block."""
+    return [*[f"in {place.tag}"] * place.fresh_tag, *[f"named {w}" for w in place.fresh_words]]
+
+
+def _inner_features(place: Place | None) -> list[str]:
+    """What only the innermost elements of a block tell."""
+    tag, sections, nearest = (place.tag, place.sections, place.nearest) if place else ("", (), ())
+    return ["parent " + tag, "sections " + ">".join(sections), "innermost " + (sections[-1] if sections else ""),
+            *[f"nearest {w}" for w in nearest]]
+
+
+def _path_features(place: Place | None) -> list[str]:
     """Tags and names of the elements around a block."""
-    tags = [tag for tag, _ in path]
-    sections = [t for t in tags if t in SECTIONS and t != "body"]
-    names = [w for _, words in path for w in words]
-    return [*{f"in {t}" for t in tags}, *{f"named {w}" for w in names}, "parent " + (tags[-1] if tags else ""),
-            "sections " + ">".join(sections[-2:]), "innermost " + (sections[-1] if sections else ""),
-            *(f"nearest {w}" for words in [next((w for _, w in reversed(path) if w), ())] for w in words)]
+    out = _inner_features(place)
+    while place:
+        out += _fresh_features(place)
+        place = place.parent
+    return out
 
 
 def _text_features(b: Block) -> list[str]:
@@ -47,25 +57,30 @@ class Field:
     weights: dict[str, tuple[float, float]]
     steps: list[list[float]]
     start: list[float]
-    known: dict[tuple, tuple[float, float]] = field(default_factory=dict)
-
-    def __reduce__(self):
-        return Field, (self.weights, self.steps, self.start)
 
     def _score(self, features: list[str]) -> tuple[float, float]:
         found = [self.weights[f] for f in features if f in self.weights]
         return sum(f[0] for f in found), sum(f[1] for f in found)
 
+    def _around(self, place: Place | None) -> tuple[float, float]:
+        """Score of the elements around a block; each element adds its own once."""
+        todo, at = [], place
+        while at and at.score is None:
+            todo.append(at)
+            at = at.parent
+        total = at.score if at else (0.0, 0.0)
+        for p in reversed(todo):
+            own = self._score(_fresh_features(p))
+            total = p.score = (total[0] + own[0], total[1] + own[1])
+        inner = self._score(_inner_features(place))
+        return total[0] + inner[0], total[1] + inner[1]
+
     def decode(self, page: list[Block]) -> list[int]:
         """The best labels together (Viterbi)."""
         back: list[tuple[int, int]] = []
         best = (0.0, 0.0)
         for i, b in enumerate(page):
-            around = self.known.get(b.path)
-            if around is None:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                around = self.known[b.path] = self._score(_path_features(b.path))
+            around = self._around(b.place)
             own = self._score(_text_features(b))
             if not i:
                 best = tuple(self.start[k] + around[k] + own[k] for k in (0, 1))
@@ -91,7 +106,7 @@ def fit(pages: list[str]) -> Field:
         mine = [int(MARK in b.text) for b in found]
         for b in found:
             b.text = b.text.replace(MARK, "").strip() or "-"
-        chains.append([_path_features(b.path) + _text_features(b) for b in found])
+        chains.append([_path_features(b.place) + _text_features(b) for b in found])
         labels.append(mine)
     seen: dict[str, int] = {}
     for chain in chains:
