@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_bucket, table, text_bytes
@@ -17,8 +17,8 @@ HIDDEN = 8
 # Texts are read in segments of this many bytes; both directions start anew in each.
 SEGMENT = 64
 HELD_OUT_OF, HELD_OUT = 3, 1
-# Bounds of the sample: languages (the most frequent), documents per language (about, drawn by hash of
-# the id), and windows of this many characters per document.
+# Bounds of the sample: languages (the most frequent), documents per language (drawn by hash of
+# id and text), and windows of this many characters per document.
 MAX_LANGUAGES, SAMPLE_DOCS, WINDOWS, WINDOW_CHARS = 200, 300, 3, 180
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 CHUNK = 1 << 17
@@ -178,26 +178,34 @@ def _gradients(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray) ->
 
 
 def _sample(docs: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
-    """Windows at hashed places of about `per_language` documents of each language."""
+    """Windows at hashed places of at most `per_language` documents of each language, those of the least hashes.
+
+    A document is an id with its text; rows that repeat both are one, whatever their number.
+    """
     known = docs.filter("lang is not null and text is not null").filter(
-        crc_bucket(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    shares = counts.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    drawn = known.join(F.broadcast(shares), "lang").filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        crc_bucket(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT).select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # Enough to have the least hashes, as the number is known nearly; cut below.
+    few = counts.select("lang", F.least(F.lit(1.0), 2 * (per_language + 50) / F.col("n")).alias("share"))
+    place = F.shiftrightunsigned("hash", 11) / float(1 << 53)
+    drawn = known.join(F.broadcast(few), "lang").filter(place <= F.col("share"))
     room = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1
     window = lambda i: F.substring(
-        F.col("text"), (F.pmod(F.xxhash64("doc_id", i), room) + 1).cast("int"), F.lit(WINDOW_CHARS))
-    windows = F.array(*[window(F.lit(i)) for i in range(WINDOWS)])
-    rows = drawn.select("lang", F.explode(windows).alias("text")).collect()
+        F.col("text"), (F.pmod(F.xxhash64("hash", i), room) + 1).cast("int"), F.lit(WINDOW_CHARS))
+    once = drawn.select("lang", F.shiftrightunsigned("hash", 11).alias("place"), F.array(
+        *[window(F.lit(i)) for i in range(WINDOWS)]).alias("windows")).groupBy("lang", "place").agg(F.min("windows").alias("windows"))
+    least = Window.partitionBy("lang").orderBy("place")
+    rows = once.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= per_language).select(
+        "lang", F.explode("windows").alias("text")).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def languages(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row.
 
-    Learnt from windows of about `per_language` documents of each language, none
-    of them held out (crc32 of the id modulo HELD_OUT_OF is HELD_OUT), none with
+    Learnt from windows of at most `per_language` documents of each of the
+    MAX_LANGUAGES most frequent languages (others are never predicted), none of
+    them held out (crc32 of the id modulo HELD_OUT_OF is HELD_OUT), none with
     a null language. Every byte of a text is labelled; the prediction is the
     language with the largest mean over its letters, the score that mean. Null
     texts and texts without letters are `und` with score 0, and all are if there

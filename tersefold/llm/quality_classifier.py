@@ -14,7 +14,7 @@ from .common import LOWER, WORD, chunks, crc_bucket, table, text_bytes, tokenize
 
 WORD_BITS = 14
 FACTORS = 8
-# Bound of the labelled sample a model is fitted on, in documents (about; drawn by hash of the id).
+# Bound of the labelled sample a model is fitted on, in documents (drawn by hash of id and text).
 SAMPLE_DOCS = 5_000
 HELD_OUT_OF = 5
 THRESHOLD = 0.3
@@ -137,14 +137,20 @@ def fit(x: Sparse, y: np.ndarray, seed: int = 1) -> Machine:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[Sparse, np.ndarray]:
-    """Features and labels of about `bound` labelled documents in the learning part."""
+    """Features and labels of at most `bound` labelled documents in the learning part, those of the least hashes.
+
+    A document is an id with its text; rows that repeat both are one, whatever their number.
+    """
     one = labels.filter("quality is not null and doc_id is not null").filter(
         crc_bucket(F.col("doc_id"), HELD_OUT_OF) != 0).groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("double").alias("y"))
-    share = min(1.0, bound / max(1, one.count()))
-    drawn = one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        F.broadcast(drawn), "doc_id").select("y", "text")  # about SAMPLE_DOCS rows
+    share = min(1.0, 2 * bound / max(1, one.count()))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    drawn = F.broadcast(one.filter(place <= share))  # about two times the bound, each id once
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("hash")).join(drawn, "doc_id")
+    least = found.select("hash").distinct().orderBy("hash").limit(bound)
+    rows = found.join(F.broadcast(least), "hash").select("hash", "y", "text").dropDuplicates(["hash"]).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +178,7 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[Sparse, np.
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
-    Fitted on about `sample` labelled documents whose crc32 of the id leaves
+    Fitted on at most `sample` labelled documents whose crc32 of the id leaves
     a remainder but 0 by HELD_OUT_OF; several labels of one id count by their
     mean, null labels and ids not at all. Only the text is scored; null and
     empty texts by their (zero) statistics. Without labels, or with one kind of
