@@ -34,6 +34,8 @@ from .common import chunks, mix, table, text_bytes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 NO_ID = np.iinfo(np.int64).max
+# Texts are worked on in slices of about this many bytes, so what is computed of them stays near the processor.
+SLICE_BYTES = 1 << 17
 UNIQUE, SHARED, MATCHED = 0, 1, 2
 
 
@@ -52,26 +54,46 @@ class RepeatPlan:
 
 # Hashes of byte strings. ---------------------------------------------------
 
+class _Kept(dict):
+    """Tables that every task builds for itself; they are not sent along."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept_powers = _Kept()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base * base and so on; those of a slice of texts are kept, a longer text's are not."""
+    size = max(n + 1, SLICE_BYTES * 2)
+    if (base, size) in _kept_powers:
+        return _kept_powers[base, size]
+    p = np.full(size, base, dtype=np.uint64)
+    p[0] = 1
+    np.multiply.accumulate(p, out=p)
+    if size == SLICE_BYTES * 2:
+        _kept_powers[base, size] = p
+    return p
+
+
 class _Hashes:
-    """Two independent hashes of any stretch of the bytes."""
+    """A hash of any stretch of the bytes; `k` tells independent ones apart."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, k: int):
         n = len(data)
-        plus = data.astype(np.uint64) + np.uint64(1)
-        self.parts = []
-        for base in _BASES:
-            powers = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(n + 1, b, dtype=np.uint64)
-                p[0] = 1
-                powers.append(np.multiply.accumulate(p, out=p))
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(plus * powers[0][:n], out=sums[1:])
-            self.parts.append((sums, powers[1]))
-
-    def of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        sums, down = self.parts[k]
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data + np.uint64(1)) * _powers(_BASES[k], n)[:n], out=self.sums[1:])
+        self.down = _powers(pow(_BASES[k], -1, 1 << 64), n)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def all_of(self, length: int) -> np.ndarray:
+        """Of every stretch of that length, not finished: good high bits, which is all that an order needs."""
+        out = self.sums[length:] - self.sums[:-length]
+        out *= self.down[: len(out)]
+        return out
 
 
 def _id48(hashes: np.ndarray) -> np.ndarray:
@@ -86,36 +108,37 @@ def sampled(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan) -> tuple[np
     n, match = len(data), plan.match
     if n < match:
         return tuple(np.zeros(0, dtype=kind) for kind in (np.int64, np.int64, np.uint64, np.uint64))
-    hashes = _Hashes(data)
-    at = np.arange(n - plan.gram + 1)
-    grams = hashes.of(0, at, at + plan.gram)
+    hashes = _Hashes(data, 0)
     # The least hash, and of equal ones the first; positions take the low bits.
-    least = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    least = hashes.all_of(plan.gram)
+    least &= np.uint64(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=np.uint64)
     have, wide = 1, match - plan.gram + 1
     while have < wide:
         step = min(have, wide - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    chosen = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.ones(len(chosen), dtype=bool)
-    ends = offsets[1:-1]
-    for k in range(1, match):
-        cut = ends - k
-        cut = cut[(cut >= 0) & (cut < len(inside))]
-        inside[cut] = False
-    begins, stops = inside.copy(), inside.copy()
-    same = chosen[1:] == chosen[:-1]
-    begins[1:] &= ~(inside[:-1] & same)
-    stops[:-1] &= ~(inside[1:] & same)
-    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
-    return first, last, mix(grams[chosen[first]]), _id48(hashes.of(1, first, last + match))
+    chosen = least.astype(np.uint32)
+    # Windows that begin less than their length before the end of a text belong to none.
+    inside = np.ones(n, dtype=bool)
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        inside[max(begin, end - match + 1): end] = False
+    inside = inside[: len(chosen)]
+    differ = np.ones(len(chosen) + 1, dtype=bool)
+    np.not_equal(chosen[1:], chosen[:-1], out=differ[1:-1])
+    outer = np.ones(len(chosen) + 1, dtype=bool)
+    outer[1:-1] = ~inside[1:] | ~inside[:-1]
+    edge = differ | outer
+    first, last = np.flatnonzero(edge[:-1] & inside), np.flatnonzero(edge[1:] & inside)
+    at = chosen[first].astype(np.int64)
+    return first, last, hashes.of(at, at + plan.gram), _id48(_Hashes(data, 1).of(first, last + match))
 
 
 # Blocks. -------------------------------------------------------------------
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of the texts: number of the first, of the one behind the last, bytes, offsets."""
-    for at, some in chunks(texts):
+    for at, some in chunks(texts, SLICE_BYTES):
         yield at, at + len(some), *text_bytes(some)
 
 
@@ -152,9 +175,8 @@ def _windows(texts: pa.Array, text: np.ndarray, first: np.ndarray, last: np.ndar
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:b], n)
         owner = np.repeat(text[a:b], n)
         start = inside + offsets[owner - at]
-        hashes = _Hashes(data)
-        found.append((owner, inside, inside, hashes.of(0, start, start + plan.match),
-                      _id48(hashes.of(1, start, start + plan.match))))
+        found.append((owner, inside, inside, _Hashes(data, 0).of(start, start + plan.match),
+                      _id48(_Hashes(data, 1).of(start, start + plan.match))))
     return _Positions(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -164,17 +186,21 @@ class _Asked:
     """Distinct keys (class, string) of a block, each with its smallest document, in the order they are sent."""
 
     def __init__(self, cls: np.ndarray, string: np.ndarray, doc: np.ndarray, n_buckets: int):
-        order = np.lexsort((doc, string, cls))
+        # One number for both, as good as the two; which of equal ones leads does not depend on the sort.
+        both = cls * np.uint64(_BASES[1]) ^ string * np.uint64(_BASES[0])
+        order = np.argsort(both)
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (cls[order][1:] != cls[order][:-1]) | (string[order][1:] != string[order][:-1])
-        lead = order[new]
+        new[1:] = both[order][1:] != both[order][:-1]
+        starts = np.flatnonzero(new)
         self.key = np.empty(len(order), dtype=np.int64)
         self.key[order] = np.cumsum(new) - 1
-        self.least = doc == doc[lead][self.key]
+        lead = np.minimum.reduceat(order, starts) if len(starts) else starts
+        least = np.minimum.reduceat(doc[order], starts) if len(starts) else starts
+        self.least = doc == least[self.key]
         bucket = ((cls[lead] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-        self.sent = np.lexsort((lead, bucket))
+        self.sent = np.argsort(bucket * len(cls) + lead)
         lead, bucket = lead[self.sent], bucket[self.sent]
-        self.cls, self.string, self.doc, self.bucket = cls[lead], string[lead], doc[lead], bucket
+        self.cls, self.string, self.doc, self.bucket = cls[lead], string[lead], least[self.sent], bucket
 
     def rows(self, block: int) -> pa.Table:
         """A row for each bucket; keys are 4 and 6 bytes, documents 4 if they are near enough to each other."""
@@ -216,13 +242,13 @@ def _answer(rows: pa.Table) -> pa.Table:
     string = raw.view("<u8").ravel()
     doc = np.concatenate([np.frombuffer(d, dtype="<u4").astype(np.int64) + base if len(d) == len(c) else np.frombuffer(d, dtype="<i8")
                           for d, c, base in zip(docs, classes, rows.column("base").to_pylist(), strict=True)])
-    order = np.lexsort((doc, string, cls))
+    order = np.lexsort((string, cls))
     cls, string, doc = cls[order], string[order], doc[order]
     new_class = np.ones(len(cls), dtype=bool)
     new_class[1:] = cls[1:] != cls[:-1]
     new = new_class.copy()
     new[1:] |= string[1:] != string[:-1]
-    least = doc[new][np.cumsum(new) - 1]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
     # Of the strings of a class: the smallest and the largest of their smallest documents.
     starts = np.flatnonzero(new_class)
     low, high = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
