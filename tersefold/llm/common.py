@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import llm
-from ..session import stage
+from ..session import collected, remove, stage
 
 # Functions that run on executors are sent whole, so these need no copy of the package.
 cloudpickle.register_pickle_by_value(llm)
@@ -23,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def only_last(spark: SparkSession) -> Iterator[None]:
+    """Of the tables staged inside the block, only the last one stays."""
+    with collected() as paths:
+        yield
+    remove(spark, paths[:-1])
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores ahead until no column has it, in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """Stretches of characters other than space and U+0009 to U+000D; none of a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
@@ -73,6 +91,60 @@ def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str)
         (F.col("_rows_ahead") + F.col("_in_rows")).alias("_index"))
 
 
+# Rows that go, by id and text. ---------------------------------------------
+
+# A bitmap of hashes has this many 64-bit words at most, however many hashes there are.
+FILTER_WORD_BITS = 20
+# So many keys, of about 50 bytes each, are sent to all tasks; more are looked up by a shuffle.
+BROADCAST_KEYS = 300_000
+
+
+def filter_words(hashes: DataFrame) -> np.ndarray:
+    """Bitmap with two bits per `hash`. Made by bit_or per word, so at most 2^20 words reach the driver."""
+    bits = hashes.select(F.explode(F.array(
+        F.shiftrightunsigned("hash", 64 - FILTER_WORD_BITS - 6),
+        F.col("hash").bitwiseAND((1 << (FILTER_WORD_BITS + 6)) - 1))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    out = np.zeros(1 << FILTER_WORD_BITS, dtype=np.int64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be in the bitmap."""
+    def bit(b: np.ndarray) -> np.ndarray:
+        return (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+    some = np.flatnonzero(bit(hashes >> np.uint64(64 - FILTER_WORD_BITS - 6)))
+    return some[bit(hashes[some] & np.uint64((1 << (FILTER_WORD_BITS + 6)) - 1))]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of `docs` whose (doc_id, text_id) is not in the written table `gone`; null equals null. Columns unchanged.
+
+    Beyond broadcast_keys keys only rows that a bitmap of the keys lets pass are shuffled.
+    """
+    id_, text_, hash_, maybe = (free_name(docs.columns, f"_{c}") for c in ("gone_id", "gone_text", "hash", "maybe"))
+    keys = gone.select(F.col("doc_id").alias(id_), F.col("text_id").alias(text_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & text_id(F.col("text")).eqNullSafe(F.col(text_))
+    if gone.count() <= broadcast_keys:
+        return docs.join(F.broadcast(keys), same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(filter_words(gone.select(F.xxhash64("doc_id", "text_id").alias("hash"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = np.zeros(batch.num_rows, dtype=bool)
+            mark[in_filter(shared.value, batch.columns[-1].to_numpy().view(np.uint64))] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(mark)], [*batch.schema.names[:-1], maybe])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(maybe, T.BooleanType())])
+    marked = docs.withColumn(hash_, F.xxhash64("doc_id", text_id(F.col("text")))).mapInArrow(run, schema)
+    return marked.filter(~F.col(maybe)).unionByName(
+        marked.filter(maybe).join(keys, same, "left_anti")).drop(maybe)
+
+
 # Texts as bytes, for work on Arrow batches in numpy. -----------------------
 
 CHUNK_BYTES = 1 << 19

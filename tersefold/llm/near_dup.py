@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
-from .common import LOWER, WORD, chunks, mix, table, text_bytes, text_id, tokenize
+from ..operators.skew import SkewLimits, join_unique
+from ..session import collected, remove, stage
+from .common import LOWER, WORD, chunks, mix, only_last, table, text_bytes, text_id, tokenize, without_rows
 from .components import components
 
 SHINGLE = 5
@@ -38,7 +39,8 @@ class JoinPlan:
     Clusters with more than block_shingles shingles are cut into blocks that are
     compared two by two; with more than pair_blocks blocks, all documents are
     compared with about `leaders` of them first. Up to broadcast_rows documents
-    are looked up in the texts through a broadcast, more by a shuffle.
+    (of about 100 bytes each) or nodes (16 bytes) are looked up through a broadcast, more
+    by a shuffle; a node of more than hot_rows documents is split there.
     """
 
     percent: int = 85
@@ -49,7 +51,8 @@ class JoinPlan:
     block_shingles: int = 200_000
     pair_blocks: int = 8
     leaders: int = 64
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 300_000
+    hot_rows: int = 20_000
 
     @property
     def second_branch_pct(self) -> int:
@@ -87,7 +90,12 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(text[new], np.arange(len(texts) + 1))
 
 
-def _prints(texts: pa.Array) -> dict[str, np.ndarray]:
+def _root_places(trees: int) -> list[int]:
+    """The coordinate at the root of each tree."""
+    return [t * 6 % SIGNATURE + t // 21 for t in range(trees)]
+
+
+def _prints(texts: pa.Array, trees: int) -> dict[str, np.ndarray]:
     h, bounds = shingle_sets(texts)
     n, sizes = len(texts), np.diff(bounds)
     some = sizes > 0
@@ -101,53 +109,58 @@ def _prints(texts: pa.Array) -> dict[str, np.ndarray]:
         sums[1, some] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
     bits = np.packbits((low & 1).astype(np.uint8), axis=1).view(np.int64)
     return {"n_shingles": sizes.astype(np.int64), "fp1": sums[0].view(np.int64), "fp2": sums[1].view(np.int64),
-            "sig": low.astype(np.uint16), "s1": bits[:, 0].copy(), "s2": bits[:, 1].copy()}
+            "sig": low.astype(np.uint16), "roots": low[:, _root_places(trees)], "s1": bits[:, 0].copy(), "s2": bits[:, 1].copy()}
+
 
+_PRINTS = "n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, roots binary, s1 bigint, s2 bigint"
 
-_PRINTS = "n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, s1 bigint, s2 bigint"
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as its bytes."""
+    wide = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(
+        pa.binary(wide), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text_id: bool = False) -> DataFrame:
-    """doc_id, set size, 128-bit fingerprint of the set, signature and sketch of each row; on request text_id."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                       *[text_id(F.col(text)).alias("text_id")] * with_text_id)
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", trees: int = JoinPlan.trees) -> DataFrame:
+    """doc_id, text_id, set size, 128-bit fingerprint of the set, signature, roots and sketch of each row.
+
+    The signature has 16 bits of each minimum; roots have all 32 bits of those at which the trees begin,
+    as every document meets every other one there.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), text_id(F.col(text)).alias("text_id"),
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(1)):
-                p = _prints(texts)
-                sig = pa.Array.from_buffers(
-                    pa.binary(2 * SIGNATURE), len(texts), [None, pa.py_buffer(p["sig"].tobytes())]).cast(pa.binary())
-                own = [c.slice(at, len(texts)) for c in batch.columns[2:]]
+            for at, texts in chunks(batch.column(2)):
+                p = _prints(texts, trees)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *[sig if k == "sig" else pa.array(v) for k, v in p.items()],
-                     *own], ["doc_id", *p, *["text_id"] * len(own)])
+                    [*[c.slice(at, len(texts)) for c in batch.columns[:2]],
+                     *[pa.array(v) if v.ndim == 1 else _binary(v) for v in p.values()]], ["doc_id", "text_id", *p])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {_PRINTS}" + ", text_id binary" * with_text_id)
+    return rows.mapInArrow(run, f"doc_id {kind}, text_id binary, {_PRINTS}")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, plan: JoinPlan, n_wanted: int, key: str, text: str) -> DataFrame:
-    """(node, cluster, block, blocks, leads, shingles) of the wanted representatives."""
+    """(node, cluster, block, blocks, leads, shingles) of the wanted representatives; a task gives each once."""
     wanted = F.broadcast(wanted) if n_wanted <= plan.broadcast_rows else wanted
     own = ["node", "cluster", "block", "blocks", "leads"]
-    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-        wanted, F.expr("_id <=> first_id")).select(*own, "fp1", "text")
+    rows = docs.select(F.col(key).alias("_id"), text_id(F.col(text)).alias("_text_id"), F.col(text).alias("text")).join(
+        wanted, F.expr("_id <=> first.doc_id AND _text_id = first.text_id")).select(*own, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row may be there again and again, with id and text.
+        seen: set[int] = set()
         for batch in batches:
-            for at, texts in chunks(batch.column(6)):
+            new = [node not in seen and not seen.add(node) for node in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, type=pa.bool_()))
+            for at, texts in chunks(batch.column(5)):
                 h, bounds = shingle_sets(texts)
                 sets = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(h.view(np.int64)))
-                some = np.diff(bounds) > 0
-                print_ = np.zeros(len(texts), dtype=np.uint64)
-                if some.any():
-                    print_[some] = np.add.reduceat(mix(h), bounds[:-1][some])
-                # Another text under the same id is not the representative.
-                same = print_.view(np.int64) == batch.column(5).slice(at, len(texts)).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(at, len(texts)) for k in range(5)], sets],
-                    [*own, "shingles"]).filter(pa.array(same))
+                    [*[batch.column(k).slice(at, len(texts)) for k in range(5)], sets], [*own, "shingles"])
 
     return rows.mapInArrow(run, "node bigint, cluster bigint, block int, blocks int, leads boolean, shingles array<bigint>")
 
@@ -165,10 +178,19 @@ def _alike(plan: JoinPlan, a: Column, b: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * plan.percent) & (bits <= plan.most_bits)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, lookup: DataFrame, total: int, plan: JoinPlan) -> DataFrame:
+    """Rows with what a written table has for their path, if it has any; a hot path is split."""
+    n = lookup.count()
+    if n <= plan.broadcast_rows:
+        return rows.join(F.broadcast(lookup), "path")
+    hot = SkewLimits(heavy_rows=plan.hot_rows)
+    return join_unique(rows, lookup, ["path"], "node", total, "inner", hot)
+
+
+def _counted(rows: DataFrame, total: int, plan: JoinPlan) -> DataFrame:
     """Rows of nodes with two documents or more, with their number; no group meets in one task."""
-    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return stage(rows.join(counts, "path"), "paths")
+    counts = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "counts")
+    return stage(_joined(rows, counts, total, plan), "paths")
 
 
 def _pairs_of_small(rows: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -192,10 +214,10 @@ def _branch(rows: DataFrame, reps: DataFrame, plan: JoinPlan) -> DataFrame:
         F.explode(children).alias("path"), "node", "n", "s1", "s2", F.col("members").alias("parent"))
 
 
-def _stars(rows: DataFrame) -> DataFrame:
+def _stars(rows: DataFrame, total: int, plan: JoinPlan) -> DataFrame:
     """Every document of a node with the node's first."""
-    centres = rows.groupBy("path").agg(F.min("node").alias("a"))
-    return rows.join(centres, "path").filter("a != node").select("a", F.col("node").alias("b"))
+    centres = stage(rows.groupBy("path").agg(F.min("node").alias("a")), "centres")
+    return _joined(rows, centres, total, plan).filter("a != node").select("a", F.col("node").alias("b"))
 
 
 def _candidates(reps: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -204,20 +226,30 @@ def _candidates(reps: DataFrame, plan: JoinPlan) -> DataFrame:
     Alike are the documents of a large node that holds most of its parent, or is
     as deep as trees go.
     """
-    roots = F.array(*[F.xxhash64(F.lit(t), _coordinate("sig", F.lit(t * 6 % SIGNATURE + t // 21)))
-                      for t in range(plan.trees)])
+    spark = reps.sparkSession
+    roots = F.array(*[F.xxhash64(F.lit(t), F.substring("roots", 4 * t + 1, 4)) for t in range(plan.trees)])
     rows = reps.select(F.explode(roots).alias("path"), "node", "n", "s1", "s2", F.lit(None).cast("long").alias("parent"))
-    edges = []
+    total = reps.count() * plan.trees
+    edges, before = [], []
     for level in range(plan.depth):
-        rows = _counted(rows)
-        edges.append(_pairs_of_small(rows, plan))
-        rows = rows.filter(F.col("members") > plan.node_limit)
-        if rows.isEmpty():
+        with only_last(spark), collected() as staged:
+            if level:
+                rows = stage(rows, "children")
+                total = rows.count()
+            rows = _counted(rows, total, plan)
+        with only_last(spark):
+            found = _pairs_of_small(rows, plan)
+            large = rows.filter(F.col("members") > plan.node_limit)
+            more = not large.isEmpty()
+            if more:
+                alike = F.coalesce(F.col("members") * 100 >= F.col("parent") * plan.alike_pct, F.lit(False))
+                last = level + 1 == plan.depth
+                found = found.unionByName(_stars(large if last else large.filter(alike), total, plan))
+            edges.append(stage(found, "edges"))
+        remove(spark, before)
+        if not more:
             break
-        alike = F.coalesce(F.col("members") * 100 >= F.col("parent") * plan.alike_pct, F.lit(False))
-        last = level + 1 == plan.depth
-        edges.append(_stars(rows if last else rows.filter(alike)))
-        rows = _branch(rows.filter(~alike), reps, plan)
+        rows, before = _branch(large.filter(~alike), reps, plan), staged[-1:]
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -272,7 +304,8 @@ def _compared(groups: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for nodes, sides, sets in zip(*batch.columns, strict=True):
                 nodes, sides = nodes.values.to_numpy(), sides.values.to_numpy()
-                order = np.lexsort((sides, nodes))
+                # Sorted, and each node once a side.
+                _, order = np.unique(np.stack([nodes, sides], axis=1), axis=0, return_index=True)
                 lists = sets.values
                 each = [lists[int(k)].values.to_numpy().view(np.uint64) for k in order]
                 found = similar_links(each, sides[order], percent)
@@ -337,17 +370,18 @@ def _led(sets: DataFrame, plan: JoinPlan) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, plan: JoinPlan, key: str, text: str) -> DataFrame:
     """Confirmed links (a, b) inside the clusters (node, label)."""
-    members = clusters.join(reps.select("node", "n", "first_id", "fp1"), "node")
+    members = clusters.join(reps.select("node", "n", "first"), "node")
     sizes = members.groupBy("label").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_members"))
     blocks = _blocks_of(F.col("_shingles"), plan)
     drawn = F.pmod(F.xxhash64("node", F.lit("leads")), F.lit(1 << 20)) * F.col("_members") < F.lit(plan.leaders << 20)
     wanted = stage(members.join(sizes, "label").select(
         "node", F.col("label").alias("cluster"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
-        blocks.alias("blocks"), drawn.alias("leads"), "first_id", "fp1"), "wanted")
+        blocks.alias("blocks"), drawn.alias("leads"), "first"), "wanted")
     large = F.col("blocks") > plan.pair_blocks
-    links = _pairwise(_with_sets(docs, wanted.filter(~large), plan, wanted.count(), key, text), plan)
+    n_wanted = wanted.count()
+    links = _pairwise(_with_sets(docs, wanted.filter(~large), plan, n_wanted, key, text), plan)
     if not wanted.filter(large).isEmpty():
-        sets = stage(_with_sets(docs, wanted.filter(large), plan, wanted.count(), key, text), "sets")
+        sets = stage(_with_sets(docs, wanted.filter(large), plan, n_wanted, key, text), "sets")
         links = links.unionByName(_led(sets, plan))
     return stage(links, "links")
 
@@ -362,31 +396,40 @@ def near_duplicates(docs: DataFrame, plan: JoinPlan = JoinPlan(), key: str = "do
     no shingles and are linked with nothing. Rows that repeat an id share its
     component; a null id counts as no id. Other columns are not read.
     """
-    return _marked(docs, plan, key, text, False)
+    return _marked(docs, plan, key, text)[0].drop("text_id")
 
 
-def _marked(docs: DataFrame, plan: JoinPlan, key: str, text: str, with_text_id: bool) -> DataFrame:
-    """What near_duplicates returns, on request with text_id."""
-    prints = stage(fingerprints(docs, key, text, with_text_id), "prints")
+def _marked(docs: DataFrame, plan: JoinPlan, key: str, text: str) -> tuple[DataFrame, list[str]]:
+    """What near_duplicates returns, with text_id, and the folders it reads."""
+    spark = docs.sparkSession
+    with collected() as kept:
+        prints = stage(fingerprints(docs, key, text, plan.trees), "prints")
     own = prints.filter("n_shingles > 0").groupBy("fp1", "fp2", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig"), F.any_value("s1").alias("s1"),
-        F.any_value("s2").alias("s2"))
-    reps = stage(own.withColumn("node", F.monotonically_increasing_id()), "reps")
-    candidates = _candidates(reps, plan)
-    own = reps.select("node", "fp1", "fp2", "first_id")
-    if candidates.isEmpty():
-        labelled = own.withColumn("label", F.col("node"))
-    else:
-        links = _links(docs, reps, components(candidates), plan, key, text)
-        labelled = own.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = stage(labelled.join(smallest, "label").select("fp1", "fp2", "component_id"), "classes")
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_id")).alias("first"),
+        F.any_value("sig").alias("sig"), F.any_value("roots").alias("roots"),
+        F.any_value("s1").alias("s1"), F.any_value("s2").alias("s2"))
+    with only_last(spark), collected() as last:
+        reps = stage(own.withColumn("node", F.monotonically_increasing_id()), "reps")
+        with only_last(spark):
+            candidates = _candidates(reps, plan)
+        own = reps.select("node", "fp1", "fp2", "first_id")
+        if candidates.isEmpty():
+            labelled = own.withColumn("label", F.col("node"))
+        else:
+            with only_last(spark):
+                clusters = components(candidates)
+            with only_last(spark):
+                links = _links(docs, reps, clusters, plan, key, text)
+            with only_last(spark):
+                joined = components(links)
+            labelled = own.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        classes = stage(labelled.join(smallest, "label").select("fp1", "fp2", "component_id"), "classes")
     # Copies are many rows of one class; the class table has one row each.
-    more = ["text_id"] * with_text_id
-    rows = prints.select("doc_id", "n_shingles", "fp1", "fp2", *more).join(classes, ["fp1", "fp2"], "left")
+    rows = prints.select("doc_id", "text_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"),
-                       component.eqNullSafe(F.col("doc_id")).alias("kept"), *more)
+                       component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_id"), kept + last[-1:]
 
 
 def keep_one(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
@@ -394,10 +437,10 @@ def keep_one(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
 
     Rows go by id and text: other texts under the id of a copy, or without an id as it, stay.
     """
-    found = _marked(docs, plan, "doc_id", "text", True).filter(~F.col("kept"))
-    copies = stage(found.select(F.col("doc_id").alias("_copy_id"), F.col("text_id").alias("_copy_text")).distinct(), "copies")
-    return docs.withColumn("_text_id", text_id(F.col("text"))).join(
-        copies, F.expr("doc_id <=> _copy_id AND _text_id <=> _copy_text"), "left_anti").drop("_text_id")
+    found, read = _marked(docs, plan, "doc_id", "text")
+    copies = stage(found.filter(~F.col("kept")).select("doc_id", "text_id").distinct(), "copies")
+    remove(docs.sparkSession, read)
+    return without_rows(docs, copies)
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
