@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import ALNUM, Tokens, chunks, mix, table, text_bytes, text_id, tokenize
+from .common import ALNUM, Tokens, chunks, filter_words, in_filter, mix, only_last, table, text_bytes, text_id, tokenize, without_rows
 
 # A leak has this many words on one alignment, of which this share is equal.
 MIN_OVERLAP, MIN_EQUAL_PCT = 13, 80
@@ -31,8 +31,8 @@ MASKS = {
     7: ("111101", "110111", "11111"),
 }
 CONTEXT = 20
-# The filter of test hashes has this many 64-bit words at most, whatever the benchmark's size.
-FILTER_WORD_BITS = 20
+# Alignments of a region and an item that are gone through one by one; of more, the best by equal words first.
+MAX_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -79,42 +79,24 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return every.groupBy("words").agg(F.min("item_id").alias("item_id")).filter(F.size("words") >= MIN_ITEM)
 
 
+def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every window of an item of these word hashes."""
+    none = np.zeros(0, dtype=np.int64)
+    tokens = Tokens(none, none, none, none, np.zeros(len(words), dtype=np.int64), none, words)
+    at, hashes = zip(*[_hashes(tokens, seed) for seed in _seeds(len(words))], strict=True)
+    return np.concatenate(at), np.concatenate(hashes)
+
+
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(hash, item, offset) of every window of every item."""
+    """(hash, item) of every window of every item; equal ones of an item once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.array(words.as_py(), dtype=np.int64).view(np.uint64)
-                none = np.zeros(0, dtype=np.int64)
-                tokens = Tokens(none, none, none, none, np.zeros(len(h), dtype=np.int64), none, h)
-                for seed in _seeds(len(h)):
-                    at, hashes = _hashes(tokens, seed)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array([item] * len(at), type=pa.int64()), pa.array(at)],
-                        ["hash", "item", "offset"])
-
-    return items.select("item", "words").mapInArrow(run, "hash bigint, item bigint, offset bigint")
-
-
-def _filter_words(seeds: DataFrame) -> np.ndarray:
-    """Bitmap with two bits per test hash. Made by bit_or per word, so at most 2^20 words reach the driver."""
-    bits = seeds.select(F.explode(F.array(
-        F.shiftrightunsigned("hash", 64 - FILTER_WORD_BITS - 6),
-        F.col("hash").bitwiseAND((1 << (FILTER_WORD_BITS + 6)) - 1))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-    out = np.zeros(1 << FILTER_WORD_BITS, dtype=np.int64)
-    got = words.toArrow()
-    out[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    def bit(b: np.ndarray) -> np.ndarray:
-        return (words[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+                hashes = np.unique(_windows(words.values.to_numpy().view(np.uint64))[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array([item] * len(hashes), type=pa.int64())], ["hash", "item"])
 
-    some = np.flatnonzero(bit(hashes >> np.uint64(64 - FILTER_WORD_BITS - 6)))
-    return some[bit(hashes[some] & np.uint64((1 << (FILTER_WORD_BITS + 6)) - 1))]
+    return items.select("item", "words").mapInArrow(run, "hash bigint, item bigint")
 
 
 _REGIONS = "start bigint, words array<bigint>, hashes array<bigint>, at array<bigint>"
@@ -134,7 +116,7 @@ def _regions(docs: DataFrame, filter_words: np.ndarray, lengths: list[int], key:
         found = [(np.zeros(0, dtype=np.int64),) * 3]
         for seed in seeds:
             at, hashes = _hashes(tokens, seed)
-            hit = _in_filter(shared.value, hashes)
+            hit = in_filter(shared.value, hashes)
             found.append((at[hit], hashes[hit].view(np.int64), np.full(len(hit), seed.length)))
         at, hashes, length = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.argsort(at, kind="stable")
@@ -170,27 +152,74 @@ def _regions(docs: DataFrame, filter_words: np.ndarray, lengths: list[int], key:
     return rows.mapInArrow(run, f"doc_id {kind}, {_REGIONS}")
 
 
-def _verified(aligned: DataFrame) -> DataFrame:
-    """Alignments with a stretch of MIN_OVERLAP words, or the whole item, of which enough are equal."""
+def _equal_by_shift(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words of a are equal to those of b, for each shift of b from 1 - len(b) to len(a) - 1.
+
+    Places of a word on both sides give their differences; for words with very many, by a transform.
+    """
+    n, m = len(a), len(b)
+    out = np.zeros(n + m - 1, dtype=np.int64)
+    wide = 1 << (n + m - 2).bit_length()
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    common = np.intersect1d(a, b)
+    places = [[np.searchsorted(side[order], common, where) for where in ("left", "right")] for side, order in ((a, by_a), (b, by_b))]
+    for first_a, end_a, first_b, end_b in zip(*places[0], *places[1], strict=True):
+        x, y = by_a[first_a:end_a], by_b[first_b:end_b]
+        if len(x) * len(y) <= 40 * wide:
+            np.add.at(out, (x[:, None] - y + m - 1).ravel(), 1)
+        else:
+            f, g = np.zeros(wide), np.zeros(wide)
+            f[x], g[m - 1 - y] = 1, 1
+            both = np.fft.irfft(np.fft.rfft(f) * np.fft.rfft(g), wide)
+            out += np.rint(both[: n + m - 1]).astype(np.int64)
+    return out
+
+
+def _best_alignment(a: np.ndarray, b: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> int | None:
+    """Most equal words on an alignment of text a and item b that has a passage; None if none has.
+
+    `hashes` and `at` are the windows of the text that may be in the benchmark.
+    """
+    width = min(MIN_OVERLAP, len(b))
+    places, windows = _windows(b.view(np.uint64))
+    order = np.argsort(windows, kind="stable")
+    windows, places = windows[order], places[order]
+    first, end = (np.searchsorted(windows, hashes.view(np.uint64), side) for side in ("left", "right"))
+    n = end - first
+    if n.sum() <= MAX_PAIRS:
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        shifts = np.unique(np.repeat(at, n) - places[inside])
+        if len(shifts) > 8:
+            equal = _equal_by_shift(a, b)
+            shifts = shifts[np.argsort(-equal[shifts + len(b) - 1], kind="stable")]
+    else:
+        equal = _equal_by_shift(a, b)
+        shifts = np.argsort(-equal, kind="stable")
+        shifts = shifts[equal[shifts] * 100 >= width * MIN_EQUAL_PCT] - len(b) + 1
+    best = None
+    for shift in shifts.tolist():
+        lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+        same = np.concatenate([[0], np.cumsum(a[lo + shift: hi + shift] == b[lo:hi])])
+        if len(same) > width and int((same[width:] - same[:-width]).max()) * 100 >= width * MIN_EQUAL_PCT:
+            best = max(best or 0, int(same[-1]))
+            if len(shifts) > 8:  # by equal words, most first
+                break
+    return best
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Pairs of a region and an item with an alignment on which MIN_OVERLAP words, or the whole item, are equal enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, item = batch.column("words"), batch.column("item_words")
-            good, equal = [], []
-            for a, b, shift in zip(text, item, batch.column("shift").to_pylist(), strict=True):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-                same = np.concatenate([[0], np.cumsum(a[lo + shift: hi + shift] == b[lo:hi])])
-                width = min(MIN_OVERLAP, len(b))
-                best = int((same[width:] - same[:-width]).max()) if len(same) > width else 0
-                good.append(best * 100 >= width * MIN_EQUAL_PCT)
-                equal.append(int(same[-1]))
+            lists = [batch.column(c) for c in ("words", "item_words", "hashes", "at")]
+            best = [_best_alignment(*(x.values.to_numpy() for x in row)) for row in zip(*lists, strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(equal, type=pa.int64())],
+                [batch.column("doc_id"), batch.column("item_id"), pa.array(best, type=pa.int64())],
                 ["doc_id", "item_id", "equal_words"])
-            yield out.filter(pa.array(good, type=pa.bool_()))
+            yield out.filter(out.column(2).is_valid())
 
-    kinds = {c: aligned.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
-    return aligned.mapInArrow(
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
+    return pairs.mapInArrow(
         run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, equal_words bigint")
 
 
@@ -209,14 +238,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     items = stage(_items(benchmark, item_key, item_text).withColumn("item", F.monotonically_increasing_id()), "items")
     seeds = stage(_item_seeds(items), "seeds")
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(MIN_OVERLAP))).distinct().collect()]
-    regions = _regions(docs, _filter_words(seeds), sorted(lengths), key, text)
+    regions = _regions(docs, filter_words(seeds), sorted(lengths), key, text)
     regions = stage(regions.withColumn("region", F.monotonically_increasing_id()), "regions")
-    hits = regions.select("region", F.explode(F.arrays_zip("hashes", "at")).alias("_h")).select(
-        "region", F.col("_h.hashes").alias("hash"), F.col("_h.at").alias("at"))
-    aligned = hits.join(seeds, "hash").select("region", "item", (F.col("at") - F.col("offset")).alias("shift")).distinct()
-    both = aligned.join(regions.select("region", "doc_id", "words"), "region").join(
+    hits = regions.select("region", F.explode(F.array_distinct("hashes")).alias("hash"))
+    pairs = hits.join(seeds, "hash").select("region", "item").distinct()
+    both = pairs.join(regions.select("region", "doc_id", "words", "hashes", "at"), "region").join(
         items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    found = _verified(both.select("doc_id", "item_id", "words", "item_words", "shift"))
+    found = _verified(both.select("doc_id", "item_id", "words", "item_words", "hashes", "at"))
     return found.groupBy("doc_id", "item_id").agg(F.max("equal_words").alias("equal_words"))
 
 
@@ -224,15 +252,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no benchmark passage, columns unchanged.
 
     Rows go by id and text: other texts under the id of a leak, or without an id
-    as it, stay. A row without text goes with its id.
+    as it, stay, and so do rows without text.
     """
     own = docs.select(F.struct("doc_id", text_id(F.col("text")).alias("text_id")).alias("row"), "text")
-    leaked = leaks(own, benchmark, key="row").select(
-        F.col("doc_id.doc_id").alias("_leaked"), F.explode(F.array("doc_id.text_id", F.lit(b""))).alias("_leaked_text"))
-    leaked = stage(leaked.distinct(), "leaked")
-    # No hash is empty: that stands for the row without text.
-    return docs.withColumn("_text_id", F.coalesce(text_id(F.col("text")), F.lit(b""))).join(
-        leaked, F.expr("doc_id <=> _leaked AND _text_id = _leaked_text"), "left_anti").drop("_text_id")
+    with only_last(docs.sparkSession):
+        leaked = stage(leaks(own, benchmark, key="row").select("doc_id.doc_id", "doc_id.text_id").distinct(), "leaked")
+    return without_rows(docs, leaked)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

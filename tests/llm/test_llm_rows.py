@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import documents, frame, prose
-from tersefold.llm import chat_format, html_extraction, language_id, quality_classifier, quality_rules, secret_scan
+from tersefold.llm import chat_format, html_blocks, html_extraction, language_id, quality_classifier, quality_rules, secret_scan
 from tersefold.llm.html_blocks import blocks
 from tersefold.llm.html_training import MARK, labelled_pages
 
@@ -193,6 +193,195 @@ def test_self_closed_svg_holds_nothing(icon):
     assert [b.text for b in blocks(f"<p>one</p>{icon}<p>two</p>")] == ["one", "two"]
 
 
+def plain_blocks(page):
+    """Texts and all elements around them by going through the whole stack each time."""
+    hb = html_blocks
+    out, stack, text, links, linked, path = [], [], [], 0, 0, ()
+
+    def flush():
+        nonlocal linked
+        joined = " ".join("".join(text).split())
+        if joined:
+            out.append((joined, path, linked))
+        text.clear()
+        linked = 0
+
+    def say(raw):
+        nonlocal linked, path
+        if raw:
+            if not "".join(text).strip():
+                path = tuple(e for e in stack if e[0] not in hb.INLINE)
+            text.append(raw)
+            linked += len(raw.strip()) * (links > 0)
+
+    at = 0
+    for m in re.finditer(r"<(/?)([a-z0-9]+)([^>]*)>", page):
+        say(page[at: m.start()])
+        at, tag = m.end(), m[2]
+        if tag not in hb.INLINE:
+            flush()
+        scan = range(len(stack) - 1, -1, -1)
+        cut = None
+        if m[1]:
+            for k in scan:
+                if stack[k][0] == tag:
+                    cut = k
+                    break
+                if tag in hb.INLINE and stack[k][0] not in hb.INLINE:
+                    break
+        else:
+            if tag == "br":
+                text.append(" ")
+            for k in scan:
+                if tag in hb.CLOSED_BY.get(stack[k][0], ()):
+                    cut = k
+                    break
+                if stack[k][0] in hb.SCOPES or tag in hb.INLINE:
+                    break
+        if cut is not None:
+            links -= sum(e[0] == "a" for e in stack[cut:])
+            del stack[cut:]
+        if not m[1] and tag not in hb.VOID:
+            stack.append((tag, hb._attr_words(m[3])))
+            links += tag == "a"
+    say(page[at:])
+    flush()
+    return out
+
+
+def test_blocks_equal_a_plain_reading():
+    rng = random.Random(7)
+    tags = "p div b i a li ul td tr table section main h1 br hr nav option span".split()
+    for _ in range(400):
+        page = ""
+        for _ in range(rng.randint(0, 60)):
+            tag, roll = rng.choice(tags[: rng.randint(3, len(tags))]), rng.random()
+            page += f"<{tag}{rng.choice(['', ' class=side', ' id=mainMenu class=x'])}>" if roll < 0.4 else f"</{tag}>" if roll < 0.7 else rng.choice(["x ", " ", "some words"])
+        got = blocks(page)
+        want = plain_blocks(page)
+        assert [(b.text, b.link_chars) for b in got] == [(t, n) for t, _, n in want]
+        for b, (_, path, _) in zip(got, want, strict=True):
+            words = [w for _, ws in path for w in ws]
+            sections = [t for t, _ in path if t in html_blocks.SECTIONS]
+            assert sorted(html_extraction._path_features(b.place)) == sorted([
+                *{f"in {t}" for t, _ in path}, *{f"named {w}" for w in words}, "parent " + (path[-1][0] if path else ""),
+                "sections " + ">".join(sections[-2:]), "innermost " + (sections[-1] if sections else ""),
+                *[f"nearest {w}" for w in next((ws for _, ws in reversed(path) if ws), ())]])
+
+
+@pytest.mark.parametrize("page", [
+    "<p>" + "<b>x</b>" * 40_000, "<div class='a b'>x" * 100_000, "x</i></section></p>" * 100_000, "<b>" * 50_000 + "</i>x<p>y</p>" * 50_000,
+    "<a>x" * 50_000 + "</a>" * 50_000], ids=["inline", "nested", "ends", "open", "links"])
+def test_large_pages_take_linear_time_and_memory(page):
+    import time
+    import tracemalloc
+
+    model = html_extraction.Field({"in div": (0.1, 0.2)}, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
+    start = time.process_time()
+    html_extraction.main_text(model, page)
+    assert time.process_time() - start < 4
+    tracemalloc.start()
+    html_extraction.main_text(model, page[: len(page) // 2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_decoding_and_marginals_equal_all_labelings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in range(1, 7):
+        e, steps, start = rng.normal(size=(1, n, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+        score = {y: start[y[0]] + sum(e[0, t, y[t]] for t in range(n)) + sum(steps[a, b] for a, b in zip(y, y[1:]))
+                 for y in itertools.product((0, 1), repeat=n)}
+        model = html_extraction.Field(
+            {f"length {t + 1}": tuple(e[0, t]) for t in range(n)}, steps.tolist(), start.tolist())
+        page = [html_blocks.Block("x" * (1 << t), None, 0) for t in range(n)]
+        assert tuple(model.decode(page)) == max(score, key=score.get)
+        total = sum(np.exp(s) for s in score.values())
+        node, pair = html_extraction._marginals(e, np.ones((1, n), dtype=bool), steps, start)
+        for t, k in itertools.product(range(n), (0, 1)):
+            assert node[0, t, k] == pytest.approx(sum(np.exp(s) for y, s in score.items() if y[t] == k) / total)
+        for a, b in itertools.product((0, 1), repeat=2):
+            want = sum(np.exp(s) * sum((u, v) == (a, b) for u, v in zip(y, y[1:])) for y, s in score.items()) / total
+            assert pair[a, b] == pytest.approx(want)
+
+
+# Samples.
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """One id, null ids, and one row that is nearly all rows."""
+    rows = [(None, prose(f"n{i}", 30), "en") for i in range(400)] + [(5, prose(f"f{i}", 30), "de") for i in range(400)]
+    rows += [(9, prose("again", 30), "fr")] * 2000 + [(10 + i, prose(f"r{i}", 30), "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    texts, langs = language_id._sample(docs, 20)
+    for lang, n in Counter(langs).items():
+        assert n <= 20 * language_id.WINDOWS
+        # Different documents, as many as there are in the learning part.
+        assert len({t for t, x in zip(texts, langs) if x == lang}) > 10 or lang == "fr"
+    labels = spark.createDataFrame([(5, 1), (9, 0), *[(10 + i, i % 2) for i in range(40)], (None, 1)], "doc_id long, quality int")
+    x, y = quality_classifier._sample(docs, labels, 25)
+    assert len(y) <= 25 and len({tuple(d) for d in x.dense}) > 10
+
+
+def test_gradients_of_the_network_equal_differences():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    layer = lambda: language_id.Direction(*(rng.normal(0, 0.4, shape).astype(np.float64) for shape in (
+        (256, 3 * language_id.HIDDEN), (language_id.HIDDEN, 2 * language_id.HIDDEN), (language_id.HIDDEN,) * 2, (language_id.HIDDEN,))))
+    net = language_id.Network(["a", "b", "c"], layer(), layer(), rng.normal(size=(2 * language_id.HIDDEN, 3)), rng.normal(size=3))
+    x, mask, owner = language_id.segments(pa.array(["ab c1", "bcażz", "cc"]))
+    y = np.array([0, 2, 1])[owner]
+
+    def loss():
+        p = net.positions(x, mask)
+        counted = language_id.LETTER[x] & (mask > 0)
+        return -np.log(np.take_along_axis(p, np.broadcast_to(y[None, :, None], (*x.shape, 1)), 2)[:, :, 0])[counted].mean()
+
+    parameters = [*net.forward.parameters(), *net.backward.parameters(), net.output, net.bias]
+    for p, grad in zip(parameters, language_id._gradients(net, x, mask, y), strict=True):
+        for _ in range(6):
+            at = (ord(rng.choice(list("abc"))), rng.integers(p.shape[1])) if p.shape[0] == 256 else tuple(rng.integers(n) for n in p.shape)
+            kept, step = p[at], 1e-2
+            p[at] = kept + step
+            high = loss()
+            p[at] = kept - step
+            low = loss()
+            p[at] = kept
+            assert grad[at] == pytest.approx((high - low) / (2 * step), abs=2e-3)
+
+
+def test_network_equals_a_run_byte_by_byte():
+    import numpy as np
+    import pyarrow as pa
+
+    net = language_id.fit(["the house and the river", "der fluss und das haus"], ["en", "de"])
+    text = "the fluß and haus"
+    x, mask, _ = language_id.segments(pa.array([text]))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, size = language_id.HIDDEN, len(text.encode())
+
+    def states(d, data):
+        s, out = np.zeros(h), []
+        for byte in data:
+            rz = sig(s @ d.gates + d.inputs[byte][: 2 * h])
+            c = np.tanh(d.inputs[byte][2 * h:] + rz[:h] * (s @ d.candidate + d.bias))
+            s = c + rz[h:] * (s - c)
+            out.append(s)
+        return out
+
+    data = text.encode()
+    both = np.concatenate([states(net.forward, data), states(net.backward, data[::-1])[::-1]], axis=1)
+    want = np.exp(both @ net.output + net.bias)
+    want /= want.sum(axis=1, keepdims=True)
+    assert net.positions(x, mask)[:size, 0] == pytest.approx(want, abs=1e-4)
+
+
 # Classifier.
 
 def test_quality_on_held_out_documents(spark):

@@ -3,12 +3,15 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import documents, frame, prose
+from tersefold.llm import decontamination, near_dup
+from tersefold.llm.common import text_id, without_rows
 from tersefold.llm.components import components
 from tersefold.llm.decontamination import leaks, without_leaks
 from tersefold.llm.near_dup import JoinPlan, keep_one, near_duplicates, similar_links
@@ -150,7 +153,8 @@ def test_leaks_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, prose(4)), (2, prose("absent", 50))], "item_id long, text string")
     got = sorted((str(r.doc_id), r.item_id) for r in leaks(docs, bench).collect())
     assert got == [("4", 1), ("None", 1)]
-    assert without_leaks(docs, bench).count() == docs.count() - 3
+    # The row that has neither id nor text holds no passage.
+    assert without_leaks(docs, bench).count() == docs.count() - 2
     assert leaks(docs.limit(0), bench).count() == 0
     assert leaks(docs, bench.limit(0)).count() == 0
 
@@ -197,6 +201,111 @@ def test_clean_rows_stay_beside_copies_and_leaks_of_their_id(spark):
     assert order(got.collect()) == sorted((r for k, r in enumerate(rows) if k not in (6, 7)), key=str)
 
 
+def test_rows_without_ids_cost_no_more_and_one_id_may_be_all_rows(spark):
+    """Texts are looked up by id and text: representatives do not meet all rows of their id."""
+    rng = random.Random(12)
+    texts = [prose(f"n{i // 4}", 60) if i % 4 == 0 else edited(prose(f"n{i // 4}", 60), rng, 1) for i in range(240)] + [prose("n0", 60)] * 40
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+        got = keep_one(docs, JoinPlan(percent=70)).collect()
+        assert len(near_duplicates(docs).collect()) == len(texts)
+        # Copies of a null id have no smaller id than their own, so all stay; equal ids are one document.
+        assert len(got) == len(texts)
+    plan = JoinPlan()
+    prints = near_dup.stage(near_dup.fingerprints(docs), "prints")
+    first = prints.dropDuplicates(["fp1"]).select(
+        F.monotonically_increasing_id().alias("node"), F.lit(0).cast("long").alias("cluster"), F.lit(0).alias("block"),
+        F.lit(1).alias("blocks"), F.lit(False).alias("leads"), F.struct("doc_id", "text_id").alias("first"))
+    first = near_dup.stage(first, "wanted")
+    sets = near_dup._with_sets(docs, first, plan, first.count(), "doc_id", "text")
+    n = first.count()
+    assert n <= sets.count() <= n + 3 * 4 and sets.select("node").distinct().count() == n
+
+
+def test_unrelated_documents_share_no_node(spark):
+    """Roots have 32 bits, so what shares nothing meets nowhere."""
+    docs = spark.createDataFrame([(i, " ".join(f"{i}-{k}" for k in range(12))) for i in range(3000)], "doc_id long, text string")
+    prints = near_dup.stage(near_dup.fingerprints(docs), "prints")
+    reps = near_dup.stage(prints.withColumnsRenamed({"n_shingles": "n"}).withColumn("node", F.monotonically_increasing_id()), "reps")
+    roots = F.array(*[F.xxhash64(F.lit(t), F.substring("roots", 4 * t + 1, 4)) for t in range(20)])
+    met = reps.select(F.explode(roots).alias("path")).groupBy("path").count().filter("count > 1")
+    assert met.count() <= 3
+
+
+def test_staged_tables_go(spark, tmp_path):
+    from tersefold import session
+
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    with session.collected() as paths:
+        kept = keep_one(docs)
+        n = kept.count()
+    import os
+
+    assert sum(os.path.exists(p) for p in paths) == 1 and n > 0
+    with session.collected() as paths:
+        found = near_duplicates(docs)
+        assert found.count() == len(rows)
+    assert sum(os.path.exists(p) for p in paths) == 2
+
+
+def test_rows_that_go_beyond_the_broadcast_bound(spark):
+    rows = [(i % 50 if i % 9 else None, f"text {i % 70}" if i % 11 else None, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_id string").withColumn("_maybe", F.lit(1))
+    gone = docs.filter("doc_id % 3 = 0 OR (doc_id IS NULL AND text IS NULL)").select(
+        "doc_id", text_id(F.col("text")).alias("text_id")).distinct()
+    want = {(i, t) for i, t, _ in rows if (i is not None and i % 3 == 0) or (i is None and t is None)}
+    for bound in (300_000, 0):
+        left = without_rows(docs, near_dup.stage(gone, "gone"), bound)
+        assert left.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+            ((i, t) for i, t, _ in rows if (i, t) not in want), key=str)
+
+
+# Words that repeat.
+
+def plain_best(a, b):
+    """Most equal words of an alignment with a passage, trying every shift."""
+    width, best = min(13, len(b)), None
+    for shift in range(1 - len(b), len(a)):
+        same = [0 <= i + shift < len(a) and a[i + shift] == b[i] for i in range(len(b))]
+        inside = [i for i in range(len(b)) if 0 <= i + shift < len(a)]
+        if any(100 * sum(same[i:i + width]) >= 80 * width for i in inside if i + width - 1 in inside):
+            best = max(best or 0, sum(same))
+    return best
+
+
+def aligned(a, b):
+    a, b = (np.array(x, dtype=np.int64) for x in (a, b))
+    none = np.zeros(0, dtype=np.int64)
+    tokens = decontamination.Tokens(none, none, none, none, np.zeros(len(a), dtype=np.int64), none, a.view(np.uint64))
+    found = [decontamination._hashes(tokens, s) for s in decontamination._seeds(len(b))]
+    at, hashes = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return decontamination._best_alignment(a, b, hashes.view(np.int64), at)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_best_alignment_equals_all_shifts(monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_PAIRS", most)
+    rng = random.Random(4)
+    for _ in range(300):
+        words = rng.randint(1, 5)
+        b = [rng.randrange(words) for _ in range(rng.randint(7, 40))]
+        a = [rng.randrange(words) for _ in range(rng.randint(0, 30))] + [x if rng.random() < 0.9 else 9 for x in b[rng.randint(0, 5):]]
+        a += [rng.randrange(words) for _ in range(rng.randint(0, 10))]
+        assert aligned(a, b) == plain_best(a, b)
+
+
+def test_one_word_again_and_again(spark):
+    start = time.time()
+    assert aligned([5] * 100_000, [5] * 100_000) == 100_000
+    assert aligned([5, 6] * 50_000, [6, 5] * 40_000) == 80_000
+    docs = spark.createDataFrame([(1, "word " * 100_000), (2, prose("none", 300))], "doc_id long, text string")
+    bench = spark.createDataFrame([(3, "Word, " * 100_000)], "item_id long, text string")
+    assert [tuple(r) for r in leaks(docs, bench).collect()] == [(1, 3, 100_000)]
+    assert time.time() - start < 60
+
+
 @pytest.mark.parametrize("percent,pct", [(50, 100), (70, 43), (80, 25), (85, 18), (95, 6)])
 def test_similar_pairs_meet_in_one_child_a_node(percent, pct):
     plan = JoinPlan(percent=percent)
