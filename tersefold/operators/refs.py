@@ -7,8 +7,9 @@ could name one are cut out and joined to it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +58,29 @@ def path_notes(texts: DataFrame, keys: Sequence[str], known: DataFrame,
     """keys and `notes`: the known paths a text may name, by path, with the seq that read them.
 
     `texts` has keys, which include scope, and `words` of mention_words; it is
-    unique by keys. A known path may be any leading part of a word, so the parts
-    of all lengths that occur among the known paths are looked up; where the
-    known paths are few, parts that are none of them go before anything is
-    written.
+    unique by keys. A known path may be any leading part of a word. With few known
+    paths the parts of all lengths that occur among them are looked up; with
+    many, words and paths are sorted together, where a path stands in front of all it begins.
     """
     known = stage(known, "known")
-    # Distinct lengths only: never more numbers than the longest path has characters.
+    n_known = known.count()
+    if n_known <= FEW_PATHS:
+        found = _by_lengths(texts, keys, known)
+    else:
+        # The outer form, as the plain one would search every text once more to see if it has mentions.
+        mentions = texts.select(*keys, F.explode_outer("words").alias("_word")).filter(F.col("_word").isNotNull())
+        mentions = stage(mentions.select(*keys, "_word.word", "_word.colon"), "mentions")
+        named = ["scope", "word", "colon"]
+        paths = _by_order(mentions.select(*named).distinct(), known)
+        paths = paths.groupBy(*named).agg(F.collect_list(F.struct("path", "added_seq")).alias("_paths"))
+        found = join_unique(mentions, paths, named, keys[-1], mentions.count(), "inner", limits).select(
+            *keys, F.explode("_paths").alias("_path")).select(*keys, "_path.*").distinct()
+    return found.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("path", "added_seq"))).alias("notes"))
+
+
+def _by_lengths(texts: DataFrame, keys: Sequence[str], known: DataFrame) -> DataFrame:
+    # Distinct lengths only: never more numbers than there are paths.
     lengths = sorted(r[0] for r in known.select(F.length("path")).distinct().collect())
     lengths = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
 
@@ -73,16 +90,51 @@ def path_notes(texts: DataFrame, keys: Sequence[str], known: DataFrame,
             n <= F.length(word))
         return F.transform(F.filter(lengths, fits), lambda n: F.substring(word, F.lit(1), n))
 
-    # The outer form, as the plain one would search every text once more to see if it has mentions.
     named = texts.select(*keys, F.explode_outer(F.array_distinct(F.flatten(F.transform("words", parts)))).alias("path"))
-    named = named.filter(F.col("path").isNotNull())
-    if known.count() <= FEW_PATHS:
-        named = named.join(F.broadcast(known.select("scope", "path")), ["scope", "path"], "left_semi")
-    named = stage(named.select(*keys, "path"), "mentions")
-    total = named.count()
-    found = join_unique(named, known, ["scope", "path"], keys[-1], total, "inner", limits)
-    return found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("path", "added_seq"))).alias("notes"))
+    return named.filter(F.col("path").isNotNull()).join(F.broadcast(known), ["scope", "path"])
+
+
+def _by_order(words: DataFrame, known: DataFrame) -> DataFrame:
+    """scope, word, colon, path and added_seq of every word and known path that it begins with.
+
+    Both are sorted together in ranges. What begins a string stands in front of
+    it, with nothing between that it does not begin, too; so one pass with the
+    paths that the current string begins with finds all. The paths that begin
+    the first string of a range are looked up for it: a few rows per range.
+    """
+    text = words.select("scope", F.col("word").alias("text"), "colon", F.lit(None).cast("long").alias("added_seq"))
+    rows = text.unionByName(known.select("scope", F.col("path").alias("text"), F.lit(None).cast("boolean").alias("colon"), "added_seq"))
+    ranged = stage(rows.repartitionByRange("scope", "text").withColumn("_range", F.spark_partition_id()), "ranges")
+    first = ranged.groupBy("_range").agg(F.min(F.struct("scope", "text")).alias("_first"))
+    parts = first.select("_range", "_first.scope", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("_first.text")), lambda n: F.substring("_first.text", F.lit(1), n))).alias("path"))
+    open_ = parts.join(known, ["scope", "path"]).select(
+        "scope", F.col("path").alias("text"), F.lit(None).cast("boolean").alias("colon"), "added_seq", "_range")
+    order = ["_range", "scope", "text", F.col("colon").asc_nulls_first()]
+    ordered = ranged.unionByName(open_).repartition("_range").sortWithinPartitions(*order).select(
+        "_range", "scope", "text", "colon", "added_seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, begun = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for range_, scope, text, colon, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if where != (range_, scope):
+                    where, begun = (range_, scope), []
+                while begun and not text.startswith(begun[-1][0]):
+                    begun.pop()
+                if colon is None:
+                    if not begun or begun[-1][0] != text:
+                        begun.append((text, seq))
+                    continue
+                out += [(scope, text, colon, path, added) for path, added in begun
+                        if not colon or text.startswith(":", len(path))]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)],
+                ["scope", "word", "colon", "path", "added_seq"])
+
+    return ordered.mapInArrow(run, "scope string, word string, colon boolean, path string, added_seq bigint")
 
 
 def apply_notes(text: Column, notes: Column, seq: Column) -> Column:

@@ -363,3 +363,26 @@ def test_odd_texts_never_fail_and_no_row_is_lost(spark):
     each = {r.output_id: r for r in compact_text(outputs).collect()}
     assert sorted(each) == sorted(got)
     assert all((each[k].result, each[k].outcome) == (None, "empty") for k, r in enumerate(rows) if r[5] is None)
+
+
+def test_many_known_paths_are_found_in_order(spark, monkeypatch):
+    """Paths that begin others, in ranges that split them, give what looking up every length gives."""
+    rng = random.Random(8)
+    piece = lambda: rng.choice(["a", "b.", "/", "é", ":", "x.py", "漢", "a.b/"])
+    paths = sorted({"".join(piece() for _ in range(rng.randint(1, 7))) for _ in range(400)})
+    known = [(rng.choice("st"), p, rng.randrange(50)) for p in paths] + [("s", "a", 3), ("t", "a", 9)]
+    known = list({(s, p): (s, p, q) for s, p, q in known}.values())
+    texts = []
+    for i in range(300):
+        words = [rng.choice(paths) + "".join(piece() for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 4))]
+        texts.append((i, rng.randrange(60), rng.choice("st"), "\n".join(rng.choice(["--> ", "at ", "at it --> "]) + w + rng.choice(["", ":", ":3"]) for w in words)))
+    outputs = spark.createDataFrame(texts, "output_id long, seq long, scope string, text string")
+    table_ = spark.createDataFrame(known, "scope string, path string, added_seq long")
+    few = {r.output_id: r.text for r in refs.annotate(outputs, table_).collect()}
+    monkeypatch.setattr(refs, "FEW_PATHS", 0)
+    staged = []
+    monkeypatch.setattr(refs, "stage", lambda df, label: staged.append((label, stage(df, label))) or staged[-1][1])
+    many = {r.output_id: r.text for r in refs.annotate(outputs, table_).collect()}
+    assert many == few and sum("[in context]" in t for t in few.values()) > 100
+    sizes = {label: df.count() for label, df in staged}
+    assert sizes["ranges"] <= sizes["mentions"] + len(known)
