@@ -27,6 +27,8 @@ LINE = rf"{NO_LINE_END}*+(?:\r\n|{LINE_END})|{NO_LINE_END}++"
 
 # Terminal escapes: colour and cursor codes, OSC up to BEL, charset switches.
 ESC = "\x1b"
+OSC = "\x1b]"
+BEL = "\x07"
 ANSI = r"\x1b\[[0-9;]*[mGKHF]|\x1b\][^\x07]*\x07|\x1b[()][AB012]"
 
 # Likely secrets.
