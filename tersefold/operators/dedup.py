@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .skew import DEFAULT_LIMITS, SkewLimits, join_unique
 
 ANY_EPOCH = -1
+# Characters of a reference token.
+REF_LENGTH = 22
 
 
 def fingerprint(text: Column) -> Column:

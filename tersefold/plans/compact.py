@@ -1,7 +1,7 @@
 """The whole compaction of a table of outputs.
 
-outputs: output_id, ts, seq, scope, cmd, text. output_id is unique; seq is the
-order of the rows and unique in a scope; scope is not null.
+outputs: output_id, ts, seq, scope, cmd, text. output_id is unique and not null; seq
+is the order of the rows and unique in a scope; scope is not null.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from ..functions.text import (
     collapse_blank_lines, is_blank, other_line_ends, strip_ansi, token_estimate, with_secret,
 )
 from ..operators import folds_doc
-from ..operators.dedup import fingerprint, first_stored, mark_refs, ref_token, short_ref
+from ..operators.dedup import REF_LENGTH, fingerprint, first_stored, mark_refs, ref_token, short_ref
 from ..operators.epochs import with_epoch
 from ..operators.refs import apply_notes, mention_words, mentions_path, path_notes
-from ..operators.skew import DEFAULT_LIMITS, SkewLimits, heavy_keys, join_unique
+from ..operators.skew import DEFAULT_LIMITS, SkewLimits, join_unique
 from ..session import collected, remove, stage
 
+# Ids and fingerprints of so many texts, of about 100 bytes each, are sent to all tasks.
+BROADCAST_TEXTS = 300_000
 COMPACTED = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "is_secret", "fp",
              "result", "outcome", "orig_tokens", "comp_tokens"]
 
@@ -85,25 +87,21 @@ def compact_text(outputs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Compaction:
-    """compacted: one row per output; cache_entries: what a cache gains, to be merged into it.
+    """compacted: one row per output; cache_entries: what a cache gains, to be merged into it; log: tokens of each output.
 
-    Both read tables that were staged for them; `close` removes those, when
+    All read tables that were staged for them; `close` removes those, when
     what was wanted has been written. A text with a secret is in none of them.
+    The log is made from lengths and reads texts only where notes were added.
     """
 
     compacted: DataFrame
     cache_entries: DataFrame
+    log: DataFrame
     staged: list[str] = field(default_factory=list)
 
     def close(self) -> None:
         remove(self.compacted.sparkSession, self.staged)
 
-    @property
-    def log(self) -> DataFrame:
-        return self.compacted.select(
-            "ts", "scope", "cmd", F.col("orig_tokens").alias("original_tokens"),
-            F.col("comp_tokens").alias("compressed_tokens"))
-
 
 def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFrame | None = None,
             cache: DataFrame | None = None, limits: SkewLimits = DEFAULT_LIMITS) -> Compaction:
@@ -117,12 +115,12 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     rows to each other runs on the keys.
     """
     with collected() as staged:
-        done, entries = _compact(outputs, control, known, cache, limits)
-    return Compaction(done, entries, staged)
+        done, entries, log = _compact(outputs, control, known, cache, limits)
+    return Compaction(done, entries, log, staged)
 
 
 def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | None, cache: DataFrame | None,
-             limits: SkewLimits) -> tuple[DataFrame, DataFrame]:
+             limits: SkewLimits) -> tuple[DataFrame, DataFrame, DataFrame]:
     prepared = prepare(outputs)
     key_cols = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "raw_len"]
     rows = stage(with_epoch(prepared.select(
@@ -133,7 +131,8 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
     blank = rows.filter(F.col("fp").isNull())
     rows = rows.filter(F.col("fp").isNotNull())
 
-    folded = stage(_fold_distinct(prepared, rows, total, limits), "folded")
+    folded = stage(_fold_distinct(prepared, rows, total), "folded")
+    secret_texts, mentions = (bool(x) for x in folded.agg(F.max("is_secret"), F.max(F.size("words") > 0)).first())
     storable = folded.filter(F.col("shrinks") & ~F.col("is_secret")).select("fp", "family")
     cached = None
     if cache is not None:
@@ -147,7 +146,7 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
     full = marked.filter(~F.col("is_ref"))
 
     noted = full
-    if known is None:
+    if known is None or not mentions:
         noted = noted.withColumn("notes", F.lit(None).cast("array<struct<path:string,added_seq:bigint>>"))
     else:
         words = folded.filter(F.size("words") > 0).select("fp", "family", "words")
@@ -158,7 +157,7 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
     texts = folded.filter(~F.col("is_secret")).select("fp", "family", "is_secret", "shrinks", "body", "plain")
     # Every row gets its text here, so a key weighs what its texts do.
     done = join_unique(noted, texts, ["fp", "family"], "seq", chars, "inner", limits, counted=full, chars="raw_len")
-    if not folded.filter("is_secret").isEmpty():
+    if secret_texts:
         # Texts with secrets are staged nowhere; they are read and folded again where they are needed.
         secret = folded.filter("is_secret").select("fp", "family")
         secret = join_unique(noted, secret, ["fp", "family"], "seq", total, "left_semi", limits, counted=full)
@@ -168,6 +167,12 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
     done = done.withColumn("_noted", apply_notes(F.col("body"), F.col("notes"), F.col("seq")))
     # Notes may make a text longer than it was; then it stays as it was.
     outgrown = F.col("notes").isNotNull() & (F.length("_noted") >= F.length("plain"))
+    # What is not noted is as long as its body, which is known.
+    plain = join_unique(noted.filter(F.col("notes").isNull()), folded.select("fp", "family", "body_len"), ["fp", "family"],
+                        "seq", total, "inner", limits, counted=full)
+    log = _tokens(plain, F.col("body_len")).unionByName(_tokens(done.filter(F.col("notes").isNotNull()), F.length(
+        F.when(outgrown, F.col("plain")).otherwise(F.col("_noted"))))).unionByName(
+        _tokens(marked.filter("is_ref"), F.lit(REF_LENGTH))).unionByName(_tokens(blank, F.col("raw_len")))
     done = _finish(
         done, F.when(outgrown, F.col("plain")).otherwise(F.col("_noted")), F.col("is_secret"),
         F.when(F.col("shrinks") & ~outgrown, "compressed").otherwise("unchanged"))
@@ -184,29 +189,25 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         token_estimate(F.col("stripped_len")).alias("original_tokens"),
         token_estimate(F.length("body")).alias("compressed_tokens"),
         "last_storable_seq", "created_at")
-    return done.unionByName(refs).unionByName(empty), entries
+    return done.unionByName(refs).unionByName(empty), entries, log
 
 
-def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int, limits: SkewLimits) -> DataFrame:
+def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int) -> DataFrame:
     """One row per (fp, family) with the folded text.
 
-    Copies of a text in one task meet before the shuffle. Of a text with very
-    many copies only the one in the row with the lowest id is shuffled at all.
+    Of all copies the row with the lowest id is folded; that is found on keys alone, so no text is
+    sorted or grouped, and with few texts none is shuffled.
     """
-    texts = prepared.filter(~F.col("blank")).select(
-        "output_id", fingerprint(F.col("stripped")).alias("fp"), "family", "stripped")
-    heavy = heavy_keys(rows, ["fp", "family"], total, limits)
-    if heavy is not None:
-        keep = (
-            rows.join(F.broadcast(heavy), ["fp", "family"], "left_semi")
-            .groupBy("fp", "family").agg(F.min("output_id").alias("_keep"))
-        )
-        texts = texts.join(F.broadcast(keep), ["fp", "family"], "left").filter(
-            F.col("_keep").isNull() | (F.col("_keep") == F.col("output_id")))
-    distinct = texts.groupBy("fp", "family").agg(F.any_value("stripped").alias("stripped"))
+    keep = rows.groupBy("fp", "family").agg(F.min("output_id").alias("output_id")).select("output_id", "fp")
+    few = total <= BROADCAST_TEXTS
+    if not few:
+        keep = stage(keep, "distinct")
+        few = keep.count() <= BROADCAST_TEXTS
+    distinct = prepared.filter(~F.col("blank")).select("output_id", "family", "stripped").join(
+        F.broadcast(keep) if few else keep.hint("shuffle_hash"), "output_id")
     told = ~F.col("is_secret")
     return fold_guarded(distinct).select(
-        "fp", "family", "is_secret", "shrinks", F.length("stripped").alias("stripped_len"),
+        "fp", "family", "is_secret", "shrinks", F.length("stripped").alias("stripped_len"), F.length("body").alias("body_len"),
         F.when(told, F.col("body")).alias("body"), F.when(told, _plain()).alias("plain"),
         F.when(F.col("shrinks") & mentions_path(F.col("body")), mention_words(F.col("body"))).alias("words"))
 
@@ -216,6 +217,11 @@ def _plain() -> Column:
     return F.when(F.col("shrinks") & mentions_path(F.col("body")), F.col("stripped"))
 
 
+def _tokens(rows: DataFrame, result_len: Column) -> DataFrame:
+    return rows.select("ts", "scope", "cmd", token_estimate(F.col("raw_len")).alias("original_tokens"),
+                       token_estimate(F.coalesce(result_len, F.lit(0))).alias("compressed_tokens"))
+
+
 def _finish(rows: DataFrame, result, is_secret, outcome) -> DataFrame:
     return rows.select(
         *COMPACTED[:7], is_secret.alias("is_secret"), "fp", result.alias("result"),

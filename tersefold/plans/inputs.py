@@ -16,6 +16,12 @@ from ..session import new_dir
 START = 1_704_067_200
 PASS = 1_000_000_000_000
 LINES_PER_OUTPUT = 200
+# Parts in which outputs arrive, and how far they are apart.
+PARTS, PART_DAYS = 5, 10
+# Log entries whose tokens are a multiple of this come last.
+LATE_OF = 40
+# Ids in a row that share a text file.
+LOG_DOCUMENTS, CONVERSATIONS = 2000, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +52,10 @@ def arriving(rows: DataFrame, parts: list[Column]) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
 
 
-def quarters(column: str, rows: DataFrame) -> list[Column]:
-    """Four parts by a numeric column, of about the same range each."""
+def quarter(column: str, rows: DataFrame) -> Column:
+    """0 to 3: the part of the column's range that a row is in, of about the same length each; rows without value are in the first."""
     low, high = rows.agg(F.min(column), F.max(column)).first()
-    quarter = F.least(F.expr(f"({column} - {low or 0}) * 4 div {(high or 0) - (low or 0) + 1}"), F.lit(3))
-    return [quarter == k for k in range(4)]
+    return F.coalesce(F.least(F.expr(f"({column} - {low or 0}) * 4 div {(high or 0) - (low or 0) + 1}"), F.lit(3)), F.lit(0))
 
 
 def _s(*parts) -> Column:
@@ -108,6 +113,20 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs_of(text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars"))
 
 
+def parted_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs dealt to PARTS parts of an hour, PART_DAYS apart, so a part is as long whatever the table's size.
+
+    The readings of a document go to parts of their own; some that belong to a
+    part come with the one two parts later.
+    """
+    d = F.expr("output_id div 2")
+    part = F.expr(f"(output_id div 2) div if(output_id % 2 = 0, 7, 5) % {PARTS}")
+    rows = outputs(spark, sf_dir).withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
+    late = (d % 11 == 3) & (F.col("part") < PARTS - 2)
+    return rows.withColumn("ts_s", START + 86_400 * PART_DAYS * F.col("part") + d % 3600).withColumn(
+        "ts", F.timestamp_seconds("ts_s")).withColumn("comes", F.col("part") + F.when(late, 2).otherwise(0))
+
+
 # Control events lie between rows of the second reading.
 CONTROL = [(100, "compact"), (150, "resume"), (180, "compact"), (220, "resume"), (700, "compact")]
 
@@ -185,6 +204,62 @@ def json_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
            ', "bio": null, "rate": 1.50}, "none": [null]}').alias("text"))
 
 
+def line_end_text(doc_id: Column, text: Column) -> Column:
+    """The text with carriage returns, other line ends, empty lines and an escape behind a carriage return."""
+    words = F.replace(text, F.lit(" "), F.lit("\r"))
+    return _s("step 1\r\n\n\n\n", words, "\r\x1b[0m\n\x0b\n\n\n\x85\n", F.replace(text, F.lit(". "), F.lit(".\u2028")),
+              "\r\r\r\r", doc_id.cast("string"))
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of large text files with all kinds of line ends: one of every LOG_DOCUMENTS ids in a row, in order."""
+    d = F.col("doc_id")
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.expr(f"doc_id div {LOG_DOCUMENTS}").alias("g"), "doc_id", line_end_text(d, F.col("text")).alias("value"))
+    path = new_dir(spark, "logs")
+    (docs.repartition("g").sortWithinPartitions("g", "doc_id").select("g", "value")
+     .write.partitionBy("g").option("lineSep", "\x1e").text(path))
+    return path
+
+
+def turn_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of text files with the turns of every CONVERSATIONS conversations in a row."""
+    turns = text_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
+        F.expr(f"conv_id div {CONVERSATIONS}").alias("g"), "conv_id", "turn", F.col("text").alias("value"))
+    path = new_dir(spark, "texts")
+    (turns.repartition("g").sortWithinPartitions("g", "conv_id", "turn", "value").select("g", "value")
+     .write.partitionBy("g").text(path))
+    return path
+
+
+def over_lines_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a text whose escapes, JSON or line ends do not keep to lines."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text")
+    d, text = F.col("doc_id"), F.col("text")
+    spread = F.replace(text, F.lit(" "), F.lit("\n"))
+    escaped = F.replace(F.replace(spread, F.lit("\nthe\n"), F.lit("\n\x1b]0;the\n")), F.lit(".\n"), F.lit(".\x07\n"))
+    return docs.select(d.alias("output_id"), F.lit("curl -s host").alias("cmd"), (
+        F.when(d % 5 == 0, _s('\n{\n  "id": ', d.cast("string"), ',\n  "note": null,\n  "tags": [\n    null,\n    "x"\n  ],\n  "text": ',
+                              _json_string(text), _repeat(",\n  \"gone\": null", d % 200), "\n}\n\n"))
+        .when(d % 5 == 1, _s("a\x1b[32m\x1b]8;;", escaped, "\x07 end\n"))
+        .when(d % 5 == 2, _s(escaped, "\n\x1b]open\x1b[0m\nrest\n\n\n\n"))
+        .when(d % 5 == 3, line_end_text(d, text))
+        .otherwise(_s(spread, "\x1b]0;a\nb\x07", _repeat("\nsame\x1b]\n\x07", d % 9), "\n"))).alias("text"))
+
+
+def odd_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs without text or command, blank ones, JSON that breaks off, escapes that end nowhere, and lone line ends."""
+    d, text = F.col("doc_id"), F.col("text")
+    return text_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        d.alias("output_id"), F.lit(None).cast("string").alias("cmd"), (
+            F.when(d % 8 == 0, F.lit(None).cast("string")).when(d % 8 == 1, "").when(d % 8 == 2, " \n\t\r\n")
+            .when(d % 8 == 3, _s('{"a": null, "b": ', _json_string(text)))
+            .when(d % 8 == 4, _s("\x1b[\x1b]0;", text, "\x1b\n\x1b(\n\n\n\n"))
+            .when(d % 8 == 5, _s(_repeat("[", d % 50), text, _repeat("\n'\"", d % 30)))
+            .when(d % 8 == 6, _s("\r\r\r\r", F.replace(text, F.lit(" "), F.lit("\n\r"))))
+            .otherwise(_s("[null, ", _json_string(text), ", null] trailing"))).alias("text"))
+
+
 def long_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs around the line limit, one per customer."""
     c = F.col("c_custkey")

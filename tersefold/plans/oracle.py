@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .inputs import COMMANDS, CONTROL, LINES_PER_OUTPUT, OWN_NAMES, PASS, START, WRAP_MARKER
+from .inputs import (
+    COMMANDS, CONTROL, CONVERSATIONS, LATE_OF, LINES_PER_OUTPUT, LOG_DOCUMENTS, OWN_NAMES, PARTS, PASS, START, WRAP_MARKER,
+)
 
 NL = "chr(10)"
 
@@ -79,6 +81,37 @@ FROM (SELECT conv_id AS output_id, turn, unnest(p) AS piece, generate_subscripts
 WHERE i < n OR piece <> ''
 """
 
+SPREAD = f"replace(text, ' ', {NL})"
+ESCAPED = (f"replace(replace({SPREAD}, {NL} || 'the' || {NL}, {NL} || chr(27) || ']0;the' || {NL}), "
+           f"'.' || {NL}, '.' || chr(7) || {NL})")
+LINE_END_TEXT = (
+    f"'step 1' || chr(13) || {NL} || {NL} || {NL} || {NL} || replace(text, ' ', chr(13)) || chr(13) || chr(27) || '[0m' || {NL} "
+    f"|| chr(11) || {NL} || {NL} || {NL} || chr(133) || {NL} || replace(text, '. ', '.' || chr(8232)) || repeat(chr(13), 4) || doc_id")
+OVER_LINES = f"""
+SELECT doc_id AS output_id, CASE doc_id % 5
+    WHEN 0 THEN {NL} || '{{' || {NL} || '  "id": ' || doc_id || ',' || {NL} || '  "note": null,' || {NL} || '  "tags": [' || {NL}
+      || '    null,' || {NL} || '    "x"' || {NL} || '  ],' || {NL} || '  "text": ' || replace(to_json(text)::VARCHAR, 'é', '\\u00e9')
+      || repeat(',' || {NL} || '  "gone": null', CAST(doc_id % 200 AS INT)) || {NL} || '}}' || {NL} || {NL}
+    WHEN 1 THEN 'a' || chr(27) || '[32m' || chr(27) || ']8;;' || {ESCAPED} || chr(7) || ' end' || {NL}
+    WHEN 2 THEN {ESCAPED} || {NL} || chr(27) || ']open' || chr(27) || '[0m' || {NL} || 'rest' || {NL} || {NL} || {NL} || {NL}
+    WHEN 3 THEN {LINE_END_TEXT}
+    ELSE {SPREAD} || chr(27) || ']0;a' || {NL} || 'b' || chr(7) || repeat({NL} || 'same' || chr(27) || ']' || {NL} || chr(7), CAST(doc_id % 9 AS INT))
+      || {NL} END AS text,
+  CASE WHEN doc_id % 5 = 0 THEN '{{"id":' || doc_id || ',"tags":["x"],"text":' || to_json(text)::VARCHAR || '}}' || {NL} END AS expected_json
+FROM documents
+"""
+
+ODD = f"""
+SELECT doc_id AS output_id, NULL AS expected_json, CASE doc_id % 8
+    WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || {NL} || chr(9) || chr(13) || {NL}
+    WHEN 3 THEN '{{"a": null, "b": ' || replace(to_json(text)::VARCHAR, 'é', '\\u00e9')
+    WHEN 4 THEN chr(27) || '[' || chr(27) || ']0;' || text || chr(27) || {NL} || chr(27) || '(' || repeat({NL}, 4)
+    WHEN 5 THEN repeat('[', CAST(doc_id % 50 AS INT)) || text || repeat({NL} || chr(39) || '"', CAST(doc_id % 30 AS INT))
+    WHEN 6 THEN repeat(chr(13), 4) || replace(text, ' ', {NL} || chr(13))
+    ELSE '[null, ' || replace(to_json(text)::VARCHAR, 'é', '\\u00e9') || ', null] trailing' END AS text
+FROM documents
+"""
+
 _case = " ".join(f"WHEN {i} THEN {_q(c)}" for i, (_, c) in enumerate(COMMANDS))
 _tool = " ".join(f"WHEN {i} THEN {_q(t)}" for i, (t, _) in enumerate(COMMANDS))
 COMMANDS_SQL = f"""
@@ -182,6 +215,48 @@ CAST(coalesce(sum(compressed_tokens), 0) AS BIGINT) AS compressed_tokens,
 CAST(coalesce(sum(original_tokens), 0) - coalesce(sum(compressed_tokens), 0) AS BIGINT) AS tokens_saved,
 CAST({_pct('coalesce(sum(original_tokens), 0)', 'coalesce(sum(compressed_tokens), 0)')} AS DOUBLE) AS reduction_pct"""
 
+_END = r"[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+_NO_END = _END.replace("[", "[^", 1)
+ANY_LINES = f"'{_NO_END}*(?:\\r\\n|{_END})|{_NO_END}+'"
+
+
+def _any_lines_of(source: str, text: str, keys: str) -> str:
+    """Lines by every line end, with theirs."""
+    return f"""SELECT {keys}, unnest(p) AS line, generate_subscripts(p, 1) AS i
+FROM (SELECT {keys}, regexp_extract_all({text}, {ANY_LINES}) AS p FROM {source})"""
+
+
+def _compact_other(outputs: str) -> str:
+    """CTEs ending in `done`: texts of no family (output_id, text, expected_json) by every line end."""
+    return f"""
+outputs AS ({outputs}),
+k AS (SELECT *, {STRIPPED} AS stripped FROM outputs),
+b AS (
+  SELECT output_id, stripped, regexp_replace(CASE WHEN length(rtrim(expected_json, {NL})) < length(trim(stripped, {NL})) * 0.9
+    THEN expected_json ELSE stripped END, '\\n{{3,}}', {NL} || {NL}, 'g') AS t FROM k),
+{_runs(_any_lines_of('b', 't', 'output_id'), 'output_id', 'i', REPEAT_KEY)},
+f AS (
+  SELECT output_id, list(t ORDER BY run) AS parts FROM (
+    SELECT output_id, run, CASE WHEN count(*) >= 3 THEN min(rtrim(line, {NL})) || ' (×' || count(*) || ')' || {NL}
+      ELSE string_agg(line, '' ORDER BY i) END AS t FROM r GROUP BY output_id, run) GROUP BY output_id),
+l AS (SELECT output_id, array_to_string(parts, '') AS folded,
+        regexp_extract_all(array_to_string(parts, ''), {ANY_LINES}) AS p FROM f),
+e AS (SELECT *, list_transform(p, lambda x: regexp_replace(x, '(\\r\\n|{_END})$', '')) AS bare, len(p) AS n FROM l),
+c AS (
+  SELECT output_id, CASE WHEN n > 500 THEN array_to_string(list_concat(bare[1:200],
+    ['[... ' || (n - 250) || ' lines truncated]'], bare[n - 49:n]), {NL}) ELSE folded END AS result FROM e),
+done AS (
+  SELECT b.output_id, length(c.result) < length(b.stripped) AS shrinks, k.text, b.stripped,
+    CASE WHEN length(c.result) < length(b.stripped) THEN c.result ELSE b.stripped END AS result
+  FROM b JOIN c ON b.output_id = c.output_id JOIN k ON k.output_id = b.output_id)"""
+
+
+LOG_FILES = f"""
+SELECT doc_id // {LOG_DOCUMENTS} AS id, string_agg({LINE_END_TEXT} || chr(30), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1"""
+TURN_FILES = f"""
+SELECT conv_id // {CONVERSATIONS} AS output_id, string_agg(text || {NL}, '' ORDER BY conv_id, turn, text) AS text,
+  NULL AS expected_json FROM conversations GROUP BY 1"""
+
 # --- whole compaction -------------------------------------------------------
 
 FOLD = f"""
@@ -370,6 +445,12 @@ FROM compacted c LEFT JOIN cache k ON c.outcome = 'ref' AND k.ref = substr(c.res
     "row_reduction": f"""SELECT ts_s, original_tokens, compressed_tokens, CASE WHEN original_tokens > compressed_tokens
 THEN round_even((original_tokens - compressed_tokens)::DOUBLE / original_tokens * 100, 0) END AS reduction_pct FROM ({LOG})""",
     "lookback_stats": f"SELECT {SAVINGS} FROM ({LOG}) WHERE ts_s >= (SELECT max(ts_s) FROM ({LOG})) - 168 * 3600",
+    "lookback_windows": f"""WITH w AS (
+  SELECT doc_id AS window_id, {START} + 3600 * doc_id - 1800 * (doc_id % 193 + 1) AS a, {START} + 3600 * doc_id + doc_id % 7 * 600 AS b
+  FROM documents WHERE doc_id % 10 = 0),
+j AS (SELECT window_id, original_tokens, compressed_tokens FROM w JOIN ({LOG}) ON ts_s >= a AND ts_s < b)
+SELECT w.window_id, CAST(count(original_tokens) AS BIGINT) AS compressions, {SAVINGS.split(',', 1)[1].strip()}
+FROM w LEFT JOIN j ON w.window_id = j.window_id GROUP BY w.window_id""",
     "stats_by_command": f"""WITH {COMPACTED}
 SELECT cmd, {SAVINGS} FROM (SELECT cmd, orig_tokens AS original_tokens, {_tokens('length(result)')} AS compressed_tokens FROM compacted)
 GROUP BY cmd""",
@@ -382,9 +463,21 @@ SELECT output_id, seq, fp, family, result, outcome, is_secret, orig_tokens, {_to
     "stream_compact": f"WITH {STATELESS}",
     "stream_dedup": f"""WITH {COMPACTED}
 SELECT output_id, seq, fp, outcome, md5(result) AS result_md5 FROM compacted""",
-    "stream_first": f"SELECT DISTINCT scope, sha256({STRIPPED}) AS fp FROM ({OUTPUTS})",
-    "stream_stats": f"""SELECT w * 3600 AS window_start_s, {SAVINGS}
-FROM (SELECT *, unnest(range(ts_s // 3600 - 23, ts_s // 3600 + 1)) AS w FROM ({LOG})) GROUP BY w""",
+    "stream_first": f"""WITH parted AS (
+  SELECT scope, sha256({STRIPPED}) AS fp, d, CAST(d // CASE WHEN output_id % 2 = 0 THEN 7 ELSE 5 END % {PARTS} AS BIGINT) AS part
+  FROM (SELECT *, output_id // 2 AS d FROM ({OUTPUTS}))),
+-- What comes two parts late is behind the watermark: nothing else is that far back.
+here AS (SELECT DISTINCT scope, fp, part FROM parted WHERE NOT (d % 11 = 3 AND part < {PARTS - 2})),
+kept0 AS (SELECT scope, fp FROM here WHERE part = 0),
+{', '.join(f"kept{k} AS (SELECT scope, fp FROM here WHERE part = {k} EXCEPT SELECT scope, fp FROM kept{k - 1})" for k in range(1, PARTS))}
+{' UNION ALL '.join(f"SELECT scope, fp, CAST({k} AS BIGINT) AS part FROM kept{k}" for k in range(PARTS))}""",
+    "stream_stats": f"""WITH log AS ({LOG}),
+q AS (SELECT *, (ts_s - (SELECT min(ts_s) FROM log)) * 4 // (SELECT max(ts_s) - min(ts_s) + 1 FROM log) AS quarter,
+      original_tokens % {LATE_OF} = 0 AS late FROM log),
+mark AS (SELECT coalesce(max(ts_s), -1e15) - 3600 AS at FROM q WHERE NOT late AND quarter < 3)
+SELECT w * 3600 AS window_start_s, {SAVINGS}
+FROM (SELECT *, unnest(range(ts_s // 3600 - 23, ts_s // 3600 + 1)) AS w FROM q), mark
+WHERE NOT late OR (w + 24) * 3600 > mark.at GROUP BY w""",
     "stream_skip": f"""SELECT p.event_id, p.reject_reason, CASE WHEN p.command IS NOT NULL THEN c.base_cmd END AS base_cmd,
 CASE WHEN p.command IS NOT NULL THEN c.skip_reason END AS skip_reason FROM ({PARSED}) p JOIN ({CLASSIFIED}) c ON p.event_id = c.event_id""",
     "skip_guarded": f"""SELECT event_id, command, base_cmd, {GUARDED} AS skip_reason
@@ -396,14 +489,22 @@ SELECT cmd, {SAVINGS} FROM (
   FROM marked WHERE ts_s >= {START + 2_592_000}) GROUP BY cmd""",
     "cache_snapshot": f"WITH {DEDUP}, {CACHE} SELECT scope, fp, ref, last_storable_seq FROM cache",
     "known_merge": f"SELECT scope, path, CAST(min(seq) AS BIGINT) AS added_seq FROM ({REF_OUTPUTS}) WHERE path IS NOT NULL GROUP BY 1, 2",
-    "text_source": f"""SELECT conv_id || '-' || turn AS id, regexp_matches(text, {SECRET}) AS is_secret, 'unchanged' AS outcome,
-{_tokens('length(text) + 1')} AS orig_tokens, {_tokens('length(text) + 1')} AS comp_tokens, md5(text || {NL}) AS result_md5 FROM conversations""",
+    "text_source": f"""WITH {_compact_other(TURN_FILES)}
+SELECT output_id AS id, regexp_matches(stripped, {SECRET}) AS is_secret, CASE WHEN shrinks THEN 'compressed' ELSE 'unchanged' END AS outcome,
+{_tokens('length(text)')} AS orig_tokens, {_tokens('length(result)')} AS comp_tokens, md5(result) AS result_md5 FROM done""",
+    "log_lines": f"SELECT id, CAST(i - 1 AS BIGINT) AS pos, md5(line) AS line_md5 FROM ({_any_lines_of(f'({LOG_FILES})', 'text', 'id')})",
     "control_epochs": """SELECT event_id, coalesce(c, -1) AS epoch, coalesce(c IS NOT NULL AND (r IS NULL OR c > r), false) AS stale
 FROM (SELECT event_id, event_type,
              max(CASE WHEN event_type = 'error' THEN event_id END) OVER w AS c,
              max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER w AS r
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 WHERE event_type NOT IN ('error', 'purchase')""",
+    "compact_over_lines": f"WITH {_compact_other(OVER_LINES)} SELECT output_id, md5(result) AS result_md5 FROM done",
+    "compact_odd": f"""WITH {_compact_other(ODD)}
+SELECT o.output_id, CASE WHEN blank THEN 'empty' WHEN shrinks THEN 'compressed' ELSE 'unchanged' END AS outcome,
+       {_tokens('coalesce(length(o.text), 0)')} AS orig_tokens, {_tokens('coalesce(length(CASE WHEN blank THEN o.text ELSE result END), 0)')} AS comp_tokens,
+       md5(CASE WHEN blank THEN o.text ELSE result END) AS result_md5
+FROM (SELECT *, text IS NULL OR regexp_matches(text, '^\\s*$') AS blank FROM outputs) o LEFT JOIN done ON o.output_id = done.output_id""",
     "compact_lines": f"""WITH {FOLD}
 SELECT output_id, md5(CASE WHEN shrinks THEN f.result ELSE k.stripped END) AS result_md5
 FROM keyed k JOIN folded f ON k.fp = f.fp AND k.family = f.family""",

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.commands import base_command
 from ..operators import dedup, events, folds_doc, folds_lines, metrics, refs
 from ..operators.epochs import with_epoch
+from ..operators.runs import BLOCK_ROWS
 from ..session import new_dir, stage
 from ..sources import tables
+from ..sources.lines import read_lines
 from ..streaming import jobs
 from . import inputs
 from .compact import Compaction, compact, compact_text
@@ -154,6 +156,17 @@ def lookback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.lookback_stats(log, F.lit(newest), hours=168)
 
 
+def lookback_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-backs from every tenth entry, of half an hour to four days, from sums of two halves of the log."""
+    log = inputs.compaction_log(spark, sf_dir)
+    early = F.col("original_tokens") % 2 == 0
+    sums = stage(metrics.merge_sums(metrics.hourly_sums(log.filter(early)), metrics.hourly_sums(log.filter(~early))), "sums")
+    windows = inputs.table(spark, sf_dir, "documents").filter(F.col("doc_id") % 10 == 0).select(
+        F.col("doc_id").alias("window_id"), F.expr(f"timestamp_seconds({inputs.START} + 3600 * doc_id - 1800 * (doc_id % 193 + 1))").alias("start"),
+        F.expr(f"timestamp_seconds({inputs.START} + 3600 * doc_id + doc_id % 7 * 600)").alias("end"))
+    return metrics.window_savings(windows, log, sums)
+
+
 def stats_by_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stats_by(_whole(spark, sf_dir).log, "cmd")
 
@@ -187,7 +200,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = jobs.dedup_batches(state, out, events)
     ends = [0, *[2 * (inputs.PASS + k) for k in (0, 150, 200)], 4 * inputs.PASS]
     for begin, end in zip(ends, ends[1:]):
-        part = (F.col("seq") >= begin) & (F.col("seq") < end)
+        seq = F.coalesce("seq", F.lit(0))
+        part = (seq >= begin) & (seq < end)
         inputs.control(spark).filter(part).coalesce(1).write.mode("append").parquet(events)
         outputs.filter(part).write.mode("append").parquet(landing)
         jobs.run_batches(spark.readStream.schema(outputs.schema).parquet(landing), progress, run)
@@ -195,26 +209,28 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a reading after the other: copies are found in batches before, however long the readings are.
+    """Five batches, ten days apart, under a delay of four: a text of the part before is a copy, an older one is forgotten.
 
-    No row is behind the watermark, as the SQL knows none: the delay is the time from first to last row.
+    Rows that come two parts too late are behind the watermark.
     """
-    outputs = inputs.outputs(spark, sf_dir)
-    middle, begin, end = outputs.agg(F.max("output_id"), F.min("ts_s"), F.max("ts_s")).first()
-    middle, delay = middle or 0, max(8_640_000, (end or 0) - (begin or 0) + 1)
-    outputs = outputs.drop("ts_s")
-    early, first = F.col("output_id") <= middle // 2, F.col("seq") < 2 * inputs.PASS
-    parts = [first & early, first & ~early, ~first & early, ~first & ~early]
-    return jobs.run_to_end(jobs.keep_first_stream(inputs.arriving(outputs, parts), f"{delay} seconds")).select("scope", "fp")
+    outputs = inputs.parted_outputs(spark, sf_dir)
+    parts = [F.col("comes") == k for k in range(inputs.PARTS)]
+    sink, found = jobs.FileSink(spark), []
+    jobs.run_parts(outputs, parts, lambda stream: found.append(sink.run(
+        jobs.keep_first_stream(stream, "4 days").select("scope", "fp", "ts"))))
+    part = F.expr(f"(unix_seconds(ts) - {inputs.START}) div {86_400 * inputs.PART_DAYS}")
+    return found[-1].select("scope", "fp", part.alias("part"))
 
 
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches in the order of time; windows behind the watermark are done with."""
+    """Four batches in the order of time; windows behind the watermark are done with, also for rows that come late."""
     log = inputs.compaction_log(spark, sf_dir).withColumn("_s", F.unix_seconds("ts"))
-    stream = inputs.arriving(log, inputs.quarters("_s", log))
-    done = jobs.run_updates(jobs.rolling_savings(stream), "window_start", "window_end")
-    return done.select(F.unix_seconds("window_start").alias("window_start_s"), "compressions", "original_tokens",
-                       "compressed_tokens", "tokens_saved", "reduction_pct")
+    log = log.withColumn("_comes", F.when(F.col("original_tokens") % inputs.LATE_OF == 0, 3).otherwise(inputs.quarter("_s", log)))
+    sink, found = jobs.UpdateSink(spark, "window_start", "window_end"), []
+    jobs.run_parts(log, [F.col("_comes") == k for k in range(4)],
+                   lambda stream: found.append(sink.run(jobs.rolling_savings(stream))))
+    return found[-1].select(F.unix_seconds("window_start").alias("window_start_s"), "compressions", "original_tokens",
+                            "compressed_tokens", "tokens_saved", "reduction_pct")
 
 
 def skip_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,10 +239,15 @@ def skip_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of a compaction, appended to a table and read back from a day on."""
+    """The log of a compaction, appended as a batch, once more as a retry of it, and read back from a day on.
+
+    An attempt that was not committed lies beside it.
+    """
     path = new_dir(spark, "log")
     done = compact(inputs.outputs(spark, sf_dir), inputs.control(spark))
-    tables.append_log(done.log, path)
+    for batch in ("first", "first"):
+        tables.append_log(done.log, path, batch)
+    done.log.limit(100).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{path}/data/attempt=broken")
     done.close()
     since = datetime.fromtimestamp(inputs.START + 2_592_000, timezone.utc)
     return metrics.stats_by(tables.read_log(spark, path, since), "cmd")
@@ -252,26 +273,48 @@ def known_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _group(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"/g=([0-9-]+)/", 1).cast("long")
+
+
 def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as text files, one folder each, read back as outputs and compacted."""
-    turns = inputs.text_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    path = new_dir(spark, "texts")
-    turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("value")).write.partitionBy("id").text(path)
-    read = tables.read_outputs(spark, f"{path}/*/*.txt").select(
-        F.regexp_extract("path", r"id=([0-9-]+)/", 1).alias("id"), F.lit("cat x").alias("cmd"), "text")
+    """Text files of conversations, read back as one output each and compacted."""
+    read = tables.read_outputs(spark, f"{inputs.turn_files(spark, sf_dir)}/*/*.txt").select(
+        _group().alias("id"), F.lit("cat x").alias("cmd"), "text")
     return compact_text(read).select("id", "is_secret", "outcome", "orig_tokens", "comp_tokens", F.md5("result").alias("result_md5"))
 
 
-def compact_line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outputs as line tables, compacted in line form and joined to texts again."""
-    outputs = stage(inputs.outputs(spark, sf_dir).select("output_id", "cmd", "text"), "outputs")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of large files, read in ranges that end anywhere."""
+    lines = read_lines(spark, inputs.log_files(spark, sf_dir), 1 << 20)
+    return lines.select(_group().alias("id"), "pos", F.md5("line").alias("line_md5"))
+
+
+def _by_lines(outputs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Outputs as line tables, compacted in line form and joined to texts again."""
+    outputs = stage(outputs.select("output_id", "cmd", "text"), "outputs")
     lines = T.with_lines(outputs, "text", "lines").select("output_id", F.posexplode_outer("lines").alias("pos", "line"))
     lines = lines.filter(F.col("pos").isNotNull()).select("output_id", F.col("pos").cast("long").alias("pos"), "line")
-    done = compact_lines(lines, outputs.select("output_id", "cmd"))
+    done = compact_lines(lines, outputs.select("output_id", "cmd"), block_rows)
     texts = done.groupBy("output_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
     return texts.select("output_id", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("result_md5"))
 
 
+def compact_line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_lines(inputs.outputs(spark, sf_dir))
+
+
+def compact_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes and JSON over many lines, and all line ends, in blocks of few lines."""
+    return _by_lines(inputs.over_lines_outputs(spark, sf_dir), 64)
+
+
+def compact_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that nothing fits: none is lost and none fails."""
+    return compact_text(inputs.odd_outputs(spark, sf_dir)).select(
+        "output_id", "outcome", "orig_tokens", "comp_tokens", F.md5("result").alias("result_md5"))
+
+
 def control_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs of every event under more control events than are broadcast."""
     rows = inputs.table(spark, sf_dir, "events").filter(~F.col("event_type").isin("error", "purchase")).select(
@@ -312,6 +355,7 @@ QUERIES = {
     "token_estimate": token_estimate,
     "row_reduction": row_reduction,
     "lookback_stats": lookback_stats,
+    "lookback_windows": lookback_windows,
     "stats_by_command": stats_by_command,
     "reduction_by_technique": reduction_by_technique,
     "compact_outputs": compact_outputs,
@@ -326,6 +370,9 @@ QUERIES = {
     "cache_snapshot": cache_snapshot,
     "known_merge": known_merge,
     "text_source": text_source,
+    "log_lines": log_lines,
     "control_epochs": control_epochs,
     "compact_lines": compact_line_tables,
+    "compact_over_lines": compact_over_lines,
+    "compact_odd": compact_odd,
 }

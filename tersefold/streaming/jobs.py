@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import fingerprint, merge_cache
@@ -122,29 +122,55 @@ def read_cache(spark: SparkSession, state_dir: str) -> DataFrame:
     return merge_cache(None, spark.read.schema(CACHE_SCHEMA).parquet(f"{state_dir}/entries/batch=*"))
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """Process all that is there, into files, and return what was written."""
-    spark = stream.sparkSession
-    out, checkpoint = new_dir(spark, "stream"), new_dir(spark, "progress")
-    query = (stream.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def run_parts(rows: DataFrame, parts: Sequence[Column], run: Callable[[DataFrame], None]) -> None:
+    """Rows that arrive part by part: each is written by all tasks, then the stream runs over what has come."""
+    spark, landing = rows.sparkSession, new_dir(rows.sparkSession, "landing")
+    for part in parts:
+        rows.filter(F.coalesce(part, F.lit(False))).write.mode("append").parquet(landing)
+        run(spark.readStream.schema(rows.schema).parquet(landing))
 
 
-def run_updates(stream: DataFrame, *keys: str) -> DataFrame:
-    """Process all that is there in update mode; returns the last row of every key.
+class FileSink:
+    """Files that a stream appends to, run after run."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.out, self.progress = new_dir(spark, "stream"), new_dir(spark, "progress")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Process all that is there, and return what has been written so far."""
+        query = (stream.writeStream.format("parquet").option("path", self.out)
+                 .option("checkpointLocation", self.progress).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(self.out)
+
+
+class UpdateSink:
+    """The last row of every key of a stream in update mode, run after run.
 
     Each batch writes what it changed under its own id, so state behind the
     watermark can be dropped and a batch that runs again replaces its rows.
     """
-    spark = stream.sparkSession
-    out = new_dir(spark, "updates")
-    run_batches(stream, new_dir(spark, "progress"),
-                lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), "update")
-    changes = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    rest = [c for c in stream.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
+
+    def __init__(self, spark: SparkSession, *keys: str) -> None:
+        self.keys, self.out, self.progress = keys, new_dir(spark, "updates"), new_dir(spark, "progress")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Process all that is there, and return the last rows so far."""
+        run_batches(stream, self.progress,
+                    lambda df, i: df.write.mode("overwrite").parquet(f"{self.out}/batch={i}"), "update")
+        changes = stream.sparkSession.read.option("basePath", self.out).parquet(f"{self.out}/batch=*")
+        rest = [c for c in stream.columns if c not in self.keys]
+        return changes.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*self.keys, "_last.*")
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Process all that is there, into files, and return what was written."""
+    return FileSink(stream.sparkSession).run(stream)
+
+
+def run_updates(stream: DataFrame, *keys: str) -> DataFrame:
+    """Process all that is there in update mode; returns the last row of every key."""
+    return UpdateSink(stream.sparkSession, *keys).run(stream)
 
 
 def run_batches(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None],

@@ -1,7 +1,9 @@
 """Events, metrics, sources, and the registered queries beside their SQL."""
 
 import datetime as dt
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ import __spark_entry__ as entry
 from check_oracle import compare, connect
 from tersefold.operators import events, metrics
 from tersefold.sources import tables
-from tersefold.plans import oracle, registry
+from tersefold.plans import inputs, oracle, registry
 from tersefold.plans.compact import compact_text
 from tersefold.plans.inputs import arriving
 from tersefold.session import new_dir
 from tersefold.streaming.jobs import (
-    CACHE_SCHEMA, classify_stream, keep_first_stream, rolling_savings, run_to_end, run_updates,
+    CACHE_SCHEMA, FileSink, classify_stream, keep_first_stream, rolling_savings, run_parts, run_to_end, run_updates,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -134,13 +136,55 @@ def test_late_rows_meet_the_watermark(spark):
 
 
 def test_stream_first_over_long_times(spark, tmp_path):
-    """One text at both ends of readings that last longer than 200 days."""
-    docs = [(5, "same old text"), (299_945, "early"), (600_005, "same old text"), (600_065, "late")]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs],
-                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
-        str(tmp_path / "documents.parquet"))
-    got = registry.QUERIES["stream_first"](spark, str(tmp_path)).collect()
-    assert len(got) == len(set(got)) == 3
+    """Ids far apart: parts are as long as ever, and what is forgotten is what the SQL forgets."""
+    docs = [(5, "same old text"), (299_945, "early"), (600_005, "same old text"), (600_065, "late"), (600_066, None)]
+    folder = tmp_path / "documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs],
+                          "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet' WHERE text IS NOT NULL")
+    got = [tuple(r) for r in registry.QUERIES["stream_first"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(oracle.SQL["stream_first"]).fetchall()) and len(got) == len(set(got))
+
+
+def test_rows_of_no_part_are_told_by_the_caller_and_none_is_lost(spark):
+    log = log_rows(spark, [(3600 * h if h else None, "s", "a", 10, 5) for h in (1, 2, 3, None, 9)]).withColumn("_s", F.unix_seconds("ts"))
+    quarter = inputs.quarter("_s", log)
+    assert sorted(r[0] for r in log.select(quarter).collect()) == [0, 0, 0, 0, 3]
+    sink, seen = FileSink(spark), []
+    run_parts(log, [quarter == k for k in range(4)], lambda stream: seen.append(sink.run(stream.select("cmd")).count()))
+    assert seen[-1] == 5 and seen == sorted(seen)
+
+
+def test_log_holds_a_batch_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert tables.read_log(spark, path).count() == 0
+    rows = [(86400 * d, "s", "a", 10 * d, d) for d in range(1, 5)]
+    assert tables.append_log(log_rows(spark, rows[:2]), path, 7)
+    assert not tables.append_log(log_rows(spark, rows[:2]), path, 7)
+    # An attempt that ended before its commit, and the one that follows it.
+    log_rows(spark, rows[2:]).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{path}/data/attempt=x")
+    assert tables.read_log(spark, path).count() == 2
+    assert tables.append_log(log_rows(spark, rows[2:]), path, "8/8")
+    assert sorted(r.original_tokens for r in tables.read_log(spark, path).collect()) == [10, 20, 30, 40]
+    assert tables.read_log(spark, path, dt.datetime(1970, 1, 5)).count() == 1
+    assert tables.append_log(log_rows(spark, []), path, "empty") and tables.read_log(spark, path).count() == 4
+
+
+def test_windows_from_hourly_sums_equal_the_log(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([rng.randrange(400_000), 7200, None]), "s", "a", rng.randrange(100), rng.randrange(50)) for _ in range(500)]
+    log = log_rows(spark, rows)
+    edges = [sorted(rng.choice([rng.randrange(-9000, 450_000), 3600 * rng.randrange(120)]) for _ in range(2)) for _ in range(80)]
+    windows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(edges)], "window_id long, a long, b long").select(
+        "window_id", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"))
+    sums = metrics.merge_sums(metrics.hourly_sums(log.filter("original_tokens > 50")), metrics.hourly_sums(log.filter("original_tokens <= 50")))
+    got = {r.window_id: (r.compressions, r.original_tokens, r.tokens_saved) for r in metrics.window_savings(windows, log, sums).collect()}
+    for k, (a, b) in enumerate(edges):
+        inside = [r for r in rows if r[0] is not None and a <= r[0] < b]
+        assert got[k] == (len(inside), sum(r[3] for r in inside), sum(r[3] - r[4] for r in inside))
+    empty = metrics.window_savings(windows, log.limit(0), metrics.hourly_sums(log.limit(0))).collect()
+    assert len(empty) == 80 and all(r.compressions == 0 and r.reduction_pct == 0 for r in empty)
 
 
 def test_streams_take_the_guards(spark):
