@@ -37,16 +37,22 @@ def token_ref(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"\A§ref:([0-9a-f]{16})§\z", 1), F.lit(""))
 
 
-def first_stored(rows: DataFrame, storable: DataFrame, total: int, cached: DataFrame | None = None,
-                 limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
-    """First storable seq per (scope, fp, epoch_key): one row per epoch and one for ANY_EPOCH.
+def stored_rows(rows: DataFrame, storable: DataFrame, total: int, limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
+    """First storable seq per (scope, fp, epoch): what these rows add to the cache.
 
-    rows: scope, seq, fp, family, epoch; storable: (fp, family) of texts that are stored;
-    cached: scope, fp, seq, epoch of entries stored by earlier runs.
+    rows: scope, seq, fp, family, epoch; storable: (fp, family) of texts that are stored.
     """
     first = rows.groupBy("scope", "fp", "family", "epoch").agg(F.min("seq").alias("seq"))
     first = join_unique(first, storable, ["fp", "family"], "seq", total, "left_semi", limits, counted=rows)
-    first = first.select("scope", "fp", "epoch", "seq")
+    return first.groupBy("scope", "fp", "epoch").agg(F.min("seq").alias("seq"))
+
+
+def first_stored(own: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """First storable seq per (scope, fp, epoch_key): one row per epoch and one for ANY_EPOCH.
+
+    own: stored_rows; cached: scope, fp, seq, epoch of entries stored by earlier runs.
+    """
+    first = own.select("scope", "fp", "epoch", "seq")
     if cached is not None:
         first = first.unionByName(cached.select("scope", "fp", "epoch", "seq"))
     keys = F.array_distinct(F.array(F.col("epoch"), F.lit(ANY_EPOCH).cast("long")))
@@ -56,6 +62,15 @@ def first_stored(rows: DataFrame, storable: DataFrame, total: int, cached: DataF
     )
 
 
+def outdated(full: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of rows that got their whole text (scope, fp, epoch, stale, seq, ...), those that are references by now.
+
+    stored: scope, fp, epoch and seq of entries that came later but stand before them. Both may repeat keys.
+    """
+    keyed = full.withColumn("epoch_key", F.when(F.col("stale"), F.col("epoch")).otherwise(F.lit(ANY_EPOCH).cast("long")))
+    return keyed.join(first_stored(stored), ["scope", "fp", "epoch_key"]).filter("stored_seq < seq").select(*full.columns)
+
+
 def mark_refs(rows: DataFrame, stored: DataFrame, total: int,
               limits: SkewLimits = DEFAULT_LIMITS) -> DataFrame:
     """Add is_ref to rows (scope, seq, fp, epoch, stale, ...)."""

@@ -18,7 +18,7 @@ from ..functions.text import (
     collapse_blank_lines, is_blank, other_line_ends, strip_ansi, token_estimate, with_secret,
 )
 from ..operators import folds_doc
-from ..operators.dedup import REF_LENGTH, fingerprint, first_stored, mark_refs, ref_token, short_ref
+from ..operators.dedup import REF_LENGTH, fingerprint, first_stored, mark_refs, ref_token, short_ref, stored_rows
 from ..operators.epochs import with_epoch
 from ..operators.refs import apply_notes, mention_words, mentions_path, path_notes
 from ..operators.skew import DEFAULT_LIMITS, SkewLimits, join_unique
@@ -92,11 +92,14 @@ class Compaction:
     All read tables that were staged for them; `close` removes those, when
     what was wanted has been written. A text with a secret is in none of them.
     The log is made from lengths and reads texts only where notes were added.
+    stored and full are keys: the first stored position of each text and epoch, and the rows that got their whole text.
     """
 
     compacted: DataFrame
     cache_entries: DataFrame
     log: DataFrame
+    stored: DataFrame
+    full: DataFrame
     staged: list[str] = field(default_factory=list)
 
     def close(self) -> None:
@@ -115,12 +118,12 @@ def compact(outputs: DataFrame, control: DataFrame | None = None, known: DataFra
     rows to each other runs on the keys.
     """
     with collected() as staged:
-        done, entries, log = _compact(outputs, control, known, cache, limits)
-    return Compaction(done, entries, log, staged)
+        tables = _compact(outputs, control, known, cache, limits)
+    return Compaction(*tables, staged)
 
 
 def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | None, cache: DataFrame | None,
-             limits: SkewLimits) -> tuple[DataFrame, DataFrame, DataFrame]:
+             limits: SkewLimits) -> tuple[DataFrame, ...]:
     prepared = prepare(outputs)
     key_cols = ["output_id", "ts", "seq", "scope", "cmd", "base_cmd", "family", "raw_len"]
     rows = stage(with_epoch(prepared.select(
@@ -141,8 +144,8 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         cached = with_epoch(
             cache.select("scope", "fp", F.col("last_storable_seq").alias("seq")).join(
                 here, ["scope", "fp"], "left_semi"), control)
-    stored = first_stored(rows, storable, total, cached, limits)
-    marked = stage(mark_refs(rows, stored, total, limits).drop("blank_text"), "marked")
+    own = stored_rows(rows, storable, total, limits)
+    marked = stage(mark_refs(rows, first_stored(own, cached), total, limits).drop("blank_text"), "marked")
     full = marked.filter(~F.col("is_ref"))
 
     noted = full
@@ -189,7 +192,8 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         token_estimate(F.col("stripped_len")).alias("original_tokens"),
         token_estimate(F.length("body")).alias("compressed_tokens"),
         "last_storable_seq", "created_at")
-    return done.unionByName(refs).unionByName(empty), entries, log
+    return (done.unionByName(refs).unionByName(empty), entries, log, own,
+            full.select("scope", "fp", "epoch", "stale", "seq", "output_id"))
 
 
 def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int) -> DataFrame:

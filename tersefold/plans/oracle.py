@@ -462,6 +462,8 @@ SELECT output_id, seq, fp, family, result, outcome, is_secret, orig_tokens, {_to
     "compact_text": f"WITH {STATELESS}",
     "stream_compact": f"WITH {STATELESS}",
     "stream_dedup": f"""WITH {COMPACTED}
+SELECT output_id, seq, fp, outcome, md5(result) AS result_md5 FROM compacted""",
+    "stream_dedup_late": f"""WITH {COMPACTED}
 SELECT output_id, seq, fp, outcome, md5(result) AS result_md5 FROM compacted""",
     "stream_first": f"""WITH parted AS (
   SELECT scope, sha256({STRIPPED}) AS fp, d, CAST(d // CASE WHEN output_id % 2 = 0 THEN 7 ELSE 5 END % {PARTS} AS BIGINT) AS part

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import fingerprint, merge_cache
+from ..functions.text import token_estimate
+from ..operators.dedup import REF_LENGTH, fingerprint, merge_cache, outdated, ref_token
 from ..operators.events import classify, parse_events
 from ..operators.metrics import savings
 from ..operators.refs import known_paths
@@ -83,8 +85,7 @@ class _History:
         return every
 
 
-def _newest(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("scope", "fp").agg(F.max("last_storable_seq").alias("last_storable_seq"))
+_LATE = "output_id long, scope string, seq long, fp string"
 
 
 def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
@@ -94,12 +95,20 @@ def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
     Known paths are those read in the batches so far. control_dir may hold
     control events (scope, seq, kind) as they arrive; it is read for every
     batch. Texts of the cache are only added to; the keys that a batch is
-    compared with are kept apart from them. Input must come in seq order; late
-    rows are compacted with the cache as they find it.
+    compared with, the first stored position of each text and epoch, are kept apart from them.
+
+    Rows may come behind others of higher seq. They are compared with what
+    stands before them, and rows of earlier batches that have become
+    references through them are written again; read_results gives the last word on each row.
+    Control events and reads of files must be there with the rows that follow them.
     """
-    keys = _History(f"{state_dir}/keys", "scope string, fp string, last_storable_seq long", _newest, merge_every)
+    keys = _History(
+        f"{state_dir}/keys", "scope string, fp string, epoch long, last_storable_seq long",
+        lambda k: k.groupBy("scope", "fp", "epoch").agg(F.min("last_storable_seq").alias("last_storable_seq")), merge_every)
     paths = _History(f"{state_dir}/known", "scope string, path string, added_seq long",
                      lambda known: known.groupBy("scope", "path").agg(F.min("added_seq").alias("added_seq")), merge_every)
+    full = _History(f"{state_dir}/full", "scope string, fp string, epoch long, stale boolean, seq long, output_id long",
+                    lambda rows: rows, merge_every)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -108,15 +117,40 @@ def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
         control = None if control_dir is None else spark.read.schema(CONTROL_SCHEMA).parquet(control_dir)
         done = compact(batch, control, known, keys.before(spark, batch_id))
         done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        entries = f"{state_dir}/entries/batch={batch_id}"
-        done.cache_entries.write.mode("overwrite").parquet(entries)
-        keys.add(spark.read.schema(CACHE_SCHEMA).parquet(entries).select("scope", "fp", "last_storable_seq"), batch_id)
+        done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/batch={batch_id}")
+        keys.add(done.stored.withColumnRenamed("seq", "last_storable_seq"), batch_id)
+        earlier = full.before(spark, batch_id)
+        if earlier is not None:
+            own = spark.read.schema(keys.schema).parquet(f"{keys.folder}/batch/{batch_id}")
+            seen = earlier.groupBy("scope").agg(F.max("seq").alias("_last"))
+            late = own.withColumnRenamed("last_storable_seq", "seq").join(F.broadcast(seen), "scope").filter("seq < _last").drop("_last")
+            if not late.isEmpty():
+                outdated(earlier, late).select("output_id", "scope", "seq", "fp").write.mode("overwrite").parquet(
+                    f"{state_dir}/changed/batch={batch_id}")
+        full.add(done.full, batch_id)
         done.close()
         batch.unpersist()
 
     return run
 
 
+def read_results(spark: SparkSession, state_dir: str, out_dir: str) -> DataFrame:
+    """The rows of all batches so far, with references where later batches made them ones."""
+    rows = spark.read.parquet(f"{out_dir}/batch=*")
+    try:
+        changed = spark.read.schema(_LATE).parquet(f"{state_dir}/changed/batch=*")
+    except AnalysisException:
+        return rows
+    changed = changed.select("output_id", F.lit(True).alias("_ref")).distinct()
+    is_ref = F.coalesce("_ref", F.lit(False))
+    return rows.join(changed, "output_id", "left").select(*[
+        {"result": F.when(is_ref, ref_token(F.col("fp"))).otherwise(F.col("result")),
+         "outcome": F.when(is_ref, "ref").otherwise(F.col("outcome")),
+         "is_secret": ~is_ref & F.col("is_secret"),
+         "comp_tokens": F.when(is_ref, token_estimate(F.lit(REF_LENGTH))).otherwise(F.col("comp_tokens")),
+         }.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def read_cache(spark: SparkSession, state_dir: str) -> DataFrame:
     """The cache that the batches so far have filled."""
     return merge_cache(None, spark.read.schema(CACHE_SCHEMA).parquet(f"{state_dir}/entries/batch=*"))

@@ -272,6 +272,26 @@ def test_stream_dedup_batches_and_retry(spark):
     assert resolved and all(r.content is not None for r in resolved)
 
 
+def test_rows_that_come_late_correct_what_they_change(spark):
+    """Rows dealt to batches at random, control events first: the last word on each row is that of one run."""
+    events, rows, control = random_history(240, seed=21, n_control=6)
+    want = model(events)
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        state, out, arrived = new_dir(spark, "state"), new_dir(spark, "out"), new_dir(spark, "control")
+        spark.createDataFrame(control, jobs.CONTROL_SCHEMA).write.parquet(arrived)
+        run = jobs.dedup_batches(state, out, arrived, merge_every=2)
+        reads = [r for r in rows if str(r[4]).split(" ")[0].split("/")[-1] in ("cat", "head", "tail", "less", "bat", "read")]
+        rest = [r for r in rows if r not in reads]
+        dealt = {r[0]: rng.randrange(4) for r in rest} | {r[0]: 0 for r in reads}
+        for batch in range(4):
+            part = table(spark, [r for r in rows if dealt[r[0]] == batch])
+            run(part, batch)
+            if batch == 2:
+                run(part, batch)
+        assert results(jobs.read_results(spark, state, out)) == want
+
+
 def strings_in(folders):
     """All strings in the tables of some local folders."""
     files = [f for d in folders for f in Path(urlparse(str(d)).path).rglob("*.parquet")]
