@@ -55,7 +55,9 @@ def arriving(rows: DataFrame, parts: list[Column]) -> DataFrame:
 def quarter(column: str, rows: DataFrame) -> Column:
     """0 to 3: the part of the column's range that a row is in, of about the same length each; rows without value are in the first."""
     low, high = rows.agg(F.min(column), F.max(column)).first()
-    return F.coalesce(F.least(F.expr(f"({column} - {low or 0}) * 4 div {(high or 0) - (low or 0) + 1}"), F.lit(3)), F.lit(0))
+    # A minimum passes over nulls, so they are filled first.
+    part = F.coalesce(F.expr(f"({column} - {low or 0}) * 4 div {(high or 0) - (low or 0) + 1}"), F.lit(0))
+    return F.least(part, F.lit(3))
 
 
 def _s(*parts) -> Column:

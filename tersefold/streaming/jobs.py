@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators.dedup import REF_LENGTH, fingerprint, merge_cache, outdated, re
 from ..operators.events import classify, parse_events
 from ..operators.metrics import savings
 from ..operators.refs import known_paths
-from ..plans.compact import compact, compact_text, prepare
+from ..plans.compact import Compaction, compact, compact_text, prepare
 from ..session import new_dir, remove
 
 CACHE_SCHEMA = (
@@ -85,6 +86,12 @@ class _History:
         return every
 
 
+def _together(*jobs: Callable[[], object]) -> None:
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 _LATE = "output_id long, scope string, seq long, fp string"
 
 
@@ -110,24 +117,32 @@ def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
     full = _History(f"{state_dir}/full", "scope string, fp string, epoch long, stale boolean, seq long, output_id long",
                     lambda rows: rows, merge_every)
 
+    def correct(done: Compaction, batch_id: int) -> None:
+        """Add the batch's keys, and write which earlier rows they make references."""
+        spark = done.stored.sparkSession
+        keys.add(done.stored.withColumnRenamed("seq", "last_storable_seq"), batch_id)
+        earlier = full.before(spark, batch_id)
+        if earlier is None:
+            return
+        own = spark.read.schema(keys.schema).parquet(f"{keys.folder}/batch/{batch_id}")
+        seen = earlier.groupBy("scope").agg(F.max("seq").alias("_last"))
+        late = own.withColumnRenamed("last_storable_seq", "seq").join(F.broadcast(seen), "scope").filter("seq < _last").drop("_last")
+        if not late.isEmpty():
+            outdated(earlier, late).select("output_id", "scope", "seq", "fp").write.mode("overwrite").parquet(
+                f"{state_dir}/changed/batch={batch_id}")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         known = paths.add(known_paths(batch), batch_id)
         control = None if control_dir is None else spark.read.schema(CONTROL_SCHEMA).parquet(control_dir)
         done = compact(batch, control, known, keys.before(spark, batch_id))
-        done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/batch={batch_id}")
-        keys.add(done.stored.withColumnRenamed("seq", "last_storable_seq"), batch_id)
-        earlier = full.before(spark, batch_id)
-        if earlier is not None:
-            own = spark.read.schema(keys.schema).parquet(f"{keys.folder}/batch/{batch_id}")
-            seen = earlier.groupBy("scope").agg(F.max("seq").alias("_last"))
-            late = own.withColumnRenamed("last_storable_seq", "seq").join(F.broadcast(seen), "scope").filter("seq < _last").drop("_last")
-            if not late.isEmpty():
-                outdated(earlier, late).select("output_id", "scope", "seq", "fp").write.mode("overwrite").parquet(
-                    f"{state_dir}/changed/batch={batch_id}")
-        full.add(done.full, batch_id)
+        # Sinks that do not depend on each other are planned and written side by side.
+        _together(
+            lambda: done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"),
+            lambda: done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/batch={batch_id}"),
+            lambda: correct(done, batch_id),
+            lambda: full.add(done.full, batch_id))
         done.close()
         batch.unpersist()
 

@@ -29,7 +29,7 @@ def joined(lines):
     return got
 
 
-@pytest.mark.parametrize("split", [1, 2, 3, 7, 64, 1 << 20])
+@pytest.mark.parametrize("split", [1, 3, 7, 1 << 20])
 def test_files_are_cut_at_every_line_end_wherever_ranges_end(spark, tmp_path, monkeypatch, split):
     rng = random.Random(split)
     texts = ["", "x", "\r\n", "\r", "\n\r", "\r\r\n\n", "é ż\x85漢 ", "no end at all", "  ", "a\r\n" * 30]
@@ -57,7 +57,7 @@ def test_lines_longer_than_ranges_and_bytes_that_are_no_text(spark, tmp_path):
 ANSI = re.compile("\x1b\\[[0-9;]*[mGKHF]|\x1b\\][^\x07]*\x07|\x1b[()][AB012]")
 
 
-@pytest.mark.parametrize("block", [1, 2, 5, 1000])
+@pytest.mark.parametrize("block", [1, 5])
 def test_escapes_over_lines_equal_the_whole_text(spark, block):
     rng = random.Random(block)
     pieces = ["\x1b]", "\x07", "\x1b[0m", "\x1b(B", "\x1b", "]", "t", "uv ", "\n", "\n", "\r\n", "\r", " ", "\x1b]0;t\n\x07"]
@@ -80,7 +80,7 @@ def test_lines_behind_lf(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("block", [3, 50])
+@pytest.mark.parametrize("block", [5])
 def test_line_form_equals_text_form_over_lines_and_line_ends(spark, block):
     rng = random.Random(block)
     pieces = [f"{w}{e}" for w in ("x", "", "", " c", "PASSED t", "FAILED t", "added 1", "a\x1b]0;", "b\x07", "\x1b[1mg\x1b[0m") for e in ENDS[:5]]
