@@ -157,23 +157,28 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         words = join_unique(groups, words, ["fp", "family"], "scope", total, "inner", limits, counted=full)
         keys = ["scope", "family", "fp"]
         noted = join_unique(noted, path_notes(words, keys, known, limits), keys, "seq", total, "left", limits)
-    texts = folded.filter(~F.col("is_secret")).select("fp", "family", "is_secret", "shrinks", "body", "plain")
-    # Every row gets its text here, so a key weighs what its texts do.
-    done = join_unique(noted, texts, ["fp", "family"], "seq", chars, "inner", limits, counted=full, chars="raw_len")
-    if secret_texts:
-        # Texts with secrets are staged nowhere; they are read and folded again where they are needed.
-        secret = folded.filter("is_secret").select("fp", "family")
-        secret = join_unique(noted, secret, ["fp", "family"], "seq", total, "left_semi", limits, counted=full)
-        again = fold_guarded(prepared.join(secret.select("output_id"), "output_id", "left_semi"))
-        again = again.select("output_id", "is_secret", "shrinks", "body", _plain().alias("plain"))
-        done = done.unionByName(secret.join(again, "output_id"))
-    done = done.withColumn("_noted", apply_notes(F.col("body"), F.col("notes"), F.col("seq")))
+    again = _fold_secrets(prepared) if secret_texts else None
+
+    def with_texts(noted: DataFrame, folded: DataFrame) -> DataFrame:
+        """Rows with their folded texts, notes applied."""
+        texts = folded.filter(~F.col("is_secret")).select("fp", "family", "is_secret", "shrinks", "body", "plain")
+        # Every row gets its text here, so a key weighs what its texts do.
+        done = join_unique(noted, texts, ["fp", "family"], "seq", chars, "inner", limits, counted=full, chars="raw_len")
+        if again is not None:
+            secret = folded.filter("is_secret").select("fp", "family")
+            secret = join_unique(noted, secret, ["fp", "family"], "seq", total, "left_semi", limits, counted=full)
+            done = done.unionByName(secret.join(again, "output_id"))
+        return done.withColumn("_noted", apply_notes(F.col("body"), F.col("notes"), F.col("seq")))
+
+    done = with_texts(noted, folded)
     # Notes may make a text longer than it was; then it stays as it was.
     outgrown = F.col("notes").isNotNull() & (F.length("_noted") >= F.length("plain"))
     # What is not noted is as long as its body, which is known.
     plain = join_unique(noted.filter(F.col("notes").isNull()), folded.select("fp", "family", "body_len"), ["fp", "family"],
                         "seq", total, "inner", limits, counted=full)
-    log = _tokens(plain, F.col("body_len")).unionByName(_tokens(done.filter(F.col("notes").isNotNull()), F.length(
+    # Only texts with mentions have notes; the log moves no others.
+    with_notes = with_texts(noted.filter(F.col("notes").isNotNull()), folded.filter(F.size("words") > 0))
+    log = _tokens(plain, F.col("body_len")).unionByName(_tokens(with_notes, F.length(
         F.when(outgrown, F.col("plain")).otherwise(F.col("_noted"))))).unionByName(
         _tokens(marked.filter("is_ref"), F.lit(REF_LENGTH))).unionByName(_tokens(blank, F.col("raw_len")))
     done = _finish(
@@ -216,6 +221,18 @@ def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int) -> DataFram
         F.when(F.col("shrinks") & mentions_path(F.col("body")), mention_words(F.col("body"))).alias("words"))
 
 
+def _fold_secrets(prepared: DataFrame) -> DataFrame:
+    """Texts with secrets, read and folded again where they are needed, as they are staged nowhere.
+
+    Whether a text holds one is seen in the text, so no other is moved. The outer form, as a filter
+    would make and strip every text once more for each hint.
+    """
+    secret = with_secret(prepared, "stripped").select(
+        "output_id", "family", F.explode_outer(F.when(F.col("is_secret") & ~F.col("blank"), F.array("stripped"))).alias("stripped"))
+    return fold_guarded(secret.filter(F.col("stripped").isNotNull())).select(
+        "output_id", "is_secret", "shrinks", "body", _plain().alias("plain"))
+
+
 def _plain() -> Column:
     """What a text falls back to if notes on paths make it too long."""
     return F.when(F.col("shrinks") & mentions_path(F.col("body")), F.col("stripped"))

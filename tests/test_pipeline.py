@@ -14,7 +14,7 @@ from tersefold.operators import dedup, refs
 from tersefold.operators.epochs import with_epoch
 from tersefold.operators.skew import DEFAULT_LIMITS, SkewLimits, heavy_keys, join_unique
 from tersefold.functions.text import with_lines
-from tersefold.plans.compact import compact, compact_text
+from tersefold.plans.compact import _fold_secrets, compact, compact_text, prepare
 from tersefold.plans.compact_lines import compact_lines
 from tersefold.session import new_dir, stage
 from tersefold.streaming import jobs
@@ -322,6 +322,14 @@ def test_secrets_are_staged_nowhere_and_staged_tables_go(spark, tmp_path):
     assert "ABCDEFGHIJKLMNOPQRST" not in strings_in([tmp_path / "state"])
 
 
+def test_only_texts_with_secrets_are_read_again(spark):
+    secret = "token = 'ABCDEFGHIJKLMNOPQRST'\n"
+    rows = [(i, i, 10 * i, "s", "ls", None if i == 3 else " \n" if i == 4 else f"{secret if i % 7 == 0 else 'x'}\n" * 5) for i in range(40)]
+    again = _fold_secrets(prepare(table(spark, rows)))
+    assert sorted(r.output_id for r in again.collect()) == list(range(0, 40, 7))
+    assert all(r.is_secret and secret in r.body for r in again.collect())
+
+
 def test_line_form_equals_text_form(spark):
     """Outputs in blocks of a few lines, among them blank, long, wide, JSON and open-ended ones."""
     rng = random.Random(3)
