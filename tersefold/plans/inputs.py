@@ -216,10 +216,10 @@ def line_end_text(doc_id: Column, text: Column) -> Column:
 def log_files(spark: SparkSession, sf_dir: str) -> str:
     """The folder of large text files with all kinds of line ends: one of every LOG_DOCUMENTS ids in a row, in order."""
     d = F.col("doc_id")
-    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").select(
-        F.expr(f"doc_id div {LOG_DOCUMENTS}").alias("g"), "doc_id", line_end_text(d, F.col("text")).alias("value"))
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("g", F.expr(f"doc_id div {LOG_DOCUMENTS}"))
     path = new_dir(spark, "logs")
-    (docs.repartition("g").sortWithinPartitions("g", "doc_id").select("g", "value")
+    # The longer texts of the files are made behind the shuffle.
+    (docs.repartition("g").sortWithinPartitions("g", "doc_id").select("g", line_end_text(d, F.col("text")).alias("value"))
      .write.partitionBy("g").option("lineSep", "\x1e").text(path))
     return path
 

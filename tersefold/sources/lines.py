@@ -3,8 +3,8 @@
 Spark's own reader cuts at one separator or at LF and CR without saying which,
 so files are read here in ranges of bytes. A line belongs to the range it begins
 in: each range looks a few bytes back to see whether a line ends at its border,
-and reads on until its last line ends. Ranges are rows of a DataFrame, and lines
-get their numbers from sums over the ranges.
+and reads on until its last line ends. Ranges are rows of a DataFrame, read twice:
+once to count their lines, and again when sums over the ranges tell where each begins.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyarrow import fs as files
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.folds_lines import number_lines
-
 SPLIT_BYTES = 32 << 20
 # The line ends of `with_lines` as UTF-8; the longest has three bytes.
 _END = re.compile(rb"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]|\xc2\x85|\xe2\x80[\xa8\xa9]")
@@ -93,17 +92,30 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     ranges = listed.select("path", "length", F.explode(F.expr(
         f"sequence(0L, length - 1, {split_bytes}L)")).alias("block")).repartition(min(n, MAX_TASKS), "path", "block")
 
+    def bounds_of(path: str, size: int, start: int) -> tuple[bytes, list[int]]:
+        with _opened(path) as file:
+            return _line_starts(file, start, min(size, start + split_bytes), size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            counts = [max(0, len(bounds_of(*row)[1]) - 1) for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, type=pa.int64())], ["path", "length", "block", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with _opened(path) as file:
-                    data, bounds = _line_starts(file, start, min(size, start + split_bytes), size)
+            for path, size, start, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, bounds = bounds_of(path, size, start)
                 for at in range(0, max(0, len(bounds) - 1), 1 << 16):
                     texts = _texts(data, np.array(bounds[at: at + (1 << 16) + 1]))
                     n = len(texts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * n, type=pa.string()), pa.array(np.full(n, start, dtype=np.int64)),
-                         pa.array(np.arange(at, at + n)), texts], ["path", "block", "row", "line"])
-
-    lines = ranges.mapInArrow(run, "path string, block bigint, row bigint, line string")
-    return number_lines(lines).select("path", "pos", "line")
+                        [pa.array([path] * n, type=pa.string()), pa.array(np.arange(before + at, before + at + n)), texts],
+                        ["path", "pos", "line"])
+
+    # Only ranges are numbered and moved, one row each; their lines are read twice instead.
+    counted = ranges.mapInArrow(count, "path string, length bigint, block bigint, n bigint").filter("n > 0")
+    before = F.coalesce(F.sum("n").over(
+        W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = counted.select("path", "length", "block", before.alias("before")).repartition(min(n, MAX_TASKS), "path", "block")
+    return placed.mapInArrow(run, "path string, pos bigint, line string")

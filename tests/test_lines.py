@@ -45,6 +45,17 @@ def test_files_are_cut_at_every_line_end_wherever_ranges_end(spark, tmp_path, mo
     assert got == {k: t.splitlines(keepends=True) for k, t in enumerate(texts) if t}
 
 
+def test_ranges_are_moved_and_no_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"ab\ncd\r\n" * 500)
+    (tmp_path / "b.txt").write_bytes(b"x" * 300 + b"\ny")
+    read = read_lines(spark, str(tmp_path), 100).select(F.col("path").endswith("a.txt").alias("a"), "pos", "line")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("MapInArrow")]
+    assert not any(step in above for step in ("Window", "Join", "Repartition"))
+    got = sorted((r.a, r.pos, r.line) for r in read.collect())
+    assert got == [(False, 0, "x" * 300 + "\n"), (False, 1, "y")] + [(True, i, ("ab\n", "cd\r\n")[i % 2]) for i in range(1000)]
+
+
 def test_lines_longer_than_ranges_and_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"x" * 3_000_000 + b"\r" + b"y" * 2_500_000 + b"\n\xff\xfe\n")
     got = [r.line for r in read_lines(spark, str(tmp_path), 100_000).orderBy("pos").collect()]
