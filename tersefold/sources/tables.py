@@ -66,7 +66,8 @@ def append_log(log: DataFrame, path: str, batch: str | int | None = None) -> boo
     if not _commits(spark, path).filter(F.col("batch") == batch).isEmpty():
         return False
     folder = f"{path}/data/attempt={attempt}"
-    log.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(folder)
+    # The rows of a day meet in one task, or a few if they are many; else every task had a file for every day.
+    log.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.partitionBy("day").parquet(folder)
     first, last = spark.read.schema(log.schema).parquet(folder).agg(F.min("ts"), F.max("ts")).first()
     name = hashlib.sha256(batch.encode()).hexdigest()[:32]
     spark.createDataFrame([(batch, attempt, first, last)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(

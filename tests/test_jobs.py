@@ -171,6 +171,15 @@ def test_log_holds_a_batch_once(spark, tmp_path):
     assert tables.append_log(log_rows(spark, []), path, "empty") and tables.read_log(spark, path).count() == 4
 
 
+def test_log_has_few_files_however_many_tasks_bring_it(spark, tmp_path):
+    log = spark.range(4000).repartition(16).select(
+        F.expr("timestamp_seconds(1704067200 + id % 20 * 86400)").alias("ts"), F.lit("s").alias("scope"), F.lit("ls").alias("cmd"),
+        F.col("id").alias("original_tokens"), F.col("id").alias("compressed_tokens"))
+    tables.append_log(log, str(tmp_path), "b")
+    assert len(list((tmp_path / "data").rglob("*.parquet"))) == 20
+    assert tables.read_log(spark, str(tmp_path)).agg(F.sum("original_tokens")).first()[0] == 4000 * 3999 // 2
+
+
 def test_windows_from_hourly_sums_equal_the_log(spark):
     rng = random.Random(3)
     rows = [(rng.choice([rng.randrange(400_000), 7200, None]), "s", "a", rng.randrange(100), rng.randrange(50)) for _ in range(500)]
