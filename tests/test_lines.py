@@ -1,5 +1,6 @@
 """Line tables: all line ends from files, escapes and JSON over lines and blocks."""
 
+import os
 import random
 import re
 
@@ -7,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tersefold.functions.text import with_lines
-from tersefold.operators.escapes import after_lf, strip_over_lines
+from tersefold.operators import folds_lines
+from tersefold.operators.escapes import after_lf, cut_anew, split_notes, strip_over_lines, stripped_pieces
+from tersefold.operators.runs import BLOCK
 from tersefold.plans.compact import compact_text
 from tersefold.plans.compact_lines import compact_lines
+from tersefold.session import collected, stage_buckets
 from tersefold.sources import lines as lines_module
 from tersefold.sources.lines import read_lines
 
@@ -108,3 +112,28 @@ def test_line_form_equals_text_form_over_lines_and_line_ends(spark, block):
     assert sorted(got) == sorted(want)
     assert [k for k in got if got[k] != want[k]] == []
     assert got[120].count("\n") == 1 and "gone" not in got[121]
+
+
+def test_steps_leave_lines_in_their_blocks(spark):
+    """No step on a bucketed table moves lines: what is shuffled has no column of texts."""
+    _, lines = line_table(spark, ["a\x1b[0m\n" * 9 + " c\n" * 9 + "\n" * 9, "x"])
+    table = stage_buckets([lines.withColumn("_block", F.expr("pos div 4")).repartition(8, *BLOCK)], BLOCK, "lines")
+    steps = [folds_lines.fold_diff, folds_lines.fold_build, folds_lines.fold_package, folds_lines.extract_test_failures,
+             lambda df, n: split_notes(folds_lines.collapse_repeats(df, n)), after_lf, stripped_pieces, lambda df, n: cut_anew(df, n)[0]]
+    for step in steps:
+        df = step(table, 4)
+        assert "_block" in df.columns
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION" not in plan and "Bucketed: true" in plan
+        moved = re.findall(r"Exchange[^\n]*\n[ :]*\+- (.*)", plan)
+        assert not any(re.search(r"\bline#\d+L?\b(?![^\[]*\()", m.split("functions=")[0]) for m in moved)
+
+
+def test_tables_of_steps_are_gone(spark):
+    _, lines = line_table(spark, ["\x1b]0;a\nb\x07\r\n\nx\n" * 9, " \n", '{\n"a": null\n,\n"b": null}', "PASSED a\r\n\nz\r" * 4])
+    commands = spark.createDataFrame([(0, "git"), (2, "ls"), (3, "pytest")], "output_id long, cmd string")
+    with collected() as staged:
+        done = compact_lines(lines, commands, 3)
+    left = {re.match(r"[a-z]+", os.path.basename(p))[0] for p in staged if os.path.exists(p)}
+    assert left == {"facts", "blank", "stripped", "repeats", "sizes", "shrinks"} and done.count() > 0
+    assert {r.tableName for r in spark.sql("SHOW TABLES").collect()} == set()
