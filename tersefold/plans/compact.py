@@ -157,7 +157,12 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
         words = join_unique(groups, words, ["fp", "family"], "scope", total, "inner", limits, counted=full)
         keys = ["scope", "family", "fp"]
         noted = join_unique(noted, path_notes(words, keys, known, limits), keys, "seq", total, "left", limits)
-    again = _fold_secrets(prepared) if secret_texts else None
+    again = None
+    if secret_texts:
+        hidden = join_unique(full, folded.filter("is_secret").select("fp", "family"), ["fp", "family"], "seq", total, "left_semi", limits)
+        hidden = stage(hidden.select("output_id"), "hidden")
+        few = hidden.count() <= BROADCAST_TEXTS
+        again = _fold_secrets(prepare(outputs.join(F.broadcast(hidden), "output_id", "left_semi")) if few else prepared)
 
     def with_texts(noted: DataFrame, folded: DataFrame) -> DataFrame:
         """Rows with their folded texts, notes applied."""
@@ -224,8 +229,8 @@ def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int) -> DataFram
 def _fold_secrets(prepared: DataFrame) -> DataFrame:
     """Texts with secrets, read and folded again where they are needed, as they are staged nowhere.
 
-    Whether a text holds one is seen in the text, so no other is moved. The outer form, as a filter
-    would make and strip every text once more for each hint.
+    With few such rows only those come here; otherwise whether a text holds one is seen in the text, so no
+    other is moved. The outer form, as a filter would make and strip every text once more for each hint.
     """
     secret = with_secret(prepared, "stripped").select(
         "output_id", "family", F.explode_outer(F.when(F.col("is_secret") & ~F.col("blank"), F.array("stripped"))).alias("stripped"))

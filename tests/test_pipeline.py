@@ -330,6 +330,25 @@ def test_only_texts_with_secrets_are_read_again(spark):
     assert all(r.is_secret and secret in r.body for r in again.collect())
 
 
+def test_few_rows_with_secrets_are_read_by_their_ids(spark, monkeypatch):
+    import importlib
+
+    module = importlib.import_module("tersefold.plans.compact")
+    secret = "token = 'ABCDEFGHIJKLMNOPQRST'\n"
+    rows = [(i, i, 10 * i, "s", "ls", f"{secret if i % 7 == 0 else 'x'}\n" * 5 + str(i % 14)) for i in range(40)]
+    plain, seen = module._fold_secrets, []
+
+    def spied(prepared):
+        seen.append(prepared.count())
+        return plain(prepared)
+
+    monkeypatch.setattr(module, "_fold_secrets", spied)
+    few = sorted(map(tuple, compact(table(spark, rows)).compacted.collect()))
+    monkeypatch.setattr(module, "BROADCAST_TEXTS", 0)
+    assert sorted(map(tuple, compact(table(spark, rows)).compacted.collect())) == few
+    assert seen == [6, 40]
+
+
 def test_line_form_equals_text_form(spark):
     """Outputs in blocks of a few lines, among them blank, long, wide, JSON and open-ended ones."""
     rng = random.Random(3)
