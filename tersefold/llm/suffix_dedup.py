@@ -9,12 +9,16 @@ gram with the least hash, the same one wherever the window occurs.
 Round one ranks sampled positions by their gram, and in the same sort by the
 pair of that and the string at a negative offset, which holds all windows that chose
 this gram (`match` to 2 * match - gram bytes). Grams that occur once end here. Strings that a smaller document has are
-covered whole. Round two goes past the threshold: the windows of what is left,
-strings that differ but share their gram, are ranked each by itself.
+covered whole. What is left, strings that differ but share their gram, is cut into groups of
+windows that hold the gram at nearly the same place. Round two ranks these in the same way, by the
+bytes that all windows of a group have; that is nearly the threshold, so few that differ remain
+alike, however many grams occur by chance in large inputs. Round three goes past the threshold: the windows
+of the groups that are left are ranked each by itself.
 
 Texts are written once in blocks that Spark finds again without a shuffle (a table
-bucketed by block). What is ranked is sent in rows of many keys, one row for each block
-and bucket of hashes, and answered by one byte a key.
+bucketed by block). A block ends where its bytes reach a bound, so what a task holds does not
+grow with the input or its splits. What is ranked is sent in rows of many keys, one row for each block
+and bucket of hashes, and answered by one byte a key. There are as many buckets as the keys of the round need.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import new_dir, stage
@@ -43,13 +48,20 @@ UNIQUE, SHARED, MATCHED = 0, 1, 2
 class RepeatPlan:
     """Length of strings that are removed, length of the grams that sample them, and keys that one task ranks.
 
-    Blocks are what one task reads of the input; beyond max_blocks of them several tasks write one block.
+    Blocks are what one task holds of the input, block_bytes and one text at most; beyond max_blocks of them
+    several share a number. span: windows of a group, in the round between grams and windows.
     """
 
     match: int = 50
     gram: int = 20
     bucket_keys: int = 1_000_000
     max_blocks: int = 50_000
+    block_bytes: int = 8 << 20
+    span: int = 8
+
+    def spans(self) -> list[int]:
+        """Windows of a group in the rounds behind the first."""
+        return [self.span, 1] if 1 < self.span < self.match - self.gram + 1 else [1]
 
 
 # Hashes of byte strings. ---------------------------------------------------
@@ -105,9 +117,15 @@ def sampled(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan) -> tuple[np
 
     Offsets: where each text begins, and the end; no window crosses from one to the next.
     """
+    first, last, _, gram, string = _sampled(data, offsets, plan)
+    return first, last, gram, string
+
+
+def _sampled(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan) -> tuple[np.ndarray, ...]:
+    """Like sampled, with the place of the gram behind first and last."""
     n, match = len(data), plan.match
     if n < match:
-        return tuple(np.zeros(0, dtype=kind) for kind in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=kind) for kind in (*(np.int64,) * 3, np.uint64, np.uint64))
     hashes = _Hashes(data, 0)
     # The least hash, and of equal ones the first; positions take the low bits.
     least = hashes.all_of(plan.gram)
@@ -131,7 +149,7 @@ def sampled(data: np.ndarray, offsets: np.ndarray, plan: RepeatPlan) -> tuple[np
     edge = differ | outer
     first, last = np.flatnonzero(edge[:-1] & inside), np.flatnonzero(edge[1:] & inside)
     at = chosen[first].astype(np.int64)
-    return first, last, hashes.of(at, at + plan.gram), _id48(_Hashes(data, 1).of(first, last + match))
+    return first, last, at, hashes.of(at, at + plan.gram), _id48(_Hashes(data, 1).of(first, last + match))
 
 
 # Blocks. -------------------------------------------------------------------
@@ -144,40 +162,59 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 @dataclass
 class _Positions:
-    """Sampled positions of a block: number of the text, first and last window inside it, both hashes."""
+    """Stretches of a block, by text: number of the text, first and last window and gram inside it, class, string of the windows."""
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    gram: np.ndarray
+    at: np.ndarray
+    cls: np.ndarray
     string: np.ndarray
 
+    def windows(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """Text, first and last window of the chosen stretches."""
+        return [x[chosen] for x in (self.text, self.first, self.last)]
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> _Positions:
+    none = tuple(np.zeros(0, dtype=k) for k in (np.int64,) * 4 + (np.uint64,) * 2)
+    return _Positions(*(np.concatenate(x) for x in zip(*(found or [none]), strict=True)))
+
 
 def _positions(texts: pa.Array, plan: RepeatPlan) -> _Positions:
+    """Sampled positions; their class is the gram."""
     found = []
-    for at, _, data, offsets in _parts(texts):
-        first, last, gram, string = sampled(data, offsets, plan)
+    for begin, _, data, offsets in _parts(texts):
+        first, last, at, gram, string = _sampled(data, offsets, plan)
         text = np.searchsorted(offsets, first, side="right") - 1
-        found.append((text + at, first - offsets[text], last - offsets[text], gram, string))
-    if not found:
-        found = [tuple(np.zeros(0, dtype=k) for k in (np.int64,) * 3 + (np.uint64,) * 2)]
-    return _Positions(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        found.append((text + begin, first - offsets[text], last - offsets[text], at - offsets[text], gram, string))
+    return _joined(found)
+
 
+def _narrowed(texts: pa.Array, p: _Positions, chosen: np.ndarray, span: int, plan: RepeatPlan) -> _Positions:
+    """The windows of the chosen stretches in groups; the class is what all windows that can be in a group have in common.
 
-def _windows(texts: pa.Array, text: np.ndarray, first: np.ndarray, last: np.ndarray, plan: RepeatPlan) -> _Positions:
-    """Every window from first to last of the given positions, by itself. Positions are by text."""
-    found = [tuple(np.zeros(0, dtype=k) for k in (np.int64,) * 3 + (np.uint64,) * 2)]
-    for at, end, data, offsets in _parts(texts):
-        a, b = np.searchsorted(text, [at, end])
+    A group is `span` places in a row of the gram in the window. A window that occurs twice chooses its
+    gram at the same place, and so is in groups of one class.
+    """
+    found = []
+    owner, *ours = (x[chosen] for x in (p.text, p.first, p.last, p.at))
+    for begin, end, data, offsets in _parts(texts):
+        a, b = np.searchsorted(owner, [begin, end])
         if a == b:
             continue
-        n = last[a:b] - first[a:b] + 1
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:b], n)
-        owner = np.repeat(text[a:b], n)
-        start = inside + offsets[owner - at]
-        found.append((owner, inside, inside, _Hashes(data, 0).of(start, start + plan.match),
-                      _id48(_Hashes(data, 1).of(start, start + plan.match))))
-    return _Positions(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        base = offsets[owner[a:b] - begin]
+        first, last, at = (x[a:b] + base for x in ours)
+        low = (at - last) // span
+        n = (at - first) // span - low + 1
+        of = np.repeat(np.arange(b - a), n)
+        # Where the group's first place puts the window; the other places lie before.
+        latest = at[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]) * span
+        group_first, group_last = np.maximum(first[of], latest - span + 1), np.minimum(last[of], latest)
+        found.append((owner[a:b][of], group_first - base[of], group_last - base[of], at[of] - base[of],
+                      _Hashes(data, 0).of(latest, latest - span + 1 + plan.match),
+                      _id48(_Hashes(data, 1).of(group_first, group_last + plan.match))))
+    return _joined(found)
 
 
 # Questions and answers. ----------------------------------------------------
@@ -258,10 +295,11 @@ def _answer(rows: pa.Table) -> pa.Table:
     out[order] = state
     bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in classes])])
     return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"),
-                     "states": pa.array([out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], type=pa.binary())})
+                     "states": pa.array([out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], type=pa.binary()),
+                     "shared": pa.array(np.diff(np.concatenate([[0], np.cumsum(out == SHARED)])[bounds]).astype(np.int64))})
 
 
-# The three passes over a block. --------------------------------------------
+# The passes over a block. --------------------------------------------------
 
 def _read(rows: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
     rows = rows.sort_by("row")
@@ -315,16 +353,29 @@ def _removed(texts: pa.Array, plan: RepeatPlan, text: np.ndarray, start: np.ndar
 def _in_blocks(docs: DataFrame, key: str, text: str, plan: RepeatPlan) -> DataFrame:
     """The texts in a table bucketed by block, each block in a bucket and file of its own: block, row, doc_id, text, n_bytes.
 
-    A task's rows are a block. Its number is one that Spark puts into the bucket of the task, so a bucket is
-    written by one task and later read by one, and grouping by block needs no shuffle.
+    A block is rows of one task, cut where their bytes reach the bound; sizes alone tell where, so no text is moved. (If the
+    rows are dealt to tasks otherwise when they are read again, blocks are less even, no more.) Its number
+    is one that Spark puts into its bucket, so a bucket is later read by one task, and grouping by block needs no shuffle.
     """
     spark = docs.sparkSession
-    n = max(1, min(plan.max_blocks, docs.rdd.getNumPartitions()))
-    tries = spark.range(0, 64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("_bucket")).agg(F.min("id").alias("block"))
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"),
                        F.octet_length(whole).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row"),
-                       F.pmod(F.spark_partition_id(), F.lit(n)).alias("_bucket"))
+                       F.spark_partition_id().alias("_part"))
+    before = F.sum("n_bytes").over(W.partitionBy("_part").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.select("_part", "row", "n_bytes").withColumn("_before", F.coalesce(before, F.lit(0)))
+    begins = sizes.groupBy("_part", F.expr(f"_before div {plan.block_bytes}")).agg(F.min("row").alias("begin"))
+    parts: dict[int, list[int]] = {}
+    for r in begins.orderBy("_part", "begin").collect():
+        parts.setdefault(r["_part"], []).append(r["begin"])
+    firsts = np.cumsum([0, *map(len, parts.values())]).tolist()
+    n = max(1, min(plan.max_blocks, firsts[-1]))
+    cuts = spark.createDataFrame([(k, first, begin) for (k, begin), first in zip(parts.items(), firsts, strict=False)],
+                                 "_part int, _first long, _begins array<long>")
+    tries = spark.range(0, 64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("_bucket")).agg(F.min("id").alias("block"))
+    # Rows that were not there when sizes were read belong to some block, too.
+    number = F.coalesce(F.col("_first") + F.size(F.filter("_begins", lambda x: x <= F.col("row"))) - 1, F.col("_part"))
+    rows = rows.join(F.broadcast(cuts), "_part", "left").withColumn("_bucket", F.pmod(number, F.lit(n)).cast("int"))
     rows = rows.join(F.broadcast(tries), "_bucket", "left").select(
         F.coalesce("block", F.col("_bucket").cast("long")).alias("block"), "row", "doc_id", "text", "n_bytes")
     name = f"tersefold_texts_{uuid.uuid4().hex}"
@@ -348,45 +399,54 @@ def without_repeats(docs: DataFrame, plan: RepeatPlan = RepeatPlan(), key: str =
     """
     texts = _in_blocks(docs, key, text, plan)
     size = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    per_key = (plan.match - plan.gram + 2) // 2
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(least, -(-size // (per_key * plan.bucket_keys)))
     rows = texts.select("block", "row", "doc_id", "text")
+    spans, places = plan.spans(), plan.match - plan.gram + 1
 
-    def ask_strings(block: tuple, rows: pa.Table) -> pa.Table:
-        _, order, texts = _read(rows)
-        p = _positions(texts, plan)
-        return _Asked(p.gram, p.string, order[p.text], n_buckets).rows(block[0].as_py())
+    def n_buckets(n_keys: int) -> int:
+        return max(least, -(-n_keys // plan.bucket_keys))
 
-    def told(rows: pa.Table, answers: pa.Table):
-        """Texts, positions, their states, and the windows of the shared ones."""
+    def told(rows: pa.Table, answers: pa.Table | None, buckets: list[int]) -> tuple:
+        """Ids, texts, the stretches matched so far, and those of the last round with their keys. buckets: of the rounds so far."""
         ids, order, texts = _read(rows)
-        p = _positions(texts, plan)
-        state = _Asked(p.gram, p.string, order[p.text], n_buckets).told(_level(answers, 1))
-        shared = state == SHARED
-        w = _windows(texts, p.text[shared], p.first[shared], p.last[shared], plan)
-        return ids, texts, p, state, w, _Asked(w.gram, w.string, order[w.text], n_buckets)
+        p, matched = _positions(texts, plan), []
+        asked = _Asked(p.cls, p.string, order[p.text], buckets[0])
+        for level, (span, n) in enumerate(zip(spans, buckets[1:], strict=False), 1):
+            state = asked.told(_level(answers, level))
+            matched.append(p.windows(state == MATCHED))
+            p = _narrowed(texts, p, state == SHARED, span, plan)
+            asked = _Asked(p.cls, p.string, order[p.text], n)
+        return ids, texts, matched, p, asked
 
-    def ask_windows(block: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return told(rows, answers)[-1].rows(block[0].as_py())
+    def ask(rows: DataFrame, answers: DataFrame | None, buckets: list[int]) -> DataFrame:
+        def first(block: tuple, rows: pa.Table) -> pa.Table:
+            return told(rows, None, buckets)[-1].rows(block[0].as_py())
+
+        def later(block: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+            return told(rows, answers, buckets)[-1].rows(block[0].as_py())
+
+        grouped = rows.groupBy("block")
+        return grouped.applyInArrow(first, _ASKED) if answers is None else grouped.cogroup(answers.groupBy("block")).applyInArrow(later, _ASKED)
 
     def remove(block: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, p, state, w, asked = told(rows, answers)
-        whole, single = state == MATCHED, asked.told(_level(answers, 2)) == MATCHED
-        text = np.concatenate([p.text[whole], w.text[single]])
-        start = np.concatenate([p.first[whole], w.first[single]])
-        end = np.concatenate([p.last[whole], w.last[single]]) + plan.match
+        ids, texts, matched, p, asked = told(rows, answers, buckets)
+        matched.append(p.windows(asked.told(_level(answers, len(buckets))) == MATCHED))
+        text, start, last = (np.concatenate(x) for x in zip(*matched, strict=True))
         by_text = np.argsort(text, kind="stable")
-        return pa.Table.from_arrays([ids, *_removed(texts, plan, text[by_text], start[by_text], end[by_text])],
+        return pa.Table.from_arrays([ids, *_removed(texts, plan, text[by_text], start[by_text], last[by_text] + plan.match)],
                                     ["doc_id", "n_bytes", "spans", "kept"])
 
-    def answered(asked: DataFrame, level: int) -> DataFrame:
-        return stage(asked.groupBy("bucket").applyInArrow(_answer, "block bigint, bucket bigint, states binary"), f"answers-{level}").select(
-            "block", F.lit(level).alias("level"), "bucket", "states")
-
-    strings = answered(rows.groupBy("block").applyInArrow(ask_strings, _ASKED), 1)
-    windows = answered(rows.groupBy("block").cogroup(strings.groupBy("block")).applyInArrow(ask_windows, _ASKED), 2)
-    out = rows.groupBy("block").cogroup(strings.unionByName(windows).groupBy("block")).applyInArrow(
+    answers, buckets, n_keys, wide = None, [], size // ((places + 1) // 2), places
+    for level, span in enumerate([*spans, 0], 1):
+        buckets = [*buckets, n_buckets(n_keys)]
+        asked = ask(rows, answers, buckets)
+        new = stage(asked.groupBy("bucket").applyInArrow(_answer, "block bigint, bucket bigint, states binary, shared bigint"), f"answers-{level}")
+        if span:
+            # Each shared stretch is cut into so many groups at most.
+            n_keys, wide = new.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0] * -(-wide // span), span
+        new = new.select("block", F.lit(level).alias("level"), "bucket", "states")
+        answers = new if answers is None else answers.unionByName(new)
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         remove, "doc_id bigint, n_bytes bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary")
     return out.select(F.col("doc_id").cast(docs.schema[key].dataType).alias(key), "n_bytes", "spans", "kept")
 

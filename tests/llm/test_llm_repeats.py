@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_cases import documents, frame, prose
 from tersefold.llm import suffix_dedup as sd
@@ -102,6 +103,36 @@ def test_texts_are_not_shuffled(spark, capsys):
     assert rows.groupBy("block").count().count() <= 6
 
 
+def test_blocks_are_bounded_and_give_the_same(spark):
+    rows = [(i, t) for i, t in corpus(10)]
+    plan = RepeatPlan(block_bytes=2000)
+    docs = frame(spark, rows, "doc_id long, text string").coalesce(2)
+    blocks = sd._in_blocks(docs, "doc_id", "text", plan).groupBy("block").agg(F.sum("n_bytes").alias("n"), F.max("n_bytes").alias("most")).collect()
+    assert len(blocks) > 10
+    assert all(b.n < plan.block_bytes + b.most for b in blocks)
+    assert found(spark, rows, plan, parts=2) == plain(rows)
+    assert found(spark, rows, RepeatPlan(block_bytes=2000, max_blocks=3), parts=2) == plain(rows)
+
+
+def test_strings_that_share_a_gram_only_are_not_ranked_by_windows(spark, monkeypatch):
+    gram, asked = "ABCDEFGHIJKLMNOPQRST", []
+    rows = [(i, prose(f"x{i}", 12)[:45] + gram + prose(f"y{i}", 12)[:45]) for i in range(30)] + [(90, prose("x3", 12)[:45] + gram + prose("z", 20))]
+    monkeypatch.setattr(sd, "stage", lambda df, label: asked.append((label, real(df, label))) or asked[-1][1])
+    assert found(spark, rows, parts=3) == plain(rows)
+    keys = {label: sum(len(r.states) for r in df.collect()) for label, df in asked}
+    # The string before the gram is that of one other text: its windows are all that is left.
+    assert keys["answers-2"] > 30 and 0 < keys["answers-3"] <= 2 * 31
+
+
+real = sd.stage
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 5, 8, 30, 31])
+def test_windows_in_groups_of_any_width(spark, span):
+    rows = corpus(11)
+    assert found(spark, rows, RepeatPlan(span=span)) == plain(rows)
+
+
 def test_odd_rows(spark):
     docs = frame(spark, documents())
     got = without_repeats(docs).collect()
