@@ -22,7 +22,7 @@ from ..operators.dedup import REF_LENGTH, fingerprint, first_stored, mark_refs,
 from ..operators.epochs import with_epoch
 from ..operators.refs import apply_notes, mention_words, mentions_path, path_notes
 from ..operators.skew import DEFAULT_LIMITS, SkewLimits, join_unique
-from ..session import collected, remove, stage
+from ..session import TEXT_CODEC, collected, remove, stage
 
 # Ids and fingerprints of so many texts, of about 100 bytes each, are sent to all tasks.
 BROADCAST_TEXTS = 300_000
@@ -134,7 +134,7 @@ def _compact(outputs: DataFrame, control: DataFrame | None, known: DataFrame | N
     blank = rows.filter(F.col("fp").isNull())
     rows = rows.filter(F.col("fp").isNotNull())
 
-    folded = stage(_fold_distinct(prepared, rows, total), "folded")
+    folded = stage(_fold_distinct(prepared, rows, total), "folded", TEXT_CODEC)
     secret_texts, mentions = (bool(x) for x in folded.agg(F.max("is_secret"), F.max(F.size("words") > 0)).first())
     storable = folded.filter(F.col("shrinks") & ~F.col("is_secret")).select("fp", "family")
     cached = None
@@ -210,15 +210,21 @@ def _fold_distinct(prepared: DataFrame, rows: DataFrame, total: int) -> DataFram
     """One row per (fp, family) with the folded text.
 
     Of all copies the row with the lowest id is folded; that is found on keys alone, so no text is
-    sorted or grouped, and with few texts none is shuffled.
+    sorted or grouped, and with few texts, or few copies among many, none is shuffled.
     """
+    texts = prepared.filter(~F.col("blank")).select("output_id", "family", "stripped")
     keep = rows.groupBy("fp", "family").agg(F.min("output_id").alias("output_id")).select("output_id", "fp")
     few = total <= BROADCAST_TEXTS
     if not few:
         keep = stage(keep, "distinct")
-        few = keep.count() <= BROADCAST_TEXTS
-    distinct = prepared.filter(~F.col("blank")).select("output_id", "family", "stripped").join(
-        F.broadcast(keep) if few else keep.hint("shuffle_hash"), "output_id")
+        n = keep.count()
+        few = n <= BROADCAST_TEXTS
+    if few or total - n > BROADCAST_TEXTS:
+        distinct = texts.join(F.broadcast(keep) if few else keep.hint("shuffle_hash"), "output_id")
+    else:
+        copies = stage(rows.select("output_id").join(keep, "output_id", "left_anti"), "copies")
+        distinct = texts.filter(F.col("output_id").isNotNull()).join(F.broadcast(copies), "output_id", "left_anti").withColumn(
+            "fp", fingerprint(F.col("stripped")))
     told = ~F.col("is_secret")
     return fold_guarded(distinct).select(
         "fp", "family", "is_secret", "shrinks", F.length("stripped").alias("stripped_len"), F.length("body").alias("body_len"),

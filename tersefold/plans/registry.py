@@ -12,7 +12,7 @@ from ..functions.commands import base_command
 from ..operators import dedup, events, folds_doc, folds_lines, metrics, refs
 from ..operators.epochs import with_epoch
 from ..operators.runs import BLOCK_ROWS
-from ..session import new_dir, stage
+from ..session import TEXT_CODEC, new_dir, remove, stage
 from ..sources import tables
 from ..sources.lines import read_lines
 from ..streaming import jobs
@@ -202,8 +202,10 @@ def _dedup_in_batches(spark: SparkSession, outputs: DataFrame, comes: Column) ->
     for begin, end in zip(ends, ends[1:]):
         part = lambda at: (F.coalesce(at, F.lit(0)) >= begin) & (F.coalesce(at, F.lit(0)) < end)  # noqa: B023, E731
         control.filter(part(F.col("seq"))).coalesce(1).write.mode("append").parquet(events)
-        outputs.filter(part(comes)).write.mode("append").parquet(landing)
+        outputs.filter(part(comes)).write.mode("append").parquet(landing, compression=TEXT_CODEC)
         jobs.run_batches(spark.readStream.schema(outputs.schema).parquet(landing), progress, run)
+        # What has been processed is not read again.
+        remove(spark, [landing])
     return jobs.read_results(spark, state, out).select("output_id", "seq", "fp", "outcome", F.md5("result").alias("result_md5"))
 
 

@@ -36,8 +36,12 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+# Tables of texts are written so, also those that a query keeps until its end.
+TEXT_CODEC = "zstd"
+
+
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back. codec: of the files, if not the session's.
 
     Cuts the lineage, survives lost executors, and lets later readers take
     single columns. The folder stays until whoever collects it (`collected`)
@@ -46,7 +50,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(df.sparkSession, label)
     for paths in _collecting.get():
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,12 +72,17 @@ def stage_buckets(parts: Sequence[DataFrame], keys: Sequence[str], label: str) -
     name = f"{label}_{uuid.uuid4().hex}"
     for part in parts:
         (part.select(*parts[0].columns).write.format("parquet").mode("append").option("path", path)
-         .option("compression", "zstd").bucketBy(n_buckets(spark), *keys).saveAsTable(name))
+         .option("compression", TEXT_CODEC).bucketBy(n_buckets(spark), *keys).saveAsTable(name))
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of queries that are done, which it does when the driver's objects for them are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def collected() -> Iterator[list[str]]:
     """The folders of all tables that are staged inside the block."""

@@ -15,7 +15,7 @@ from ..operators.events import classify, parse_events
 from ..operators.metrics import savings
 from ..operators.refs import known_paths
 from ..plans.compact import Compaction, compact, compact_text, prepare
-from ..session import new_dir, remove
+from ..session import TEXT_CODEC, drop_shuffles, new_dir, remove
 
 CACHE_SCHEMA = (
     "scope string, fp string, ref string, compressed string, original_tokens long, "
@@ -101,7 +101,8 @@ def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
 
     Known paths are those read in the batches so far. control_dir may hold
     control events (scope, seq, kind) as they arrive; it is read for every
-    batch. Texts of the cache are only added to; the keys that a batch is
+    batch. A batch is read from its source as often as it is needed, and kept nowhere else: sources of streams
+    give the same rows again. Texts of the cache are only added to; the keys that a batch is
     compared with, the first stored position of each text and epoch, are kept apart from them.
 
     Rows may come behind others of higher seq. They are compared with what
@@ -133,18 +134,23 @@ def dedup_batches(state_dir: str, out_dir: str, control_dir: str | None = None,
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
         known = paths.add(known_paths(batch), batch_id)
         control = None if control_dir is None else spark.read.schema(CONTROL_SCHEMA).parquet(control_dir)
         done = compact(batch, control, known, keys.before(spark, batch_id))
-        # Sinks that do not depend on each other are planned and written side by side.
+
+        def write_texts() -> None:
+            done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}", compression=TEXT_CODEC)
+            drop_shuffles(spark)
+            done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/batch={batch_id}", compression=TEXT_CODEC)
+
+        # Sinks that do not depend on each other are planned and written side by side; both that may
+        # shuffle texts come one behind the other, so the disk holds one such shuffle.
         _together(
-            lambda: done.compacted.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"),
-            lambda: done.cache_entries.write.mode("overwrite").parquet(f"{state_dir}/entries/batch={batch_id}"),
+            write_texts,
             lambda: correct(done, batch_id),
             lambda: full.add(done.full, batch_id))
         done.close()
-        batch.unpersist()
+        drop_shuffles(spark)
 
     return run
 

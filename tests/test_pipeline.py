@@ -349,6 +349,38 @@ def test_few_rows_with_secrets_are_read_by_their_ids(spark, monkeypatch):
     assert seen == [6, 40]
 
 
+def test_few_copies_among_many_texts_shuffle_no_text(spark, monkeypatch, capsys):
+    import importlib
+
+    module = importlib.import_module("tersefold.plans.compact")
+    rows = [(i, i, 10 * i, "s", "ls", " \n" if i == 4 else f"{min(i, 30)}\n" * 5) for i in range(40)]
+    plain, plans = module._fold_distinct, []
+
+    def spied(*given):
+        folded = plain(*given)
+        folded.explain()
+        plans.append(capsys.readouterr().out)
+        return folded
+
+    monkeypatch.setattr(module, "_fold_distinct", spied)
+    few = sorted(map(tuple, compact(table(spark, rows)).compacted.collect()))
+    monkeypatch.setattr(module, "BROADCAST_TEXTS", 15)
+    assert sorted(map(tuple, compact(table(spark, rows)).compacted.collect())) == few
+    assert all("BroadcastHashJoin" in p and "ShuffledHashJoin" not in p and "SortMergeJoin" not in p for p in plans)
+
+
+def test_a_batch_is_kept_nowhere_but_in_its_source(spark, monkeypatch):
+    from tersefold.plans import inputs, registry
+
+    df, paths, plain = spark.range(1), [], registry.new_dir
+    monkeypatch.setattr(type(df), "persist", lambda *given: pytest.fail("a batch is kept"))
+    monkeypatch.setattr(registry, "new_dir", lambda spark, label: paths.append((label, plain(spark, label))) or paths[-1][1])
+    docs = spark.createDataFrame([(i, f"line {i} \n" * 5, "en", 40) for i in range(20)], "doc_id long, text string, lang string, n_chars long")
+    outputs = inputs.outputs_of(docs)
+    assert registry._dedup_in_batches(spark, outputs, F.col("seq")).count() == 40
+    assert not Path(urlparse(dict(paths)["landing"]).path).exists()
+
+
 def test_line_form_equals_text_form(spark):
     """Outputs in blocks of a few lines, among them blank, long, wide, JSON and open-ended ones."""
     rng = random.Random(3)
